@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of bytes other than ASCII white space; the same rule for SQL (Java regex) and Python.
@@ -85,7 +86,7 @@ def sliced(batches, max_bytes: int = 4 << 20, max_rows: int = 2000):
         sizes = [0] * n
         for column in batch.columns:
             if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
-                for i, k in enumerate(pa.compute.binary_length(column).to_pylist()):
+                for i, k in enumerate(pc.binary_length(column).to_pylist()):
                     sizes[i] += k or 0
         held = 0
         for i, k in enumerate(sizes):
