@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_count, url_filter
+from . import jaccard_join, mixing, packing, token_count, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -28,6 +28,10 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), 80, width=5)
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048)
 
@@ -36,5 +40,5 @@ def op10_token_count(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op9_packing, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op5_jaccard_join, op9_packing, op10_token_count)}
 ORACLE_SQL: dict[str, str] = {}
