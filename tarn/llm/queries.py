@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, packing, token_count, url_filter
+from pyspark.sql import functions as F
+
+from . import jaccard_join, mixing, packing, suffix_dedup, token_count, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -32,6 +34,12 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), 80, width=5)
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048)
 
@@ -40,5 +48,5 @@ def op10_token_count(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op5_jaccard_join, op9_packing, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op5_jaccard_join, op8_suffix_dedup, op9_packing, op10_token_count)}
 ORACLE_SQL: dict[str, str] = {}
