@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, packing, suffix_dedup, token_count, url_filter
+from . import jaccard_join, mixing, packing, quality, suffix_dedup, token_count, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -34,6 +34,10 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), 80, width=5)
 
 
+def op6_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
+
+
 def op8_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
@@ -48,5 +52,5 @@ def op10_token_count(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op5_jaccard_join, op8_suffix_dedup, op9_packing, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op5_jaccard_join, op6_quality, op8_suffix_dedup, op9_packing, op10_token_count)}
 ORACLE_SQL: dict[str, str] = {}
