@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, packing, quality, suffix_dedup, token_count, url_filter
+from . import edit_fingerprint, html_text, jaccard_join, mixing, packing, quality, suffix_dedup, token_count, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -26,6 +26,10 @@ def op1_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1), max_repeat=3).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,10 @@ def op6_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
 
+def op7_edit_fingerprint(spark, sf_dir):
+    return edit_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
@@ -52,5 +60,5 @@ def op10_token_count(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_url_filter, op5_jaccard_join, op6_quality, op8_suffix_dedup, op9_packing, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op5_jaccard_join, op6_quality, op7_edit_fingerprint, op8_suffix_dedup, op9_packing, op10_token_count)}
 ORACLE_SQL: dict[str, str] = {}
