@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import edit_fingerprint, html_text, jaccard_join, mixing, packing, quality, suffix_dedup, token_count, url_filter
+from . import ann, edit_fingerprint, html_text, jaccard_join, mixing, packing, quality, suffix_dedup, token_count, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -34,6 +34,10 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), 20, queries=lambda i: i % 20 == 0)
+
+
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), 80, width=5)
 
@@ -60,5 +64,5 @@ def op10_token_count(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op5_jaccard_join, op6_quality, op7_edit_fingerprint, op8_suffix_dedup, op9_packing, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op4_ann, op5_jaccard_join, op6_quality, op7_edit_fingerprint, op8_suffix_dedup, op9_packing, op10_token_count)}
 ORACLE_SQL: dict[str, str] = {}
