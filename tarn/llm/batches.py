@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 8_000
 #: Keys to a bucket at which one task counts them.
 BUCKET_KEYS = 4_000_000
@@ -28,7 +28,7 @@ FINGERPRINT = 5
 def batched(docs: DataFrame, id_col: str, text_col: str, note=None, note_type: str = "") -> DataFrame:
     """Rows (batch, ids, lens, blob[, notes]): UTF-8 texts end to end; a null text counts as empty.
 
-    note(bytes) -> value is kept for each document in notes. The table is written to the shared folder at
+    note(bytes, starts) -> a value for each document, kept in notes. The table is written to the shared folder at
     once, so a batch and its order stay as they are whatever is recomputed later.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -38,10 +38,11 @@ def batched(docs: DataFrame, id_col: str, text_col: str, note=None, note_type: s
         ids, texts, size, kind = [], [], 0, None
 
         def row():
-            columns = [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(kind)), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([zstandard.compress(b"".join(texts), 3)])]
+            data, lens = b"".join(texts), [len(t) for t in texts]
+            columns = [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(kind)), pa.array([lens], pa.list_(pa.int32())), pa.array([zstandard.compress(data, 3)])]
             names = ["batch", "ids", "lens", "blob"]
             if note:
-                columns.append(pa.array([[note(t) for t in texts]]))
+                columns.append(pa.array([note(data, starts_of(lens))]))
                 names.append("notes")
             return pa.RecordBatch.from_arrays(columns, names)
 
@@ -61,10 +62,16 @@ def batched(docs: DataFrame, id_col: str, text_col: str, note=None, note_type: s
     return cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
 
 
-def unpacked(lens, blob: bytes) -> tuple[bytes, np.ndarray]:
-    """All bytes of a batch, and where each document starts (and the end)."""
+def starts_of(lens) -> np.ndarray:
+    """Where each document starts in its batch, and the end."""
     starts = np.zeros(len(lens) + 1, np.int64)
     np.cumsum(np.asarray(lens, np.int64), out=starts[1:])
+    return starts
+
+
+def unpacked(lens, blob: bytes) -> tuple[bytes, np.ndarray]:
+    """All bytes of a batch, and where each document starts (and the end)."""
+    starts = starts_of(lens)
     return zstandard.decompress(blob, max_output_size=max(1, int(starts[-1]))), starts
 
 

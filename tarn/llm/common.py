@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder, so that a lost executor never forces the work above it to be redone."""
     shared_dir(df.sparkSession)
     with released_shuffles(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a plan of its own: the setting holds for plans made under it
 
 
 @contextlib.contextmanager

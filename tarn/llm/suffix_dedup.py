@@ -40,78 +40,103 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _hashes(words: list[np.ndarray]) -> np.ndarray:
+def _raw(words: list[np.ndarray]) -> np.ndarray:
+    """Hash of K bytes given as words of 8; its leading half gives the order that anchors are chosen by."""
     h = words[0] * _C[0]
     for w, c in zip(words[1:], _C[1:], strict=False):
-        h ^= h >> np.uint64(31)
-        h += w * c
-    return _mixed(h)
+        h += (w ^ (w >> np.uint64(23))) * c
+    return h
+
+
+def _key(raw: np.ndarray) -> np.ndarray:
+    """What buckets go by: mixed anew, as the raw hashes of anchors are small ones."""
+    return _mixed(_mixed(raw) * _C[1])
 
 
 class Anchors:
     """The segments of a batch: where each starts (first), its windows, its anchor, its document and key."""
 
+    BLOCK = 1 << 15  # windows worked on at a time, so that they stay in the processor's cache
+
     def __init__(self, data: bytes, starts: np.ndarray):
         self.data = np.frombuffer(data + bytes(WIDTH), np.uint8)
         n = len(data)
+        chosen = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
+        loads = np.ndarray((n,), "<u8", self.data, 0, (1,)) if n else np.zeros(0, np.uint64)
+        half, low = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+        places = np.arange(self.BLOCK + SPREAD, dtype=np.uint64)
+        for a in range(0, n - LENGTH + 1, self.BLOCK):
+            m = min(self.BLOCK, n - LENGTH + 1 - a) + SPREAD - 1
+            raw = _raw([loads[a + 8 * i : a + 8 * i + m] for i in range(K // 8)])
+            key = (raw & half) | places[:m]
+            reach = 1
+            while 2 * reach <= SPREAD:
+                key = np.minimum(key[:-reach], key[reach:])
+                reach *= 2
+            if SPREAD > reach:
+                key = np.minimum(key[: reach - SPREAD], key[SPREAD - reach :])
+            chosen[a : a + len(key)] = (key & low).astype(chosen.dtype) + a
         sizes = np.diff(starts)
+        long_ = np.flatnonzero(sizes >= LENGTH)
         valid = np.zeros(n + 1, np.int8)
-        long_ = sizes >= LENGTH
-        valid[starts[:-1][long_]] = 1
-        np.add.at(valid, starts[1:][long_] - LENGTH + 1, -1)
-        at = np.flatnonzero(np.cumsum(valid[:n], dtype=np.int8))
-        if len(at) == 0:
-            self.first = self.windows = self.anchor = self.doc = np.zeros(0, np.int64)
-            self.key = np.zeros(0, np.uint64)
-            return
-        loads = np.ndarray((n,), "<u8", self.data, 0, (1,))
-        hashes = _hashes([loads[8 * i : n - K + 1 + 8 * i] for i in range(K // 8)])
-        key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-        reach = 1
-        while 2 * reach <= SPREAD:
-            key = np.minimum(key[:-reach], key[reach:])
-            reach *= 2
-        if SPREAD > reach:
-            key = np.minimum(key[: reach - SPREAD], key[SPREAD - reach :])
-        chosen = (key[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.flatnonzero(np.diff(chosen, prepend=-1))
-        self.first, self.anchor = at[new], chosen[new]
-        self.windows = np.diff(np.append(new, len(at)))
+        np.add.at(valid, starts[long_], 1)
+        np.add.at(valid, starts[long_ + 1] - LENGTH + 1, -1)
+        valid = np.cumsum(valid, dtype=np.int8).view(bool)
+        new = np.ones(n + 1, bool)
+        new[1:] = chosen[1:] != chosen[:-1]
+        new[starts[long_]] = True
+        self.first = np.flatnonzero(new & valid)
         self.doc = np.searchsorted(starts, self.first, "right") - 1
-        self.key = _mixed(hashes[self.anchor] * _C[1])
+        last = starts[self.doc + 1] - LENGTH + 1
+        self.windows = np.minimum(np.append(self.first[1:], n), last) - self.first
+        self.anchor = chosen[self.first].astype(np.int64)
+        self.key = _key(_raw([loads[self.anchor + 8 * i] for i in range(K // 8)])) if len(self.first) else np.zeros(0, np.uint64)
+        self.order = np.argsort(self.key, kind="stable")
+        key = self.key[self.order]
+        self.heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
 
     def documents_per_key(self) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(self.key, kind="stable")
-        key, doc = self.key[order], self.doc[order]
-        if len(key) == 0:
-            return key, np.zeros(0, np.int64)
-        new = np.append(True, key[1:] != key[:-1])
-        pair = new | np.append(True, doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        return key[at], np.add.reduceat(pair.astype(np.int64), at)
+        """Sorted distinct keys, and in how many documents each is."""
+        doc = self.doc[self.order]
+        pair = np.ones(len(doc), np.int64)
+        pair[1:] = doc[1:] != doc[:-1]
+        pair[self.heads] = 1
+        return self.key[self.order][self.heads], np.add.reduceat(pair, self.heads) if len(doc) else pair
 
     def segments(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct segments of the shared keys by key: rows of WIDTH bytes, keys; and for each occurrence its
         place in here and its distinct segment. shared: for each sorted distinct key."""
-        keys = np.unique(self.key)
-        mine = np.flatnonzero(shared[np.searchsorted(keys, self.key)]) if len(keys) else np.zeros(0, np.int64)
-        rows = np.zeros((len(mine), WIDTH), np.uint8)
-        if len(mine) == 0:
-            return rows, self.key[mine], mine, mine
+        mine = np.sort(self.order[np.repeat(shared, np.diff(np.append(self.heads, len(self.order))))])
         first, windows = self.first[mine], self.windows[mine]
-        span = np.arange(LENGTH - 1 + SPREAD)
-        rows[:, : len(span)] = self.data[first[:, None] + span]
-        rows[:, : len(span)][span >= (windows + LENGTH - 1)[:, None]] = 0
+        rows = np.zeros((len(mine), WIDTH), np.uint8)
+        span = LENGTH - 1 + SPREAD
+        rows[:, :span] = np.lib.stride_tricks.sliding_window_view(self.data, span)[first]
+        rows[:, :span] *= np.arange(span) < (windows + LENGTH - 1)[:, None]
         rows[:, WINDOWS_AT], rows[:, ANCHOR_AT] = windows, self.anchor[mine] - first
-        keyed = np.concatenate([self.key[mine].astype(">u8").view(np.uint8).reshape(-1, 8), rows], 1)
-        _, at, which = np.unique(keyed.view(f"V{WIDTH + 8}").ravel(), return_index=True, return_inverse=True)
+        name = row_names(rows, self.key[mine])
+        _, at, which = np.unique(name, return_index=True, return_inverse=True)
         return rows[at], self.key[mine][at], mine, which.ravel()
 
 
+def row_names(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Numbers that order rows by key (its leading half) and tell different rows apart."""
+    words = np.ascontiguousarray(rows).view("<u8")
+    h = np.zeros(len(rows), np.uint64)
+    for i in range(words.shape[1]):
+        h = (h ^ (h >> np.uint64(29))) * _C[i % 4] + words[:, i]
+    name = (key & np.uint64(0xFFFFFFFF00000000)) | (_mixed(h) >> np.uint64(32))
+    _, at, which = np.unique(name, return_index=True, return_inverse=True)
+    if np.array_equal(words[at][which.ravel()], words):
+        return name
+    # Two rows of one name: number all rows by their bytes instead.
+    keyed = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), rows], 1)
+    return np.unique(np.ascontiguousarray(keyed).view(f"V{rows.shape[1] + 8}").ravel(), return_inverse=True)[1].ravel().astype(np.uint64)
+
+
 def keys_of_segments(rows: np.ndarray) -> np.ndarray:
     at = rows[:, ANCHOR_AT].astype(np.int64)[:, None] + np.arange(K)
     words = np.take_along_axis(rows, at, 1).view("<u8")
-    return _mixed(_hashes([words[:, i] for i in range(K // 8)]) * _C[1])
+    return _key(_raw([words[:, i] for i in range(K // 8)]))
 
 
 def lcp_intervals(lcp, least: int, floor):
@@ -231,7 +256,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     table = batched(docs, "id", "text")
     size = table.agg(F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     bits = bucket_bits(2 * size // (SPREAD + 1))
-    segment_bits = bucket_bits(8 * size // (SPREAD + 1))
+    segment_bits = bucket_bits(32 * size // (SPREAD + 1))
 
     def send(batches):
         for b in batches:
@@ -261,7 +286,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         rows = np.frombuffer(b"".join(t["rows"].to_pylist()), np.uint8).reshape(-1, WIDTH)
         ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.int64)
         n = [len(x) // 8 for x in t["ids"].to_pylist()]
-        _, at, which = np.unique(np.ascontiguousarray(rows).view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
+        _, at, which = np.unique(row_names(rows, keys_of_segments(rows)), return_index=True, return_inverse=True)
         owner = np.full(len(at), NO_ID)
         np.minimum.at(owner, which.ravel(), ids)
         per, lengths, smallest = _runs(*smallest_per_window(rows[at], owner))
