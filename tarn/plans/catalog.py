@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import calibration as C
 from ..operators import evidence as E
@@ -22,7 +23,12 @@ from ..operators import rerank as K
 from ..operators import retrieval as R
 from ..operators import safety as S
 from ..operators import segmentation as G
+from ..operators import tagging as P
 from ..operators import tuning as N
+from ..operators import understanding as D
+from ..sources import sinks as O
+from ..streaming import events as X
+from . import answers as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -648,3 +654,108 @@ def hourly_events(t):
 def latest_events(t):
     order = W.partitionBy("user_id").orderBy(F.col("ts").desc(), "event_id")
     return t("events").withColumn("n", F.row_number().over(order)).where("n <= 2").select("user_id", "event_id", "n")
+
+
+# ---- query understanding and tags, over conversations and documents ----
+
+
+def _words(items):
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+
+
+def _has(text, terms):
+    return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+def _nested(text, table):
+    for k, v in table.items():
+        text = f"regexp_replace({text}, '\\b{k}\\b', '{v}', 'g')"
+    return text
+
+
+EXPANDED = _nested("lower(text)", L.ABBREVIATIONS)
+
+
+@query(f"SELECT conv_id, turn, md5(x) expanded, CASE WHEN {_has('x', L.EMERGENCY)} THEN 'emergency' WHEN {_has('x', L.URGENT)} THEN 'urgent' ELSE 'routine' END acuity, CASE WHEN regexp_matches(x, 'treatment|treat|therapy|medication|drug') THEN 'treatment' WHEN regexp_matches(x, 'diagnosis|diagnose|diagnostic|test|order') THEN 'test_ordering' WHEN regexp_matches(x, 'manage|management|care|protocol') THEN 'management' ELSE 'diagnosis' END query_type FROM (SELECT conv_id, turn, {EXPANDED} x FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))")
+def query_understanding(t):
+    rows = t("conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).withColumn("x", D.replaced(F.col("text"), L.ABBREVIATIONS))
+    return rows.select("conv_id", "turn", F.md5("x").alias("expanded"), D.acuity(F.col("x")).alias("acuity"), D.query_type(F.col("x")).alias("query_type"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {_has(chr(120), v)} THEN {chr(39)}{k}{chr(39)} END' for k, v in L.SYNONYMS.items())}], lambda g: g IS NOT NULL), ',') conditions, array_to_string(list_filter([{_words(L.SYMPTOMS)}], lambda s: contains(x, s)), ',') symptoms FROM (SELECT doc_id, lower(text) x FROM documents)")
+def condition_groups(t):
+    rows = t("documents").withColumn("x", F.lower("text"))
+    return rows.select("doc_id", F.array_join(D.groups_in(F.col("x"), L.SYNONYMS), ",").alias("conditions"), F.array_join(T.contained(F.col("x"), L.SYMPTOMS), ",").alias("symptoms"))
+
+
+@query()
+def specialty_votes(t):
+    return D.understood(t("benchmark")).select("item_id", "specialty", "acuity", "query_type", F.col("demographics.age").alias("age"))
+
+
+def _count(p):
+    return f"len(regexp_extract_all(x, '{p}'))"
+
+
+def _winner(patterns, default):
+    rows = ", ".join(f"{{'n': {' + '.join(map(_count, ps))}, 'i': {-i}, 'name': '{name}'}}" for i, (name, ps) in enumerate(patterns.items()))
+    return f"(SELECT CASE WHEN m.n > 0 THEN m.name ELSE '{default}' END FROM (SELECT list_max([{rows}]) m))"
+
+
+@query(f"SELECT conv_id, turn, {_winner(L.INTENTS, 'treatment')} intent, {_winner(L.URGENCIES, 'routine')} urgency, {_winner(L.TIMES, 'none')} temporal FROM (SELECT conv_id, turn, lower(text) x FROM conversations)")
+def intent_classes(t):
+    i = D.intent(F.col("text"))
+    return t("conversations").select("conv_id", "turn", i["intent"].alias("intent"), i["urgency"].alias("urgency"), i["temporal"].alias("temporal"))
+
+
+@query()
+def query_variants(t):
+    return D.variants(t("benchmark")).select("item_id", "variant", "variant_text")
+
+
+@query("WITH x AS (SELECT doc_id, list_filter([regexp_extract(lower(text), '(\\d+)[-\\s]year[-\\s]old', 1), regexp_extract(lower(text), 'age\\s+(\\d+)', 1), regexp_extract(lower(text), '(\\d+)[-\\s]yo', 1)], lambda s: s <> '') a FROM documents) SELECT doc_id, coalesce(TRY_CAST(a[1] AS BIGINT), -1) age FROM x")
+def patient_ages(t):
+    return t("documents").select("doc_id", F.coalesce(D.age(F.col("text")), F.lit(-1)).alias("age"))
+
+
+SYMPTOM_LEXICON = {"stupid": ("critical", ["stupid", "pathetic"]), "licensed": ("mild", ["licensed", "copyright"])}
+
+
+@query()
+def symptom_occurrences(t):
+    return P.occurrences(t("documents"), SYMPTOM_LEXICON)
+
+
+@query("SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '\\b(" + L.CHUNK_SYMPTOMS + ")\\b', 1))), 1, 10), ',') symptoms, contains(lower(text), 'treatment') OR contains(lower(text), 'management') has_treatment_protocol FROM documents WHERE lang = 'en'")
+def chunk_tags(t):
+    rows = P.chunk_tags(t("documents").where("lang = 'en'"), "text")
+    return rows.select("doc_id", F.array_join("symptoms", ",").alias("symptoms"), "has_treatment_protocol")
+
+
+@query("SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), '') title, len(regexp_extract_all(html, '<p[ >]')) paragraphs FROM pages")
+def page_titles(t):
+    return t("pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"))
+
+
+@query()
+def answered_questions(t):
+    """Benchmark items as questions whose options are the openings of four documents."""
+    docs = t("documents").select("doc_id", "text", F.col("source").alias("title"))
+    opens = F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.array(*(F.substring(F.col("text"), 1 + 20 * i, 20) for i in range(4))))
+    qs = t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit("").alias("case_description"), opens.alias("options"), F.lit("A").alias("correct_answer"))
+    return rounded(A.answered(qs, docs), "confidence", "margin")
+
+
+@query("WITH e AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) session FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) n FROM s GROUP BY user_id, session")
+def event_sessions(t):
+    return X.sessions(t("events"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY ALL")
+def event_windows(t):
+    return X.tumbling(t("events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT dimension, value, count(*) n FROM (SELECT 'lang' dimension, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY ALL")
+def distributions(t):
+    return O.distributions(t("documents"), ("lang", "source"))
