@@ -35,7 +35,7 @@ def sentences(text: Column) -> Column:
 
 def loose_sentences(text: Column, least: int = 10) -> Column:
     """Parts between marks and white space, stripped, of more than `least` characters."""
-    return F.filter(F.transform(F.split(text, r"[.!?]\s+"), F.trim), lambda s: F.length(s) > least)
+    return F.filter(F.transform(F.split(text, r"[.!?]\s+"), lambda x: F.trim(x)), lambda s: F.length(s) > least)
 
 
 def keywords(text: Column, most: int = 20, stop: Sequence[str] = STOP_WORDS) -> Column:

@@ -13,8 +13,8 @@ SIZE, OVERLAP = 450, 120
 
 def prepared(text: Column, longest: int = 400) -> Column:
     """Lines stripped and joined by spaces; a long line with bullets is first cut after full stops."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) > 0)
-    cut = lambda x: F.filter(F.transform(F.split(x, r"(?<=\.)\s+(?=[A-Z])"), F.trim), lambda y: F.length(y) > 0)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    cut = lambda x: F.filter(F.transform(F.split(x, r"(?<=\.)\s+(?=[A-Z])"), lambda x: F.trim(x)), lambda y: F.length(y) > 0)
     bullets = lambda x: (F.length(x) > longest) & (F.contains(x, F.lit("* ")) | F.contains(x, F.lit("- ")))
     return F.array_join(F.flatten(F.transform(lines, lambda x: F.when(bullets(x), cut(x)).otherwise(F.array(x)))), " ")
 
@@ -72,7 +72,7 @@ def windows(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", size: i
 
 def paragraph_scores(docs: DataFrame, terms: tuple[str, ...], *, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """id, pos, score, before, after: distinct terms in each paragraph, with the paragraphs around it."""
-    parts = docs.select(id_, F.posexplode(F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda p: F.length(p) > 0)).alias("pos", "paragraph"))
+    parts = docs.select(id_, F.posexplode(F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda p: F.length(p) > 0)).alias("pos", "paragraph"))
     score = sum((F.when(F.contains(F.lower("paragraph"), F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
     order = W.partitionBy(id_).orderBy("pos")
     return parts.select(id_, "pos", "paragraph", score.alias("score"), F.lag("paragraph").over(order).alias("before"), F.lead("paragraph").over(order).alias("after"))

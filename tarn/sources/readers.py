@@ -42,7 +42,7 @@ def guidelines(spark: SparkSession, folder: str, summary_path: str | None = None
     g = g.withColumns({
         "number": F.coalesce(number, F.row_number().over(W.partitionBy(F.lit(0)).orderBy("file"))),  # a folder of files
         "title": F.trim(F.regexp_replace(F.element_at(lines, 1), r"^[# ]+", "")), "category": F.nullif(head("category"), F.lit("")),
-        "keywords": F.filter(F.transform(F.split(F.coalesce(head("keywords"), F.lit("")), ","), F.trim), lambda k: k != ""),
+        "keywords": F.filter(F.transform(F.split(F.coalesce(head("keywords"), F.lit("")), ","), lambda x: F.trim(x)), lambda k: k != ""),
     })
     known = summary(spark, summary_path).select("number", F.col("category").alias("known")) if summary_path else spark.createDataFrame([], "number int, known string")
     low = F.lower("content")
