@@ -19,6 +19,7 @@ from ..operators import calibration as C
 from ..operators import evidence as E
 from ..operators import fusion as U
 from ..operators import metrics as M
+from ..operators import quality_checks as Z
 from ..operators import rerank as K
 from ..operators import retrieval as R
 from ..operators import safety as S
@@ -147,16 +148,16 @@ def token_stats(t):
     return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(n).alias("n_tokens"), F.max(n).alias("longest"))
 
 
-@query("WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id qid, embedding v FROM e WHERE vec_id % 25 = 0), s AS (SELECT qid, vec_id, list_dot_product(v::DOUBLE[], embedding::DOUBLE[]) score FROM q, e WHERE qid <> vec_id) SELECT qid, vec_id, round(score, 6) score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) rk FROM s) WHERE rk <= 5")
+@query("WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id qid, embedding v FROM e WHERE vec_id % 50 = 0), s AS (SELECT qid, vec_id, list_dot_product(v::DOUBLE[], embedding::DOUBLE[]) score FROM q, e WHERE qid <> vec_id) SELECT qid, vec_id, round(score, 6) score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) rk FROM s) WHERE rk <= 5")
 def cosine_topk(t):
     e = t("embeddings")
-    return rounded(R.cosine_search(e, e.where(F.col("vec_id") % 25 == 0), 5), "score")
+    return rounded(R.cosine_search(e, e.where(F.col("vec_id") % 50 == 0), 5), "score")
 
 
-@query("WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id qid, embedding v FROM e WHERE vec_id % 25 = 0), s AS (SELECT qid, vec_id, list_dot_product(v::DOUBLE[], embedding::DOUBLE[]) score FROM q, e WHERE qid <> vec_id) SELECT qid, vec_id, round(score, 6) score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) rk FROM s) WHERE rk <= 10 AND score >= 0.35")
+@query("WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id qid, embedding v FROM e WHERE vec_id % 50 = 0), s AS (SELECT qid, vec_id, list_dot_product(v::DOUBLE[], embedding::DOUBLE[]) score FROM q, e WHERE qid <> vec_id) SELECT qid, vec_id, round(score, 6) score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) rk FROM s) WHERE rk <= 10 AND score >= 0.35")
 def cosine_threshold(t):
     e = t("embeddings")
-    return rounded(R.cosine_search(e, e.where(F.col("vec_id") % 25 == 0), 10, 0.35), "score")
+    return rounded(R.cosine_search(e, e.where(F.col("vec_id") % 50 == 0), 10, 0.35), "score")
 
 
 @query("SELECT label, count(*) n, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) norm FROM embeddings GROUP BY label")
@@ -451,9 +452,9 @@ def character_windows(t):
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
-@query(f"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4 AND w NOT IN ({STOPS})), 1, 20), ' ') keywords FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4 AND w NOT IN ({STOPS})), 1, 20), ' ') keywords FROM documents")
 def keyword_lists(t):
-    return t("documents").where("lang = 'en'").select("doc_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
+    return t("documents").select("doc_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
 
 
 @query("WITH h AS (SELECT doc_id, substr(md5(regexp_replace(regexp_replace(lower(text), '[0-9]+', 'N', 'g'), '\\s+', ' ', 'g')), 1, 16) h FROM documents) SELECT h, count(*) n, min(doc_id) first_id FROM h GROUP BY h")
@@ -667,25 +668,22 @@ def _has(text, terms):
     return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
 
 
+# Word boundaries here are those of Unicode letters; RE2 only knows ASCII ones. So every other character is
+# doubled, and a term takes one of them on either side.
+OTHER = r"[^\p{L}\p{N}_]"
+DOUBLED = f"regexp_replace(lower(text), '({OTHER})', '\\1\\1', 'g')"
+
+
 def _nested(text, table):
     for k, v in table.items():
-        text = f"regexp_replace({text}, '\\b{k}\\b', '{v}', 'g')"
+        text = f"regexp_replace({text}, '(^|{OTHER}){k}($|{OTHER})', '\\1{v.replace(' ', '  ').replace('-', '--')}\\2', 'g')"
     return text
 
 
-EXPANDED = _nested("lower(text)", L.ABBREVIATIONS)
-
-
-@query(f"SELECT conv_id, turn, md5(x) expanded, CASE WHEN {_has('x', L.EMERGENCY)} THEN 'emergency' WHEN {_has('x', L.URGENT)} THEN 'urgent' ELSE 'routine' END acuity, CASE WHEN regexp_matches(x, 'treatment|treat|therapy|medication|drug') THEN 'treatment' WHEN regexp_matches(x, 'diagnosis|diagnose|diagnostic|test|order') THEN 'test_ordering' WHEN regexp_matches(x, 'manage|management|care|protocol') THEN 'management' ELSE 'diagnosis' END query_type FROM (SELECT conv_id, turn, {EXPANDED} x FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))")
+@query(f"SELECT conv_id, turn, CASE WHEN {_has('x', L.EMERGENCY)} THEN 'emergency' WHEN {_has('x', L.URGENT)} THEN 'urgent' ELSE 'routine' END acuity, CASE WHEN regexp_matches(x, 'treatment|treat|therapy|medication|drug') THEN 'treatment' WHEN regexp_matches(x, 'diagnosis|diagnose|diagnostic|test|order') THEN 'test_ordering' WHEN regexp_matches(x, 'manage|management|care|protocol') THEN 'management' ELSE 'diagnosis' END query_type FROM (SELECT conv_id, turn, {_nested(DOUBLED, L.ABBREVIATIONS)} x FROM conversations)")
 def query_understanding(t):
-    rows = t("conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).withColumn("x", D.replaced(F.col("text"), L.ABBREVIATIONS))
-    return rows.select("conv_id", "turn", F.md5("x").alias("expanded"), D.acuity(F.col("x")).alias("acuity"), D.query_type(F.col("x")).alias("query_type"))
-
-
-@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {_has(chr(120), v)} THEN {chr(39)}{k}{chr(39)} END' for k, v in L.SYNONYMS.items())}], lambda g: g IS NOT NULL), ',') conditions, array_to_string(list_filter([{_words(L.SYMPTOMS)}], lambda s: contains(x, s)), ',') symptoms FROM (SELECT doc_id, lower(text) x FROM documents)")
-def condition_groups(t):
-    rows = t("documents").withColumn("x", F.lower("text"))
-    return rows.select("doc_id", F.array_join(D.groups_in(F.col("x"), L.SYNONYMS), ",").alias("conditions"), F.array_join(T.contained(F.col("x"), L.SYMPTOMS), ",").alias("symptoms"))
+    rows = t("conversations").withColumn("x", D.replaced(F.col("text"), L.ABBREVIATIONS))
+    return rows.select("conv_id", "turn", D.acuity(F.col("x")).alias("acuity"), D.query_type(F.col("x")).alias("query_type"))
 
 
 @query()
@@ -726,9 +724,9 @@ def symptom_occurrences(t):
     return P.occurrences(t("documents"), SYMPTOM_LEXICON)
 
 
-@query("SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '\\b(" + L.CHUNK_SYMPTOMS + ")\\b', 1))), 1, 10), ',') symptoms, contains(lower(text), 'treatment') OR contains(lower(text), 'management') has_treatment_protocol FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(list_transform(regexp_extract_all({DOUBLED}, '(?:^|{OTHER})({L.CHUNK_SYMPTOMS.replace(' ', '  ')})(?:$|{OTHER})', 1), lambda x: replace(x, '  ', ' ')))), 1, 10), ',') symptoms, contains(lower(text), 'treatment') OR contains(lower(text), 'management') has_treatment_protocol FROM documents")
 def chunk_tags(t):
-    rows = P.chunk_tags(t("documents").where("lang = 'en'"), "text")
+    rows = P.chunk_tags(t("documents"), "text")
     return rows.select("doc_id", F.array_join("symptoms", ",").alias("symptoms"), "has_treatment_protocol")
 
 
@@ -759,3 +757,64 @@ def event_windows(t):
 @query("SELECT dimension, value, count(*) n FROM (SELECT 'lang' dimension, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY ALL")
 def distributions(t):
     return O.distributions(t("documents"), ("lang", "source"))
+
+
+# ---- further evaluation ----
+
+
+@query(f"WITH {BM}, x AS (SELECT qid, score, min(score) OVER (PARTITION BY qid) lo, max(score) OVER (PARTITION BY qid) hi FROM br WHERE rk <= 20), y AS (SELECT qid, coalesce((score - lo) / nullif(hi - lo, 0), 0.5) x FROM x) SELECT qid, round(avg(x), 6) mean, count(*) FILTER (x > 0.7) high, count(*) FILTER (x BETWEEN 0.5 AND 0.7) medium, count(*) FILTER (x < 0.5) low FROM y GROUP BY qid")
+def normalised_relevance(t):
+    return rounded(Z.normalised_relevance(bm25(t)), "mean")
+
+
+@query(f"WITH {BM} SELECT r.qid, r.doc_id, CASE WHEN len(list_intersect(list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda w: w <> '')), list_distinct(list_filter(string_split_regex(lower(d.text), '\\s+'), lambda w: w <> '')))) > 3 THEN 1.0 ELSE 0.0 END::DOUBLE relevance FROM br r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = r.qid WHERE rk <= 5")
+def context_relevance(t):
+    """Languages are no categories of the rule, so shared words decide."""
+    rows = candidates(t).where("rk <= 5")
+    return rows.select("qid", "doc_id", Z.context_relevance(F.col("query"), F.col("category"), F.col("content")).alias("relevance"))
+
+
+@query("SELECT conv_id, turn, round(least(1.0::DOUBLE, len(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w IN (" + ", ".join(f"'{w}'" for w in Z.TRANSITIONS) + ")))) / 3.0::DOUBLE), 6) coherence FROM conversations")
+def reasoning_coherence(t):
+    return t("conversations").select("conv_id", "turn", r6(Z.coherence(F.col("text"))).alias("coherence"))
+
+
+@query(f"WITH {CAND}, o AS (SELECT qid, doc_id, lower(query) o, lower(content) c, list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 3) ws FROM cand WHERE rk <= 2) SELECT qid, doc_id, round(CASE WHEN contains(c, o) THEN 1.0 WHEN len(ws) = 0 THEN 0 ELSE least(1.0, (len(list_filter(ws, lambda w: contains(c, w))) + CASE WHEN regexp_extract(o, '\\b([a-z]+(?:mycin|cycline|floxacin|penem|azole|pril|olol))\\b', 1) <> '' AND contains(c, regexp_extract(o, '\\b([a-z]+(?:mycin|cycline|floxacin|penem|azole|pril|olol))\\b', 1)) THEN 2 ELSE 0 END) / greatest(1, len(ws))::DOUBLE) END::DOUBLE, 6) score FROM o")
+def minimal_context(t):
+    rows = candidates(t).where("rk <= 2")
+    return rows.select("qid", "doc_id", r6(Z.option_in_context(F.col("query"), F.lower("content"))).alias("score"))
+
+
+@query(f"WITH {RES}, x AS (SELECT unnest([category, source]) concept, is_correct, confidence FROM res) SELECT concept, count(*) n, round(avg(is_correct::INT), 6) accuracy, round(avg(confidence), 6) mean_confidence, count(*) FILTER (NOT is_correct AND confidence > 0.8) sure_errors, count(*) FILTER (NOT is_correct AND confidence < 0.3) unsure_errors FROM x GROUP BY concept")
+def errors_by_concept(t):
+    return rounded(Z.errors_by_concept(results(t).withColumn("concepts", F.array("category", "source"))), "accuracy", "mean_confidence")
+
+
+@query()
+def fallback_choice(t):
+    parts = F.array(*(F.struct(F.lit(x).alias("label"), F.substring(F.col("query"), 1 + 15 * i, 15).alias("option")) for i, x in enumerate(LABELS)))
+    rows = candidates(t).where("rk = 1").select("qid", F.explode(parts).alias("o"), F.col("content").alias("context")).select("qid", "o.*", "context")
+    return rounded(Z.fallback_choice(rows), "confidence")
+
+
+@query()
+def recommendations(t):
+    kinds = M.error_kinds(results(t).withColumnsRenamed({"n_evidence": "n_relevant", "n_steps": "overlap"}))
+    return Z.recommendations(kinds)
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '^\\s*(?:[A-Ea-e][.):]|[-*])\\s*', ''), '\\s+', ' ', 'g')) AS option FROM documents")
+def clean_options(t):
+    return t("documents").select("doc_id", Z.clean_option(F.col("text")).alias("option"))
+
+
+@query(f"WITH {BM}, {VE}, a AS (SELECT 'bm25' strategy, qid, doc_id, rk FROM br WHERE rk <= 20 UNION ALL SELECT 'vector', qid, doc_id, rk FROM vr WHERE rk <= 20), {REL}, n AS (SELECT qid, count(*) n_rel FROM rel GROUP BY qid), h AS (SELECT strategy, a.qid, sum((rel.doc_id IS NOT NULL)::INT) FILTER (rk <= 5) / 5.0::DOUBLE p, coalesce(sum((rel.doc_id IS NOT NULL)::INT) FILTER (rk <= 5) / max(n_rel)::DOUBLE, 0) r, coalesce(1.0::DOUBLE / min(CASE WHEN rel.doc_id IS NOT NULL THEN rk END), 0) rr FROM a LEFT JOIN rel ON rel.qid = a.qid AND rel.doc_id = a.doc_id LEFT JOIN n ON n.qid = a.qid GROUP BY ALL) SELECT strategy, round(avg(p), 6) p_5, round(avg(r), 6) r_5, round(avg(rr), 6) mrr FROM h GROUP BY strategy")
+def strategy_comparison(t):
+    """The strategies of the benchmark side by side, as one table with a strategy column."""
+    both = bm25(t).withColumn("strategy", F.lit("bm25")).unionByName(vector(t).select("qid", "rk", "doc_id", "score").withColumn("strategy", F.lit("vector")))
+    rel = relevant(t).withColumn("rel", F.lit(1))
+    n = rel.groupBy("qid").agg(F.count("*").alias("n_rel"))
+    rows = both.join(rel, ["qid", "doc_id"], "left").join(n, "qid", "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    top = F.sum(F.when(F.col("rk") <= 5, F.col("rel")).otherwise(0))
+    each = rows.groupBy("strategy", "qid").agg((top / F.lit(5.0)).alias("p"), F.coalesce(F.try_divide(top, F.max("n_rel")), F.lit(0.0)).alias("r"), F.coalesce(1 / F.min(F.when(F.col("rel") == 1, F.col("rk"))), F.lit(0.0)).alias("rr"))
+    return rounded(each.groupBy("strategy").agg(F.avg("p").alias("p_5"), F.avg("r").alias("r_5"), F.avg("rr").alias("mrr")), "p_5", "r_5", "mrr")
