@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
+import os
 import tempfile
+import threading
+import time
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,6 +61,66 @@ def released_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Holds what Spark hands to Python at a time to some megabytes (one longer row stands alone). A smaller
+    bound that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
+class _Worker:
+    """What a Python worker holds between the tasks it is used for, and a watch that lets it go."""
+
+    IDLE_S = 3.0
+
+    def __init__(self):
+        self.busy, self.since, self.owner, self.caches, self.dirty, self.pid = 0, 0.0, "", (), False, 0
+        self.lock = threading.Lock()
+
+    def release(self) -> None:
+        for c in self.caches:
+            c.clear()
+        self.owner, self.caches, self.dirty = "", (), False
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def watch(self) -> None:
+        while True:
+            time.sleep(1)
+            with self.lock:
+                if self.dirty and not self.busy and time.monotonic() - self.since > self.IDLE_S:
+                    self.release()
+
+
+_worker = _Worker()
+
+
+@contextlib.contextmanager
+def working(name: str, *caches):
+    """Around what an operator does in a Python worker. Spark keeps workers for later tasks, often more of them
+    than run at once; caches and freed memory of an operator are given back when another one starts in the
+    worker or when it has been idle for some seconds. Nothing is let go while a task is at work."""
+    w = _worker
+    with w.lock:
+        if w.pid != os.getpid():  # threads do not survive a fork
+            w.pid = os.getpid()
+            threading.Thread(target=w.watch, daemon=True).start()
+        if w.owner not in ("", name):
+            w.release()
+        w.owner, w.caches, w.dirty = name, caches, True
+        w.busy += 1
+    try:
+        yield
+    finally:
+        with w.lock:
+            w.busy -= 1
+            w.since = time.monotonic()
+
+
 class TwoGenerations:
     """A cache of at most about 2 * size entries: when the young half is full, the old half is let go."""
 

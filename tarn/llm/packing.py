@@ -9,27 +9,38 @@ partly filled bins at most, and no task's work grows with the corpus.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shards, sliced
+from .common import bounded_batches, cut, shards, sliced, working
 
 SHARD_ROWS = 32_768
-CACHED = 300_000
+CACHED = 500_000
 _loaded: dict[str, IdCache] = {}
 
 
+@lru_cache(maxsize=4096)
+def ends_word(letter: str) -> bool:
+    """The vocabulary's own form of the character still ends in a letter (some turn into letter and mark)."""
+    return unicodedata.normalize("NFC", letter).lower()[-1:].isalpha()
+
+
 class IdCache:
     """Ids as little-endian bytes for the part of a text between single spaces, kept for parts seen before.
 
-    The public word vocabulary drops white space and never joins across it, so a text's ids are those of
-    its parts, one after the other.
+    The public word vocabulary lower-cases, drops white space and never joins across it, so a text's ids are
+    those of its parts, one after the other. A part that ends in one mark after a letter is that of the
+    letters and that of the mark, which spares the library most spellings of a word it has seen.
     """
 
+    MARKS = frozenset(".,!?;:")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -38,19 +49,41 @@ class IdCache:
         self.model.no_truncation()
         self.model.no_padding()
 
+    @staticmethod
+    def plain(t: str) -> str:
+        """Lower case and spaces for line ends, where that cannot change an id: not near a special string, and
+        not where lower-casing depends on the neighbours or on composing characters first."""
+        if "<|" in t:
+            return t
+        if t.isascii() or ("\u03a3" not in t and "\u0130" not in t and unicodedata.is_normalized("NFC", t)):
+            t = t.lower()
+        return t.replace("\n", " ")
+
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        parts = [t.split(" ") if t else [] for t in texts]
+        parts = [self.plain(t).split(" ") if t else [] for t in texts]
         known, old = self.known, self.old
-        fresh = []
-        for p in set().union(*parts) - known.keys():
+        fresh, marked = set(), []
+        for p in set().union(*parts, self.MARKS):
+            if p in known:  # a set difference would walk through the whole cache
+                continue
             if (got := old.get(p)) is not None:
                 known[p] = got
+            elif p[-1] in self.MARKS and len(p) > 1 and ends_word(p[-2]):
+                marked.append(p)
+                if (base := p[:-1]) not in known:
+                    if (got := old.get(base)) is not None:
+                        known[base] = got
+                    else:
+                        fresh.add(base)
             else:
-                fresh.append(p)
+                fresh.add(p)
+        fresh = list(fresh)
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
-            for p, e in zip(some, self.model.encode_batch(some, add_special_tokens=False), strict=True):
+            for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
+        for p in marked:
+            known[p] = known[p[:-1]] + known[p[-1]]
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
         if len(known) > CACHED:
             self.old, self.known = known, {"": b""}
@@ -67,8 +100,9 @@ def sum_of_squares(sizes, capacity: int) -> tuple[list[int], list[int]]:
     """(bin, offset) for each size, in the order given; every size must lie in 1..capacity.
 
     open_[g] is the number of open bins with gap g. Filling gap g with size s turns the sum of squares by
-    1 - 2 open_[g], and by 2 open_[g - s] + 1 more unless the bin is then full; a new bin adds
-    2 open_[capacity - s] + 1. Ties go to the tightest gap.
+    1 - 2 open_[g], and by 2 open_[g - s] + 1 more unless the bin is then full. A bin is opened only when
+    no open one has room, which with falling sizes keeps the number of bins at the best-fit mark. Ties go to
+    the tightest gap.
     """
     open_ = np.zeros(capacity + 1, np.int64)
     held: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -81,9 +115,8 @@ def sum_of_squares(sizes, capacity: int) -> tuple[list[int], list[int]]:
         if s < capacity:
             change[1:] += 2 * open_[1 : capacity - s] + 1
         change[here == 0] = far
-        new = 2 * int(open_[capacity - s]) + 1 if s < capacity else 0
         at = int(change.argmin()) if len(change) else -1
-        if at >= 0 and change[at] <= new and change[at] != far:
+        if at >= 0 and change[at] != far:
             gap = s + at
             b = held[gap].pop()
             open_[gap] -= 1
@@ -100,23 +133,25 @@ def sum_of_squares(sizes, capacity: int) -> tuple[list[int], list[int]]:
 
 def tokenized(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most capacity ids: id, piece, start, length, ids_crc32. A null or empty text is one end id."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "piece", "start", "length", "ids_crc32"]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids = id_cache(path)
-        for b in sliced(batches, max_rows=500):
-            rows, out = [], [[], [], [], []]
-            for i, data in enumerate(ids.texts(b.column(1).to_pylist())):
-                data += end
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    rows.append(i)
-                    for to, x in zip(out, (piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        to.append(x)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, out, kinds)], names)
+        with working("packing", _loaded):
+            ids = id_cache(path)
+            for b in sliced(batches, 8 << 20):
+                rows, out = [], [[], [], [], []]
+                for i, data in enumerate(ids.texts(b.column(1).to_pylist())):
+                    data += end
+                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        rows.append(i)
+                        for to, x in zip(out, (piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            to.append(x)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, out, kinds)], names)
 
     picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     return picked.mapInArrow(run, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long")
