@@ -16,12 +16,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut, working
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 8_000
 #: Keys to a bucket at which one task counts them.
-BUCKET_KEYS = 4_000_000
+BUCKET_KEYS = 1_000_000
 FINGERPRINT = 5
 
 
@@ -31,6 +31,7 @@ def batched(docs: DataFrame, id_col: str, text_col: str, note=None, note_type: s
     note(bytes, starts) -> a value for each document, kept in notes. The table is written to the shared folder at
     once, so a batch and its order stay as they are whatever is recomputed later.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"batch string, ids array<{id_type}>, lens array<int>, blob binary" + (f", notes array<{note_type}>" if note else "")
 
@@ -46,18 +47,19 @@ def batched(docs: DataFrame, id_col: str, text_col: str, note=None, note_type: s
                 names.append("notes")
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for b in batches:
-            kind = b.column(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = t.encode() if t else b""
-                if texts and (size + len(t) > BATCH_BYTES or len(texts) >= BATCH_ROWS):
-                    yield row()
-                    ids, texts, size = [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-        if texts:
-            yield row()
+        with working("batches"):
+            for b in batches:
+                kind = b.column(0).type
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    t = t.encode() if t else b""
+                    if texts and (size + len(t) > BATCH_BYTES or len(texts) >= BATCH_ROWS):
+                        yield row()
+                        ids, texts, size = [], [], 0
+                    ids.append(i)
+                    texts.append(t)
+                    size += len(t)
+            if texts:
+                yield row()
 
     return cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
 
@@ -104,23 +106,24 @@ def answered(rows: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        parts = table["prints"].to_pylist()
-        n = [len(p) // FINGERPRINT for p in parts]
-        wide = np.zeros((sum(n), 8), np.uint8)
-        wide[:, :FINGERPRINT] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, FINGERPRINT)
-        keys = wide.view(np.uint64).ravel()
-        del parts, wide
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.ones(len(keys), bool)
-        np.not_equal(keys[1:], keys[:-1], out=first[1:])
-        at = np.flatnonzero(first)
-        totals = np.minimum(np.add.reduceat(counts[order].astype(np.int64), at), 255).astype(np.uint8) if len(at) else counts[:0]
-        out = np.empty(len(keys), np.uint8)
-        out[order] = np.repeat(totals, np.diff(np.append(at, len(keys))))
-        ends = np.cumsum([0, *n])
-        return pa.table({"batch": table["batch"], "bucket": table["bucket"], "totals": pa.array([out[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)], pa.binary())})
+        with working("batches"):
+            parts = table["prints"].to_pylist()
+            n = [len(p) // FINGERPRINT for p in parts]
+            wide = np.zeros((sum(n), 8), np.uint8)
+            wide[:, :FINGERPRINT] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, FINGERPRINT)
+            keys = wide.view(np.uint64).ravel()
+            del parts, wide
+            counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.ones(len(keys), bool)
+            np.not_equal(keys[1:], keys[:-1], out=first[1:])
+            at = np.flatnonzero(first)
+            totals = np.minimum(np.add.reduceat(counts[order].astype(np.int64), at), 255).astype(np.uint8) if len(at) else counts[:0]
+            out = np.empty(len(keys), np.uint8)
+            out[order] = np.repeat(totals, np.diff(np.append(at, len(keys))))
+            ends = np.cumsum([0, *n])
+            return pa.table({"batch": table["batch"], "bucket": table["bucket"], "totals": pa.array([out[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)], pa.binary())})
 
     return rows.groupBy("bucket").applyInArrow(run, "batch string, bucket int, totals binary")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shards
+from .common import bounded_batches, cut, shards, working
 
 SLOTS, GRAM, PHASES = 128, 4, 8
 BLOCK = 1 << 20
@@ -155,6 +155,7 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Ids are dealt to slices at quantiles, one task for each; the first row of a slice is sent to the slice
     before it as well, so no order over all rows is ever made in one place.
     """
+    bounded_batches(docs.sparkSession)
     low = np.iinfo(np.int64).min
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(low))
     rows = docs.select(key.alias("key"), F.col(id_col).isNotNull().alias("named"), F.col(text_col).alias("text"))
@@ -175,24 +176,25 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.full(part.num_rows, ahead)), *part.columns], ["slice", "ahead", "key", "named", "text"])
 
     def run(table: pa.Table) -> pa.Table:
-        found = [(a, k, t or "", m) for a, k, t, m in zip(*(table[c].to_pylist() for c in ("ahead", "key", "text", "named")), strict=True)]
-        del table
-        found.sort(key=lambda r: r[:3])
-        own = [r for r in found if not r[0]]
-        after = next((r for r in found if r[0]), None)
-        ring = [*own, after] if after else own
-        prints: dict[str, bytes] = {}
-        out = []
-        for (_, k, t, named), (_, _, following, _) in zip(own, ring[1:], strict=False):
-            half = len(t) // 2
-            edited = t[: len(t) - half] + following[:half]
-            mine = prints.get("at") if prints.get("text") is t else fingerprint(t)
-            changed, theirs = fingerprint(edited), fingerprint(following)
-            prints = {"text": following, "at": theirs}
-            out.append((k if named else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), mine.hex(), changed.hex(), likeness(mine, changed), likeness(mine, theirs)))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        columns = list(zip(*out, strict=True)) if out else [()] * 7
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        with working("edit_fingerprint"):
+            found = [(a, k, t or "", m) for a, k, t, m in zip(*(table[c].to_pylist() for c in ("ahead", "key", "text", "named")), strict=True)]
+            del table
+            found.sort(key=lambda r: r[:3])
+            own = [r for r in found if not r[0]]
+            after = next((r for r in found if r[0]), None)
+            ring = [*own, after] if after else own
+            prints: dict[str, bytes] = {}
+            out = []
+            for (_, k, t, named), (_, _, following, _) in zip(own, ring[1:], strict=False):
+                half = len(t) // 2
+                edited = t[: len(t) - half] + following[:half]
+                mine = prints.get("at") if prints.get("text") is t else fingerprint(t)
+                changed, theirs = fingerprint(edited), fingerprint(following)
+                prints = {"text": following, "at": theirs}
+                out.append((k if named else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), mine.hex(), changed.hex(), likeness(mine, changed), likeness(mine, theirs)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     dealt = rows.mapInArrow(deal, "slice long, ahead boolean, key long, named boolean, text string")

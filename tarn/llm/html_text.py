@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import bounded_batches, sliced
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -387,6 +387,7 @@ def visible_text(source: str | None) -> str:
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Per row: id, text. A null or empty page has an empty text; anything else is taken as HTML, however
     broken. Rows repeat if the input's do; other columns are not read. One pass, no shuffle."""
+    bounded_batches(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, sliced, words
+from .common import ascii_lower, bounded_batches, sliced, words, working
 
 BITS = 18
 #: Documented bound: at most so many labelled rows are used for training (all, if there are fewer).
-SAMPLE = 20_000
+SAMPLE = 10_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 0.1, 1e-4, 1e-3
 SCALE = 8.0
@@ -106,23 +106,27 @@ class Ftrl:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> np.ndarray:
     """2**BITS weights and the bias. Rows without id or label teach nothing; of several labels the least counts."""
+    bounded_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("label"))
     chosen = chosen.withColumn("turn", F.xxhash64(F.col("_id").cast("string"))).orderBy("turn", "_id").limit(sample)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("turn", "label", "text")
 
     def encode(batches):
-        for b in sliced(batches):
-            found = [sparse(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array([f[0].astype("<u4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary())], ["turn", "label", "at", "x"])
+        with working("quality", _table):
+            for b in sliced(batches):
+                found = [sparse(t) for t in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array([f[0].astype("<u4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f2").tobytes() for f in found], pa.binary())], ["turn", "label", "at", "x"])
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("turn", "ascending"), ("at", "ascending")])
-        model = Ftrl(1 << BITS)
-        for _ in range(EPOCHS):
-            for label, at, x in zip(table["label"].to_pylist(), table["at"], table["x"], strict=True):
-                at = np.append(np.frombuffer(at.as_py(), "<u4").astype(np.int64), 1 << BITS)
-                model.update(at, np.append(np.frombuffer(x.as_py(), "<f4").astype(float), 1.0), int(label > 0))
-        return pa.table({"weights": pa.array([model.weights(np.arange((1 << BITS) + 1)).astype("<f4").tobytes()], pa.binary())})
+        with working("quality", _table):
+            turns, labels, places, values = (table[c] for c in ("turn", "label", "at", "x"))
+            order = np.argsort(turns.to_numpy(), kind="stable").tolist()
+            model = Ftrl(1 << BITS)
+            for _ in range(EPOCHS):
+                for i in order:
+                    at = np.append(np.frombuffer(places[i].as_py(), "<u4").astype(np.int64), 1 << BITS)
+                    model.update(at, np.append(np.frombuffer(values[i].as_py(), "<f2").astype(float), 1.0), int(labels[i].as_py() > 0))
+            return pa.table({"weights": pa.array([model.weights(np.arange((1 << BITS) + 1)).astype("<f4").tobytes()], pa.binary())})
 
     encoded = rows.mapInArrow(encode, "turn long, label int, at binary, x binary")
     got = encoded.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "weights binary").first()  # at most sample rows; the model has a fixed size
@@ -131,14 +135,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
 
 def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, score. A null or empty text has the bias alone for its score."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        w, bias = model.value[:-1], float(model.value[-1])
-        for b in sliced(batches):
-            logits = np.array([bias + SCALE * sum(float(w[f].mean()) for f in features(t) if len(f)) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))), pa.float64())], [id_col, "score"])
+        with working("quality", _table):
+            w, bias = model.value[:-1], float(model.value[-1])
+            for b in sliced(batches):
+                logits = np.array([bias + SCALE * sum(float(w[f].mean()) for f in features(t) if len(f)) for t in b.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))), pa.float64())], [id_col, "score"])
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {id_type}, score double")
 
@@ -162,13 +168,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *, id_c
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of docs that the classifier does not reject, with all of their columns, in one pass over docs."""
     weights = train(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col)
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     place = docs.columns.index(text_col)
 
     def run(batches):
-        w, bias = model.value[:-1], float(model.value[-1])
-        for b in sliced(batches):
-            logits = np.array([bias + SCALE * sum(float(w[f].mean()) for f in features(t) if len(f)) for t in b.column(place).to_pylist()])
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))) >= threshold))
+        with working("quality", _table):
+            w, bias = model.value[:-1], float(model.value[-1])
+            for b in sliced(batches):
+                logits = np.array([bias + SCALE * sum(float(w[f].mean()) for f in features(t) if len(f)) for t in b.column(place).to_pylist()])
+                yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(logits, -35, 35))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import SENT, answered, batched, bucket_bits, sent, totals_of, unpacked
-from .common import cut
+from .common import cut, working
 
 LENGTH, K = 50, 24
 SPREAD = LENGTH - K + 1  # anchors to choose from in a window, and windows to a segment at most
@@ -252,96 +252,106 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows with one id all stay. A null id counts as larger than any other. A null text is empty; a text of
     fewer than LENGTH bytes stays whole. An empty table gives an empty result; other columns are not read.
     """
+    return _removed(docs, id_col, text_col, "binary")
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, kept_type: str) -> DataFrame:
+    """remove_repeats with what is kept as binary, or as string without the characters that were cut."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = batched(docs, "id", "text")
     size = table.agg(F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     bits = bucket_bits(2 * size // (SPREAD + 1))
-    segment_bits = bucket_bits(32 * size // (SPREAD + 1))
+    segment_bits = bucket_bits(8 * size // (SPREAD + 1))
 
     def send(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                keys, counts = Anchors(*unpacked(b["lens"][i].as_py(), b["blob"][i].as_py())).documents_per_key()
-                if len(keys):
-                    yield sent(b["batch"][i].as_py(), keys, counts, bits)
+        with working("batches"):
+            for b in batches:
+                for i in range(b.num_rows):
+                    keys, counts = Anchors(*unpacked(b["lens"][i].as_py(), b["blob"][i].as_py())).documents_per_key()
+                    if len(keys):
+                        yield sent(b["batch"][i].as_py(), keys, counts, bits)
 
     counts = cut(answered(table.select("batch", "lens", "blob").mapInArrow(send, SENT)))
 
     def send_segments(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
-        if left.num_rows and right.num_rows:
-            anchors = Anchors(*unpacked(left["lens"][0].as_py(), left["blob"][0].as_py()))
-            rows, keys, mine, which = anchors.segments(totals_of(right) >= 2)
-            ids = np.full(len(rows), NO_ID)
-            np.minimum.at(ids, which, _ids(left["ids"][0].as_py())[anchors.doc[mine]])
-            edges = np.searchsorted(keys, np.arange(1, 1 << segment_bits, dtype=np.uint64) << np.uint64(64 - segment_bits)) if segment_bits else []
-            ends = [0, *map(int, edges), len(rows)]
-            for k, (a, z) in enumerate(zip(ends, ends[1:], strict=False)):
-                if z > a:
-                    for to, x in zip(out, (k, left["batch"][0].as_py(), rows[a:z].tobytes(), ids[a:z].tobytes()), strict=True):
-                        to.append(x)
-        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "rows", "ids"])
+        with working("batches"):
+            out = [[], [], [], []]
+            if left.num_rows and right.num_rows:
+                anchors = Anchors(*unpacked(left["lens"][0].as_py(), left["blob"][0].as_py()))
+                rows, keys, mine, which = anchors.segments(totals_of(right) >= 2)
+                ids = np.full(len(rows), NO_ID)
+                np.minimum.at(ids, which, _ids(left["ids"][0].as_py())[anchors.doc[mine]])
+                edges = np.searchsorted(keys, np.arange(1, 1 << segment_bits, dtype=np.uint64) << np.uint64(64 - segment_bits)) if segment_bits else []
+                ends = [0, *map(int, edges), len(rows)]
+                for k, (a, z) in enumerate(zip(ends, ends[1:], strict=False)):
+                    if z > a:
+                        for to, x in zip(out, (k, left["batch"][0].as_py(), rows[a:z].tobytes(), ids[a:z].tobytes()), strict=True):
+                            to.append(x)
+            return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "rows", "ids"])
 
     def scan(t: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(t["rows"].to_pylist()), np.uint8).reshape(-1, WIDTH)
-        ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.int64)
-        n = [len(x) // 8 for x in t["ids"].to_pylist()]
-        _, at, which = np.unique(row_names(rows, keys_of_segments(rows)), return_index=True, return_inverse=True)
-        owner = np.full(len(at), NO_ID)
-        np.minimum.at(owner, which.ravel(), ids)
-        per, lengths, smallest = _runs(*smallest_per_window(rows[at], owner))
-        first = np.append(0, np.cumsum(per))
-        out = [[], [], []]
-        ends = np.cumsum([0, *n])
-        for a, z in zip(ends, ends[1:], strict=False):
-            mine = which.ravel()[a:z]
-            size = per[mine]
-            take = np.repeat(first[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            for to, x in zip(out, (size.astype(np.uint8), lengths[take].astype(np.uint8), smallest[take]), strict=True):
-                to.append(x.tobytes())
-        return pa.table([t["batch"], t["bucket"], *(pa.array(x, pa.binary()) for x in out)], ["batch", "bucket", "per", "lengths", "smallest"])
+        with working("batches"):
+            rows = np.frombuffer(b"".join(t["rows"].to_pylist()), np.uint8).reshape(-1, WIDTH)
+            ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.int64)
+            n = [len(x) // 8 for x in t["ids"].to_pylist()]
+            _, at, which = np.unique(row_names(rows, keys_of_segments(rows)), return_index=True, return_inverse=True)
+            owner = np.full(len(at), NO_ID)
+            np.minimum.at(owner, which.ravel(), ids)
+            per, lengths, smallest = _runs(*smallest_per_window(rows[at], owner))
+            first = np.append(0, np.cumsum(per))
+            out = [[], [], []]
+            ends = np.cumsum([0, *n])
+            for a, z in zip(ends, ends[1:], strict=False):
+                mine = which.ravel()[a:z]
+                size = per[mine]
+                take = np.repeat(first[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                for to, x in zip(out, (size.astype(np.uint8), lengths[take].astype(np.uint8), smallest[take]), strict=True):
+                    to.append(x.tobytes())
+            return pa.table([t["batch"], t["bucket"], *(pa.array(x, pa.binary()) for x in out)], ["batch", "bucket", "per", "lengths", "smallest"])
 
     whole = table.groupBy("batch").cogroup(counts.groupBy("batch"))
     runs = cut(whole.applyInArrow(send_segments, SEGMENTS).groupBy("bucket").applyInArrow(scan, RUNS))
 
     def remove(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, lens = left["ids"][0].as_py(), left["lens"][0].as_py()
-        data, starts = unpacked(lens, left["blob"][0].as_py())
-        covered = np.zeros(len(data) + 1, np.int32)
-        if right.num_rows:
-            anchors = Anchors(data, starts)
-            ours = right.filter(pc.is_valid(right["totals"]))
-            rows, _, mine, which = anchors.segments(totals_of(ours) >= 2)
-            if len(rows):
-                theirs = right.filter(pc.is_valid(right["per"]))
-                order = np.argsort(theirs["bucket"].to_numpy())
-                joined = lambda c, kind: np.frombuffer(b"".join(theirs[c][int(i)].as_py() for i in order), kind)
-                per, lengths, smallest = joined("per", np.uint8).astype(np.int64), joined("lengths", np.uint8).astype(np.int64), joined("smallest", np.int64)
-                first = np.append(0, np.cumsum(per))
-                size = per[which]
-                take = np.repeat(first[which] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                occurrence = np.repeat(np.arange(len(mine)), size)
-                from_ = np.append(0, np.cumsum(lengths))[take] - np.append(0, np.cumsum(lengths))[first[which[occurrence]]] + anchors.first[mine[occurrence]]
-                gone = smallest[take] < _ids(ids)[anchors.doc[mine[occurrence]]]
-                np.add.at(covered, from_[gone], 1)
-                np.add.at(covered, (from_ + lengths[take] + LENGTH - 1)[gone], -1)
-        mask = np.cumsum(covered[:-1]) > 0
-        text = np.frombuffer(data, np.uint8)
-        spans, kept = [], []
-        for a, z in zip(starts, starts[1:], strict=False):
-            m = mask[a:z]
-            if m.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], m.view(np.int8), [0]))))
-                spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-                kept.append(text[a:z][~m].tobytes())
-            else:
-                spans.append([])
-                kept.append(data[a:z])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(lens, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+        with working("batches"):
+            ids, lens = left["ids"][0].as_py(), left["lens"][0].as_py()
+            data, starts = unpacked(lens, left["blob"][0].as_py())
+            covered = np.zeros(len(data) + 1, np.int32)
+            if right.num_rows:
+                anchors = Anchors(data, starts)
+                ours = right.filter(pc.is_valid(right["totals"]))
+                rows, _, mine, which = anchors.segments(totals_of(ours) >= 2)
+                if len(rows):
+                    theirs = right.filter(pc.is_valid(right["per"]))
+                    order = np.argsort(theirs["bucket"].to_numpy())
+                    joined = lambda c, kind: np.frombuffer(b"".join(theirs[c][int(i)].as_py() for i in order), kind)
+                    per, lengths, smallest = joined("per", np.uint8).astype(np.int64), joined("lengths", np.uint8).astype(np.int64), joined("smallest", np.int64)
+                    first = np.append(0, np.cumsum(per))
+                    size = per[which]
+                    take = np.repeat(first[which] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    occurrence = np.repeat(np.arange(len(mine)), size)
+                    from_ = np.append(0, np.cumsum(lengths))[take] - np.append(0, np.cumsum(lengths))[first[which[occurrence]]] + anchors.first[mine[occurrence]]
+                    gone = smallest[take] < _ids(ids)[anchors.doc[mine[occurrence]]]
+                    np.add.at(covered, from_[gone], 1)
+                    np.add.at(covered, (from_ + lengths[take] + LENGTH - 1)[gone], -1)
+            mask = np.cumsum(covered[:-1]) > 0
+            text = np.frombuffer(data, np.uint8)
+            spans, kept = [], []
+            for a, z in zip(starts, starts[1:], strict=False):
+                m = mask[a:z]
+                if m.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], m.view(np.int8), [0]))))
+                    spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
+                    kept.append(text[a:z][~m].tobytes())
+                else:
+                    spans.append([])
+                    kept.append(data[a:z])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+            left_over = pa.array(kept, pa.binary()) if kept_type == "binary" else pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            return pa.table([pa.array(ids, pa.int64()), pa.array(lens, pa.int64()), pa.array(spans, kind), left_over], ["id", "n_bytes", "spans", "kept"])
 
     answers = counts.select("batch", "bucket", "totals", *(F.lit(None).cast("binary").alias(c) for c in ("per", "lengths", "smallest"))).unionByName(runs.withColumn("totals", F.lit(None).cast("binary")))
-    out = table.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, "id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary")
+    out = table.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, f"id long, n_bytes long, spans array<struct<start:long,length:long>>, kept {kept_type}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -351,12 +361,9 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Cutting bytes may split a character; what is left of it is dropped. A null text stays null. Rows are
     joined by id, so ids should be distinct: a repeated id takes the text of one of its rows.
     """
-    def decoded(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], ["_id", "_kept"])
-
-    changed = remove_repeats(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0)
-    changed = changed.select(F.col(id_col).alias("_id"), "kept").mapInArrow(decoded, "_id long, _kept string").dropDuplicates(["_id"])
+    # One Python step, not two in a row: each would keep a worker of its own.
+    changed = _removed(docs, id_col, text_col, "string").where(F.size("spans") > 0)
+    changed = changed.select(F.col(id_col).alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"])
     out = docs.join(changed, docs[id_col] == F.col("_id"), "left").withColumn(text_col, F.coalesce("_kept", text_col))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, sliced
+from .common import bounded_batches, sliced, TwoGenerations, working
 
 #: Fixed value: the public byte-level pre-tokenisation rule.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -127,14 +127,16 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     Special strings inside a text count as one token each, as the library's default has it. Other columns
     are not read. One pass, no shuffle; a very long text is worked on alone.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        c = counter(path)
-        for b in sliced(batches):
-            n = pa.array([c.count(t) for t in b.column(1).to_pylist()], pa.int64())
-            size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
+        with working("token_count", _loaded):
+            c = counter(path)
+            for b in sliced(batches):
+                n = pa.array([c.count(t) for t in b.column(1).to_pylist()], pa.int64())
+                size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     return picked.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
