@@ -27,6 +27,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffled(id_: Column, seed: int) -> Column:
+    """A place in the shuffled order: 60 bits of a digest that any SQL engine can work out."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...], max_repeat: int) -> DataFrame:
     """Adds sid, target and slices to a table (source, n, source_size); null sources come last.
 
@@ -61,11 +66,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), *, max_repeat:
     an empty result. Other columns are not read. The order within a source is a seeded hash of the id.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = cut(rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id").cast("string")), 1)))
+    rows = cut(rows.withColumn("h", shuffled(F.col("id"), seed)))
     sources = cut(targets(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, max_repeat))
     per = sources.withColumn("slices", F.ceil(F.col("n") / slice_rows))
     rows = rows.withColumnRenamed("source", "own_source").join(small(per, sources.count()), F.col("own_source").eqNullSafe(F.col("source"))).drop("own_source")
-    rows = rows.withColumn("slice", F.floor(F.shiftrightunsigned("h", 32) * F.col("slices") / F.lit(2.0**31)))
+    rows = rows.withColumn("slice", F.floor(F.shiftrightunsigned("h", 29) * F.col("slices") / F.lit(2.0**31)))
 
     totals = rows.groupBy("sid", "slice").agg(F.sum("size").alias("words"))
     before = W.partitionBy("sid").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)

@@ -60,7 +60,7 @@ def test_order_by_brute_force(spark):
     """The documents taken are the first of the global order of finish times that fit the budget."""
     docs = make(spark, 300, 5)
     got = mixing.mix(docs, (1, 4), slice_rows=50)
-    h = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "shiftrightunsigned(xxhash64(7, cast(doc_id as string)), 1) h").collect()}
+    h = {r.doc_id: r.h for r in docs.select("doc_id", mixing.shuffled(docs.doc_id, 7).alias("h")).collect()}
     rows = [(r.source, r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in got.collect()]
     turns = []
     for s in {r[0] for r in rows}:
