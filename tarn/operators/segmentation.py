@@ -70,6 +70,33 @@ def windows(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", size: i
     return docs.where(F.length(text) > 0).select(id_, F.col(text).alias("_text"), F.posexplode(starts).alias("window", "at")).select(id_, "window", F.substring(F.col("_text"), F.col("at") + 1, F.lit(size)).alias("content"))
 
 
+def sentence_windows(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """id, window, start, end, content: windows that end after the last boundary of the first kind found past half
+    of the size (full stop and space, full stop and line end, question mark, exclamation and line end); the next
+    one starts overlap characters before. Where a window ends depends on the one before, so rows pass through
+    Arrow in batches."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for i, t in zip(frame[id_], frame[text], strict=True):
+                start, n, k = 0, len(t or ""), 0
+                while start < n:
+                    end = min(start + size, n)
+                    if end < n:
+                        found = ((t.rfind(b, start, end), len(b)) for b in (". ", ".\n", "? ", "!\n"))
+                        end = next((at + m for at, m in found if at - start > size * 0.5), end)
+                    if part := t[start:end].strip():
+                        out.append((i, k, start, end, part))
+                        k += 1
+                    start = end - overlap if end < n else n
+            yield pd.DataFrame(out, columns=[id_, "window", "start", "end", "content"])
+
+    kind = docs.schema[id_].dataType.simpleString()
+    return docs.select(id_, text).mapInPandas(run, f"`{id_}` {kind}, window int, start int, end int, content string")
+
+
 def paragraph_scores(docs: DataFrame, terms: tuple[str, ...], *, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """id, pos, score, before, after: distinct terms in each paragraph, with the paragraphs around it."""
     parts = docs.select(id_, F.posexplode(F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda p: F.length(p) > 0)).alias("pos", "paragraph"))

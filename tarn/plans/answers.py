@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import adjust, calibration, evidence, rerank, retrieval, understanding
 
 
@@ -32,7 +33,7 @@ def answered(questions: DataFrame, docs: DataFrame, *, k: int = 25, context: int
     ranked = ranked_for(questions, docs, k)
     rows = ranked.join(docs.select("doc_id", F.col("text").alias("content"), "title"), "doc_id").join(questions.select("qid", "question"), "qid")
     words = F.array_distinct(F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.length(w) > 4))
-    kept = rerank.pruned(rows, words, context, 0.0).select("qid", "doc_id", "content", "title", "rk")
+    kept = cut(rerank.pruned(rows, words, context, 0.0).select("qid", "doc_id", "content", "title", "rk"))
     options = questions.select("qid", F.explode("options").alias("label", "option"))
     scored = evidence.option_scores(evidence.pair_scores(options.join(kept, "qid")))
     chosen = evidence.choose(scored).join(scored.select("qid", F.col("label").alias("selected"), "total", "n_sources"), ["qid", "selected"])

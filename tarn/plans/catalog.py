@@ -818,3 +818,8 @@ def strategy_comparison(t):
     top = F.sum(F.when(F.col("rk") <= 5, F.col("rel")).otherwise(0))
     each = rows.groupBy("strategy", "qid").agg((top / F.lit(5.0)).alias("p"), F.coalesce(F.try_divide(top, F.max("n_rel")), F.lit(0.0)).alias("r"), F.coalesce(1 / F.min(F.when(F.col("rel") == 1, F.col("rk"))), F.lit(0.0)).alias("rr"))
     return rounded(each.groupBy("strategy").agg(F.avg("p").alias("p_5"), F.avg("r").alias("r_5"), F.avg("rr").alias("mrr")), "p_5", "r_5", "mrr")
+
+
+@query()
+def sentence_windows(t):
+    return G.sentence_windows(t("documents"))

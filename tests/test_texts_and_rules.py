@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import plugins
-from tarn.operators import adjust, evidence, rerank, safety, segmentation, tagging, tuning, understanding
+from tarn.operators import adjust, diagnosis, evidence, rerank, safety, segmentation, tagging, tuning, understanding
 from tarn.plans import answers
 from tarn.sources import readers, sinks
 from tarn.streaming import events
@@ -185,3 +185,23 @@ def test_streams_run_the_same_plan(spark, tmp_path):
     run.awaitTermination(120)
     assert {(str(r.start), r.n) for r in spark.table("tumbled").collect()} == {(str(r.start), r.n) for r in events.tumbling(batch, "10 minutes").collect()}
     assert events.deduplicated(events.source(spark, str(tmp_path / "in"))).isStreaming
+
+
+def test_differentials_steps_and_rationale(spark):
+    found = spark.createDataFrame([(1, "chest pain"), (1, "Fever"), (2, "itch")], "qid long, symptom string")
+    context = spark.createDataFrame([(1, "Myocardial infarction and pulmonary embolism"), (1, "Sepsis; pulmonary embolism")], "qid long, content string")
+    got = [(r.place, r.diagnosis, round(r.support, 3)) for r in diagnosis.differentials(found, context).orderBy("place").collect()]
+    assert got == [(1, "pulmonary embolism", 0.667), (2, "myocardial infarction", 0.333), (3, "sepsis", 0.333)]
+    row = spark.createDataFrame([(["pain"], ["angina", "mi"], "A", ["Aspirin 300 mg"])], "s array<string>, d array<string>, a string, e array<string>")
+    r = row.select(diagnosis.steps(*map(F.col, "sdae")).alias("steps"), diagnosis.rationale(F.col("a"), F.lit("direct"), F.col("e")).alias("why")).first()
+    assert [s.description for s in r.steps] == list(diagnosis.STEPS) and r.steps[0].reasoning == "pain"
+    assert "Aspirin 300 mg" in r.why
+
+
+def test_sentence_windows(spark):
+    text = "One two three. " * 30
+    got = segmentation.sentence_windows(spark.createDataFrame([(1, text), (2, None), (3, "short")], "doc_id long, text string"), size=100, overlap=20).orderBy("doc_id", "window").collect()
+    mine = [r for r in got if r.doc_id == 1]
+    assert all(text[r.start : r.end].strip() == r.content for r in mine) and mine[0].content.endswith(".")
+    assert all(b.start == a.end - 20 for a, b in zip(mine, mine[1:])) and mine[-1].end == len(text)
+    assert [(r.doc_id, r.content) for r in got if r.doc_id > 1] == [(3, "short")]
