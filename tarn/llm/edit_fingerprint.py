@@ -22,11 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, shards, working
+from .jaccard_join import components
 
 SLOTS, GRAM, PHASES = 128, 4, 8
 BLOCK = 1 << 20
 SLICE_ROWS = 4_000
 BANDS, BAND_SLOTS = 24, 5
+LEAST_LIKENESS = 0.8
+#: Members of a band that one task holds against as many others.
+BLOCK_MEMBERS = 2_048
 _TABLE_ROWS = 2048
 
 
@@ -202,21 +206,56 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
-def near_copies(found: DataFrame, least: float = 0.8) -> DataFrame:
-    """(fingerprint, other, near): pairs of distinct fingerprints in a band together with likeness of at least
-    least, for a table with a fingerprint column.
-
-    Equal fingerprints are one entry. Each of BANDS bands is BAND_SLOTS sampled slots; a band's members are
-    held against the smallest of them, so a large group of near copies gives a star for each band and not
-    all of its pairs. A band without any step (very short texts) makes no candidates.
-    """
-    entries = cut(found.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct())
+def _band_members(entries: DataFrame) -> DataFrame:
+    """(key, band) for entries (key, fingerprint); a band without any step (very short texts) is left out."""
     slots = np.random.default_rng(11).permuted(np.tile(np.arange(SLOTS), (BANDS, 1)), axis=1)[:, :BAND_SLOTS]
     bands = F.array(*(F.concat(F.lit(f"{b}:"), *(F.substring("fingerprint", 2 * int(s) + 1, 2) for s in row)) for b, row in enumerate(slots)))
     empty = "00" * BAND_SLOTS
-    members = cut(entries.select("fingerprint", F.explode(bands).alias("band")).where(~F.col("band").endswith(empty)))
-    hubs = members.groupBy("band").agg(F.min("fingerprint").alias("other"))
-    pairs = members.join(hubs, "band").where("fingerprint <> other").select("fingerprint", "other").distinct()
+    return cut(entries.select("key", F.explode(bands).alias("band")).where(~F.col("band").endswith(empty)))
+
+
+def _pairs(members: DataFrame, across: bool) -> DataFrame:
+    """(a, b), a < b: all pairs of keys that share a band; across: of two labels only. Bands of many members are
+    cut into blocks, each of which meets each."""
+    blocks = members.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    blocks = blocks.select("band", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    label = ["label"] if across else []
+    x = dealt.select("band", F.col("own").alias("x"), F.col("met").alias("y"), F.col("key").alias("a"), *(F.col(c).alias("a_label") for c in label))
+    y = dealt.select("band", F.col("met").alias("x"), F.col("own").alias("y"), F.col("key").alias("b"), *(F.col(c).alias("b_label") for c in label))
+    met = x.join(y, ["band", "x", "y"]).where("a < b")
+    return (met.where("a_label <> b_label") if across else met).select("a", "b").distinct()
+
+
+def _near(entries: DataFrame, every: bool, verified) -> DataFrame:
+    """verified(pairs) of pairs (a, b) of entries (key, fingerprint) that share a band: of all of them, or of as
+    many as connect exactly the keys that all connect."""
+    members = _band_members(entries)
+    if every:
+        return verified(_pairs(members, False))
+    hubs = members.groupBy("band").agg(F.min("key").alias("a"))
+    tried = cut(members.join(hubs, "band").where("a <> key").select("a", F.col("key").alias("b")).distinct())
+    links = cut(verified(tried))
+    labels = components(links)
+    labelled = members.join(labels, members.key == labels.node, "left").select("key", "band", F.coalesce("label", "key").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
+    more = verified(_pairs(cut(labelled.join(mixed, "band")), True).join(tried, ["a", "b"], "left_anti"))
+    return links.unionByName(more)
+
+
+def near_copies(found: DataFrame, least: float = LEAST_LIKENESS, *, every: bool = True) -> DataFrame:
+    """(fingerprint, other, near): pairs of distinct fingerprints in a band together with likeness of at least
+    least, for a table with a fingerprint column; other is the smaller.
+
+    Equal fingerprints are one entry. Each of BANDS bands is BAND_SLOTS sampled slots. With every=False, pairs
+    within one group are left out once the group is joined: each member is held against the smallest of its
+    bands, then all pairs left between two groups against each other, so the links given join exactly the
+    fingerprints that all links join, and a large group is not expanded into all of its pairs.
+
+    Likeness is no edit similarity: see near_texts.
+    """
+    entries = cut(found.where(F.col("fingerprint").isNotNull()).select(F.col("fingerprint").alias("key")).distinct()).select("key", F.col("key").alias("fingerprint"))
 
     def verify(batches):
         for b in batches:
@@ -224,4 +263,5 @@ def near_copies(found: DataFrame, least: float = 0.8) -> DataFrame:
             out = b.append_column("near", pa.array(near, pa.float64()))
             yield out.filter(pa.array([x >= least for x in near], pa.bool_()))
 
-    return pairs.mapInArrow(verify, "fingerprint string, other string, near double")
+    near = _near(entries, every, lambda pairs: pairs.mapInArrow(verify, "a string, b string, near double"))
+    return near.select(F.col("b").alias("fingerprint"), F.col("a").alias("other"), "near")

@@ -84,3 +84,33 @@ def test_near_copies(spark):
     pairs = E.near_copies(E.fingerprints(spark.createDataFrame([*rows, (99, None), (98, "")], "doc_id long, text string")), 0.5).collect()
     assert pairs and all(of[p.fingerprint] == of[p.other] for p in pairs)
     assert len({of[p.fingerprint] for p in pairs}) >= 5  # walks that part early and meet late can miss a group
+
+
+def test_near_copies_finds_pairs_that_the_hub_of_their_bands_is_not_like(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK_MEMBERS", 3)
+    rng = random.Random(7)
+    prints = []
+    for _ in range(12):
+        x = bytes([0x80 + rng.randrange(64) for _ in range(E.SLOTS)])
+        lower = bytes(c - 0x40 if rng.random() < 0.3 else c for c in x)  # the smallest of the bands it shares
+        prints += [x, bytes(c ^ 1 if rng.random() < 0.08 else c for c in x), bytes(c ^ 2 if rng.random() < 0.08 else c for c in x), bytes([1]) + lower[1:]]
+    slots = np.random.default_rng(11).permuted(np.tile(np.arange(E.SLOTS), (E.BANDS, 1)), axis=1)[:, : E.BAND_SLOTS]
+    want = set()
+    for x in prints:
+        for y in prints:
+            if y < x and any(all(x[s] == y[s] for s in row) for row in slots) and E.likeness(x, y) >= 0.75:
+                want.add((x.hex(), y.hex()))
+    df = spark.createDataFrame([(p.hex(),) for p in prints], "fingerprint string")
+    got = E.near_copies(df, 0.75).collect()
+    assert len(got) == len(want) and {(r.fingerprint, r.other) for r in got} == want
+
+    def groups(links):
+        of = {p.hex(): {p.hex()} for p in prints}
+        for a, b in links:
+            both = of[a] | of[b]
+            for p in both:
+                of[p] = both
+        return {frozenset(g) for g in of.values()}
+
+    fewer = {(r.fingerprint, r.other) for r in E.near_copies(df, 0.75, every=False).collect()}
+    assert fewer <= want and groups(fewer) == groups(want) and any(len(g) > 1 for g in groups(want))
