@@ -27,8 +27,11 @@ from .jaccard_join import components
 SLOTS, GRAM, PHASES = 128, 4, 8
 BLOCK = 1 << 20
 SLICE_ROWS = 4_000
-BANDS, BAND_SLOTS = 24, 5
-LEAST_LIKENESS = 0.8
+#: Enough bands, and few enough slots in each, for nineteen in twenty texts with up to 1 % of their characters edited.
+BANDS, BAND_SLOTS = 42, 3
+#: Likeness that about nineteen in twenty such texts keep; unrelated ones reach it once in a thousand pairs.
+LEAST_LIKENESS = 0.06
+LEAST_SIMILARITY = 0.99
 #: Members of a band that one task holds against as many others.
 BLOCK_MEMBERS = 2_048
 _TABLE_ROWS = 2048
@@ -253,7 +256,8 @@ def near_copies(found: DataFrame, least: float = LEAST_LIKENESS, *, every: bool
     bands, then all pairs left between two groups against each other, so the links given join exactly the
     fingerprints that all links join, and a large group is not expanded into all of its pairs.
 
-    Likeness is no edit similarity: see near_texts.
+    Likeness is no edit similarity (a single edit can part two walks for long): near_texts holds the texts
+    themselves against each other.
     """
     entries = cut(found.where(F.col("fingerprint").isNotNull()).select(F.col("fingerprint").alias("key")).distinct()).select("key", F.col("key").alias("fingerprint"))
 
@@ -265,3 +269,78 @@ def near_copies(found: DataFrame, least: float = LEAST_LIKENESS, *, every: bool
 
     near = _near(entries, every, lambda pairs: pairs.mapInArrow(verify, "a string, b string, near double"))
     return near.select(F.col("b").alias("fingerprint"), F.col("a").alias("other"), "near")
+
+
+def _alike(a: str, b: str, i: int, j: int) -> int:
+    """How many characters from a[i] and b[j] on are equal."""
+    at, step, size, growing = 0, 8, min(len(a) - i, len(b) - j), True
+    while at < size:
+        w = min(step, size - at)
+        if a[i + at : i + at + w] == b[j + at : j + at + w]:
+            at += w
+            step = 2 * step if growing else max(1, step // 2)
+        elif w == 1:
+            break
+        else:
+            step, growing = w // 2, False
+    return at
+
+
+def edits_within(a: str, b: str, most: int) -> int | None:
+    """Edit distance (insert, delete, replace) if it is at most most, else None.
+
+    Per number of edits, the furthest place that each diagonal of the band reaches; equal stretches are
+    skipped whole, so the work grows with the square of the edits and hardly with the length."""
+    n, m = len(a), len(b)
+    goal = m - n
+    if abs(goal) > most:
+        return None
+    far: dict[int, int] = {}
+    for e in range(most + 1):
+        now = {}
+        for d in range(max(-e, (goal - most) // 2), min(e, (goal + most + 1) // 2) + 1):
+            i = 0 if e == 0 else max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            if i < n and i + d < m and a[i] == b[i + d]:
+                i += _alike(a, b, i, i + d)
+            if d == goal and i >= n:
+                return e
+            now[d] = i
+        far = now
+    return None
+
+
+def near_texts(docs: DataFrame, least: float = LEAST_SIMILARITY, *, every: bool = True, text_col: str = "text") -> DataFrame:
+    """(sha256, other, edits, similarity): pairs of distinct texts whose edit distance is at most 1 - least of the
+    longer one's characters; similarity is 1 - edits / characters of the longer.
+
+    Candidates share a band of their fingerprints, or the fingerprint; each is verified on the texts. Equal
+    texts are one entry; null and empty texts have no pair. every as in near_copies.
+    """
+    texts = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("text")).withColumn("key", F.sha2("text", 256)).dropDuplicates(["key"])
+    texts = cut(texts)
+    entries = cut(fingerprints(texts, id_col="key").select("key", "fingerprint"))
+
+    def verify(batches):
+        for b in batches:
+            edits, similar = [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                size = max(len(x), len(y))
+                found = edits_within(x, y, int((1 - least) * size + 1e-9))
+                edits.append(found)
+                similar.append(None if found is None else 1 - found / size)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(edits, pa.int64()), pa.array(similar, pa.float64())], ["a", "b", "edits", "similarity"])
+            yield out.filter(pa.array([e is not None for e in edits], pa.bool_()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        size = texts.select("key", F.length("text").alias("size"))
+        sized = pairs.join(size.withColumnsRenamed({"key": "a", "size": "a_size"}), "a").join(size.withColumnsRenamed({"key": "b", "size": "b_size"}), "b")
+        sized = sized.where(F.abs(F.col("a_size") - F.col("b_size")) <= (1 - least) * F.greatest("a_size", "b_size") + 1e-9).select("a", "b")
+        side = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"{x}_text"))
+        held = sized.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+        return held.mapInArrow(verify, "a string, b string, edits long, similarity double")
+
+    bounded_batches(docs.sparkSession)
+    return _near(entries, every, verified).select(F.col("b").alias("sha256"), F.col("a").alias("other"), "edits", "similarity")

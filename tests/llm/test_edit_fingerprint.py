@@ -114,3 +114,52 @@ def test_near_copies_finds_pairs_that_the_hub_of_their_bands_is_not_like(spark,
 
     fewer = {(r.fingerprint, r.other) for r in E.near_copies(df, 0.75, every=False).collect()}
     assert fewer <= want and groups(fewer) == groups(want) and any(len(g) > 1 for g in groups(want))
+
+
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(600):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(14))) for _ in range(2))
+        want = slow_distance(a, b)
+        for most in (0, 1, want, want + 3):
+            assert E.edits_within(a, b, most) == (want if want <= most else None)
+
+
+def edited(rng, text, k):
+    for _ in range(k):
+        at = rng.randrange(len(text))
+        text = text[:at] + rng.choice(("", "#", text[at] + "#")) + text[at + 1 :]
+    return text
+
+
+def test_defaults_find_edited_texts(spark):
+    """Recall by edit rate with the default thresholds."""
+    rng = random.Random(9)
+    names = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    base = [" ".join(rng.choice(names) for _ in range(260)) for _ in range(60)]
+    copies = {k: [edited(rng, b, k) for b in base] for k in (1, 3, 8, 12)}
+    rows = [*base, *(t for some in copies.values() for t in some), base[0], "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    pair = lambda x, y: (max(x, y), min(x, y))
+    text_of = {digest(t): t for t in rows if t}
+    got = {(r.sha256, r.other): r for r in E.near_texts(df).collect()}
+    for (x, y), r in got.items():
+        assert r.edits == E.edits_within(text_of[x], text_of[y], 40) and r.similarity >= 0.99
+    for k, some in copies.items():
+        want = [p for p in (pair(digest(a), digest(b)) for a, b in zip(base, some, strict=True)) if E.edits_within(text_of[p[0]], text_of[p[1]], len(text_of[p[0]]) // 120) is not None]
+        assert sum(p in got for p in want) >= 0.9 * len(want) and len(want) >= 50, k
+    prints = {digest(t): E.fingerprint(t).hex() for t in text_of.values()}
+    like = {(r.fingerprint, r.other) for r in E.near_copies(E.fingerprints(df)).collect()}
+    for k, some in copies.items():
+        want = [p for p in (pair(prints[digest(a)], prints[digest(b)]) for a, b in zip(base, some, strict=True)) if p[0] != p[1]]
+        assert sum(p in like for p in want) >= 0.85 * len(want), k
