@@ -6,8 +6,10 @@ down to a uniform chance. One model is of accepted URLs, one of rejected URLs. A
 difference of the two log-likelihoods divided by its length, against a threshold calibrated on the labelled
 URLs. All of it is DataFrame operations.
 
-Labelled URLs: the given seed URLs, and from the corpus every URL whose host has a rejected term (rejected)
-and every other URL that no rule blocks (accepted). So both models grow with the corpus.
+Labelled URLs: the given seed URLs, and from the corpus every URL whose host has a rejected term (rejected).
+Nothing says that any other URL is wanted. Those that no rule blocks show what URLs of the corpus look like:
+they are in both models alike, so what only they have speaks neither way, and have no part in the threshold.
+Each host of the corpus weighs HOST_WEIGHT in all, however many URLs it has, so no host vouches for itself.
 Letters are lower-cased and digits stand for one digit, which bounds the models by the alphabet.
 """
 
@@ -27,11 +29,16 @@ BROADCAST_ROWS = 1_000_000
 #: A URL's smoothing floor: every character has at least one part in so many under the shortest context.
 ALPHABET = 256.0
 
-#: Parameters: terms that mark a host as unwanted, and seed URLs of either kind.
-REJECTED_TERMS = ("adult", "casino", "cheap-", "pills", "bets", "betting", "spam", "ads-", "adserv", "porn", "xxx", "viagra", "poker", "lottery", "payday", "warez", "escort")
-SEEDS = tuple((f"http://{h}/{p}", 0) for h in ("adult-x.example", "casino-win.example", "cheap-pills.example", "free-bets.example", "spam-farm.example", "ads-track.example") for p in ("en/1", "de/1", "fr/1", "es/1")) + tuple(
-    (f"http://{h}/{p}", 1) for h in ("news.example", "library.example", "university.example", "recipes.example", "museum.example", "weather.example") for p in ("en/1", "de/1", "fr/1", "es/1")
-)
+#: What all URLs of a host weigh in the models; a seed URL weighs 1.
+HOST_WEIGHT = 0.02
+
+#: Parameters: terms that mark a host as unwanted, and seed URLs of either kind. Both are category names and
+#: common words of public block lists and directories; none is taken from a table.
+REJECTED_TERMS = ("adult", "porn", "xxx", "escort", "casino", "poker", "gambling", "betting", "lottery", "jackpot", "viagra", "payday", "warez", "keygen", "malware", "phishing", "spam", "adserv", "popunder")
+_REJECTED = "sex porn xxx nude hookup camgirls striptease hardcore milf escorts swingers casino poker slots jackpot roulette blackjack gambling betting sportsbook bookmaker lottery bingo viagra cialis steroids online-pharmacy weight-loss payday-loans quick-cash replica-watches get-rich warez cracks keygen serials torrents malware spyware phishing spam clickbait adserver banner-ads popunder adclick".split()
+_ACCEPTED = "news library university recipes museum weather school college hospital science history garden music theatre football travel government parliament council encyclopedia dictionary journal research physics biology chemistry astronomy philosophy literature poetry painting architecture engineering software photography cooking hiking railway forest ocean mountain wildlife charity radio magazine publisher".split()
+_SHAPES = ("http://{}.com/en/1", "https://www.{}.org/de/1.html", "http://m.{}.net/fr/1?page=2", "https://blog.{}.com/es/1/")
+SEEDS = tuple((shape.format(w), label) for label, names in enumerate((_REJECTED, _ACCEPTED)) for w in names for shape in _SHAPES)
 
 
 @dataclass(frozen=True)
@@ -104,8 +111,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, rejected_te
     """Per row: id, host, path, rule (or null), verdict, ratio (log-likelihood difference per character).
 
     The verdict is the longest fitting rule's, else "allow" if ratio is at least the calibrated threshold,
-    which lies midway between the 1st per mille of accepted and the 99th percentile of rejected labelled URLs. A null
-    or empty URL has ratio 0, empty host and path, and is blocked unless a rule says otherwise: it names no
+    which lies midway between the 1st per mille of accepted and the 99th percentile of rejected labelled URLs, or
+    midway between that percentile and 0 (no evidence either way) if this is less. A null or empty URL has ratio 0, empty host and path, and is blocked unless a rule says otherwise: it names no
     page. Rows repeat if the input's do. An empty table gives an empty result; other columns are not read.
     """
     spark = pages.sparkSession
@@ -117,18 +124,22 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, rejected_te
     bad = F.lit(False)
     for t in rejected_terms:
         bad = bad | F.contains("host", F.lit(t))
-    label = F.when(bad, 0).when(F.coalesce(F.col("found.allow"), F.lit(True)), 1)
-    urls = cut(urls.select("url", "n", label.alias("label"), normal(F.col("url")).alias("text")))
-
-    planted = spark.createDataFrame([*seeds], "url string, label int").select("url", F.lit(1).cast("long").alias("n"), "label", normal(F.col("url")).alias("text"))
-    counted = cut(grams(urls.unionByName(planted)).groupBy("gram", "label").agg(F.sum("n").alias("n")))
+    label = F.when(bad, 0).when(F.coalesce(F.col("found.allow"), F.lit(True)), -1)  # -1: nothing speaks for or against it
+    urls = cut(urls.select("url", "host", "n", label.alias("label"), normal(F.col("url")).alias("text")))
+    hosts = cut(urls.where("label is not null").groupBy("host", "label").agg(F.sum("n").alias("rows")))
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_ROWS else hosts
+    weight = F.col("n") / F.col("rows") * HOST_WEIGHT
+    trained = urls.join(hosts, ["host", "label"], "left").select("url", weight.alias("n"), F.explode(F.when(F.col("label") == -1, F.array(F.lit(0), F.lit(1))).otherwise(F.array("label"))).alias("label"), "text")
+
+    planted = spark.createDataFrame([*seeds], "url string, label int").select("url", F.lit(1.0).alias("n"), "label", normal(F.col("url")).alias("text"))
+    counted = cut(grams(trained.unionByName(planted)).groupBy("gram", "label").agg(F.sum("n").alias("n")))
     ratios = log_ratios(counted.where("label is not null"), counted)
     size = ratios.count()
     ratios = F.broadcast(ratios) if size <= BROADCAST_ROWS else ratios
-    scored = grams(urls.unionByName(planted).select("url", "label", "text")).join(ratios, "gram").groupBy("url", "label").agg(F.avg("ratio").alias("ratio"))
+    scored = grams(urls.select("url", "label", "text").unionByName(planted.select("url", "label", "text"))).join(ratios, "gram").groupBy("url", "label").agg(F.avg("ratio").alias("ratio"))
     scored = cut(scored)
     low, high = scored.agg(F.percentile_approx(F.when(F.col("label") == 1, F.col("ratio")), 0.001, 10_000), F.percentile_approx(F.when(F.col("label") == 0, F.col("ratio")), 0.99, 10_000)).first()
-    threshold = (low + high) / 2 if low is not None and high is not None else 0.0
+    threshold = min((low + high) / 2, high / 2) if low is not None and high is not None else 0.0
 
     scored = scored.groupBy("url").agg(F.max("ratio").alias("ratio"))
     out = rows.join(scored.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left").withColumns({"host": host, "path": path})

@@ -72,3 +72,19 @@ def test_chances_by_brute_force(spark):
 
 def test_empty(spark):
     assert U.judge_urls(pages(spark)[1].limit(0)).count() == 0
+
+
+def test_unwanted_hosts_that_no_term_or_seed_names(spark):
+    unwanted = ["hardsexclips", "nudecamshow", "slotsroulette", "bookmakerbingo", "cialispharmacy", "crackserials"]
+    wanted = ["tiddlewick", "brantholm", "oakridgepress", "marlowharbour", "finchbury", "stonewell", "universitypress", "citylibrary", "gardenhistory", "weatherradio"]
+    for host in unwanted:
+        assert not any(t in host for t in U.REJECTED_TERMS) and not any(host in u for u, _ in U.SEEDS)
+    hosts = unwanted + wanted
+    rows = [(i, f"http://{('www.', 'm.', 'blog.', '')[i % 4]}{hosts[i % len(hosts)]}.com/{('en', 'fr')[i % 2]}/{i}") for i in range(800)]
+    rows += [(1000 + i, f"http://hardsexclips.com/en/{i}") for i in range(600)]  # a host is not good for having many URLs
+    got = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    name = lambda r: next(h for h in hosts if h in r.host)
+    bad = [r for r in got if name(r) in unwanted]
+    good = [r for r in got if name(r) in wanted]
+    assert sum(r.verdict == "block" for r in bad) >= 0.9 * len(bad)
+    assert sum(r.verdict == "allow" for r in good) >= 0.9 * len(good)
