@@ -28,7 +28,7 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element classes of the public HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas svg math datalist area base link meta param source track rp".split())
+HIDDEN = frozenset("head title script style template noscript noembed noframes iframe audio video canvas datalist annotation annotation-xml area base link meta param source track rp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 MARGIN = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr listing menu ol p pre table ul".split())
 CLOSES_P = BLOCK - frozenset("body caption html legend li dd dt optgroup option tbody td tfoot th thead tr".split())
@@ -41,6 +41,18 @@ IMPLIED = {
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}), "a": ({"a"}, BLOCK | {"table", "td", "th"}), "button": ({"button"}, BLOCK),
 }
 WALLS = frozenset("table td th caption button object template html".split())
+TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
+#: Where a part of a table is put: open elements down to one of these end when it starts.
+TABLE_PLACES = {"tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tbody", "thead", "tfoot", "tr"}, "th": {"table", "tbody", "thead", "tfoot", "tr"}, "col": {"table", "colgroup"}}
+#: What may stand between the parts of a table; anything else is moved before it.
+IN_TABLE = TABLE_PARTS | frozenset("table style script template".split())
+CELLS = frozenset("table td th caption template".split())
+#: HTML elements that end an unclosed svg or math.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Where HTML stands again inside svg and math.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Parts of svg that are not drawn where they stand.
+NOT_DRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
 HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
 DEEPEST_TABLE = 8
 
@@ -75,9 +87,42 @@ def build(text: str) -> Node:
                 return False
         return False
 
-    def add(node: Node) -> None:
+    def nearest(tags) -> int:
+        """Place of the innermost open element of tags; 0 if there is none."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in tags:
+                return i
+        return 0
+
+    def in_table() -> bool:
+        """Whether the innermost table is open between its cells (elements moved before it may be open as well)."""
+        return tables > 0 and stack[nearest(CELLS)].tag == "table"
+
+    def add(node: Node | str) -> None:
+        """Under the innermost open element; before its table where a table has no place for it."""
+        top = stack[-1].tag
+        if top in ("table", "tbody", "thead", "tfoot", "tr", "colgroup") and not (node.isspace() if isinstance(node, str) else node.tag in IN_TABLE):
+            at = nearest({"table"})
+            if at:
+                if top == "colgroup":
+                    stack.pop()
+                kids = stack[at - 1].kids
+                i = len(kids) - 1
+                while kids[i] is not stack[at]:
+                    i -= 1
+                kids.insert(i, node)
+                return
         stack[-1].kids.append(node)
 
+    def add_text(plain: str) -> None:
+        if drawings:
+            at = nearest({"svg", "text", "foreignobject"} | NOT_DRAWN)
+            if stack[at].tag in NOT_DRAWN or stack[at].tag == "svg" or (stack[at].tag == "text" and nearest(NOT_DRAWN) > nearest({"svg"})):
+                return
+        add(plain)
+
+    tables = drawings = 0  # whether there has been any
+
     def in_body() -> None:
         nonlocal body
         if body is None:
@@ -98,13 +143,13 @@ def build(text: str) -> Node:
             if not plain.isspace() and stack[-1].tag != "title":
                 in_body()
             if body is not None:
-                stack[-1].kids.append(html.unescape(plain) if "&" in plain else plain)
+                add_text(html.unescape(plain) if "&" in plain else plain)
         if not m:
             break
         at = m.end()
         if m["cdata"] is not None:
             in_body()
-            stack[-1].kids.append(m["cdata"])
+            add_text(m["cdata"])
             continue
         if m["tag"] is None:
             continue
@@ -141,11 +186,39 @@ def build(text: str) -> Node:
             in_body()
             body.attrs = body.attrs or attrs
             continue
+        node: Node | None = None
         if body is None and tag in HEAD_ONLY:
             node = Node(tag, attrs)
             add(node)
         else:
             in_body()
+            foreign = 0
+            if drawings and (foreign := nearest({"svg", "math"} | INTEGRATION)) and stack[foreign].tag in INTEGRATION:
+                foreign = 0
+            if foreign and tag in BREAKOUT:
+                del stack[foreign:]
+                foreign = 0
+            if foreign:
+                if tag == "text" and stack[-1].kids:
+                    add(" ")
+                node = Node(tag, attrs)
+                add(node)
+                if attrs.endswith("/"):
+                    continue
+                if tag not in ("script", "style", "title"):
+                    drawings += tag in ("svg", "math")
+                    stack.append(node)
+                    continue
+        if node is None:
+            if in_table():
+                if tag == "form":
+                    continue
+                if tag == "table":
+                    del stack[nearest({"table"}) :]
+                elif tag in TABLE_PARTS:
+                    del stack[nearest(TABLE_PLACES.get(tag, {"table"})) + 1 :]
+            tables += tag == "table"
+            drawings += tag in ("svg", "math")
             if tag in CLOSES_P:
                 close({"p"}, WALLS)
             if tag in IMPLIED:

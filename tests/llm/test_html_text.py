@@ -42,3 +42,40 @@ def test_extract(spark):
     got = sorted((r.page_id or 0, len(r.text)) for r in H.extract(df).collect())
     assert got == [(0, 1), (1, 1), (1, 1), (2, 0), (3, 1_499_999)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+MISNESTED = {
+    "<table><tr><form><td>a<td>b</form></tr></table>c": "a  b\n\nc",
+    "<table><div>text</div><tr><td>a</table>": "text\n\na",
+    "<table>text<tr><td>a</table>": "text\n\na",
+    "<table><tr>text<td>a</table>": "text\n\na",
+    "<table><center><tr><td>a<td>b</center><tr><td>c</table>d": "a  b\nc\n\nd",
+    "<table><tr><font><td>a</font><td>b</table>": "a  b",
+    "<table><a href=x><tr><td>a<td>b</a></table>": "a  b",
+    "<table><colgroup><col>x<tr><td>a</table>": "x\n\na",
+    "<table><tr><td>o<table><p>in<tr><td>cell</table></table>": "o\nin\ncell",
+    "<table><tr><td>a<table><b>x</b></table>y</table>": "ax\ny",
+    "<table><tr><table><tr><td>second</table>": "second",
+    "<table><p>one<p>two<tr><td>a</table>": "one\n\ntwo\n\na",
+    "<table><select><option>o</select><tr><td>a</table>": "o\n\na",
+    "<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> z": "x y=2 z",
+    "<svg><title>no</title><desc>no</desc>no<g><text>one</text><text>two</text></g><defs><text>no</text></defs></svg> z": None,
+    "<svg><path d='x'><text>one<p>after": "one\n\nafter",
+    "<svg><circle r=1 /><foreignObject><div>in</div></foreignObject></svg>out": "in\nout",
+    "<object data=x><param name=a>fallback <b>text</b></object>": "fallback text",
+}
+
+
+@pytest.mark.parametrize("source", MISNESTED)
+def test_no_visible_text_is_lost(source):
+    got = H.visible_text(source)
+    if MISNESTED[source] is None:
+        words = {w for w in ("a", "x", "y", "one", "two", "z") if f">{w}<" in source or source.endswith(w)}
+        assert words <= set(got.split()) and "no" not in got.split()
+    else:
+        assert got == MISNESTED[source]
+
+
+def test_hostile_tables_and_drawings_end():
+    for source in ("<table>" * 5000 + "x", "<table><div>" * 3000 + "x", "<svg><text>" * 2000 + "x", "<table>" + "x<tr>" * 20000, "<table><tr><b>x" * 3000):
+        assert "x" in H.visible_text(source)
