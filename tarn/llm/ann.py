@@ -7,7 +7,8 @@ into is the least that reaches the recall asked for on sample rows kept out of t
 brute force, with a margin.
 
 Searching: every row is indexed under its most probable partition; a query goes to its most probable
-partitions and is held there against every row, in double precision. Partitions are cut into blocks of
+partitions, and to more of them while these hold too few rows, and is held there against every row, in double
+precision. Partitions are cut into blocks of
 bounded size, so one that holds a third of all rows is shared out like the rest; queries come in blocks too.
 """
 
@@ -196,7 +197,8 @@ def nearest(vectors: DataFrame, k: int = 20, *, queries=None, id_col: str = "vec
     queries is a condition on the id that makes a row a query (by default all rows). Rows without an id, and
     vectors that are null, empty, zero, or hold null or non-finite components, take no part, nor do those of
     another length than most of the sample has. Rows of one id count once, with the least vector. A query is
-    never its own neighbour. Ties go to the smaller id. An empty table gives an empty result.
+    never its own neighbour. Ties go to the smaller id. Fewer than k rows come only if the table has fewer
+    others. An empty table gives an empty result.
     """
     value = F.col(vector_col)
     good = F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(value, lambda v: v != 0)
@@ -218,19 +220,27 @@ def nearest(vectors: DataFrame, k: int = 20, *, queries=None, id_col: str = "vec
     rows = rows.where(F.size("v") == width)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def route(batches, ask: bool):
+    def route(batches, held: np.ndarray | None = None):
+        """Rows with their most probable partition; with the rows that each partition holds: as queries, with the
+        `probes` most probable ones and as many more as it takes to meet k rows beside the query itself."""
         router = _load(shared.value)
         for b in batches:
             v = b.column(1)
             x = np.asarray(v.flatten(), float).reshape(b.num_rows, width) if b.num_rows else np.zeros((0, max(1, width)))
-            best = np.argsort(-router.odds(x), axis=1, kind="stable")[:, : probes if ask else 1]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary()), pa.array(best.tolist(), pa.list_(pa.int32()))], ["id", "vector", "parts"])
+            best = np.argsort(-router.odds(x), axis=1, kind="stable")
+            if held is None:
+                parts = best[:, :1].tolist()
+            else:
+                enough = np.maximum(probes, (np.cumsum(held[best], axis=1) < k + 1).sum(1) + 1)
+                parts = [row[:e] for row, e in zip(best.tolist(), enough.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary()), pa.array(parts, pa.list_(pa.int32()))], ["id", "vector", "parts"])
 
     routed = "id long, vector binary, parts array<int>"
-    indexed = cut(rows.select("id", "v").mapInArrow(lambda b: route(b, False), routed))
-    asked = rows if queries is None else rows.where(queries(F.col("id")))
-    asked = cut(asked.select("id", "v").mapInArrow(lambda b: route(b, True), routed))
+    indexed = cut(rows.select("id", "v").mapInArrow(lambda b: route(b), routed))
     sizes = {r.part: r.n for r in indexed.groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n")).collect()}  # a number for each partition
+    held = np.array([sizes.get(p, 0) for p in range(pickle.loads(model).m)], np.int64)
+    asked = rows if queries is None else rows.where(queries(F.col("id")))
+    asked = cut(asked.select("id", "v").mapInArrow(lambda b: route(b, held), routed))
     blocks = F.create_map(*(F.lit(x) for p in sizes for x in (p, shards(sizes[p], BLOCK_ROWS)))) if sizes else F.create_map(F.lit(0), F.lit(1))
     of_queries = shards(asked.count(), BLOCK_QUERIES)
     every = lambda n: F.sequence(F.lit(0), n - 1)

@@ -59,3 +59,28 @@ def test_parts_are_balanced_and_cut_few_edges():
     part = ann.balanced_partition(x, graph, 8, rng)
     assert np.bincount(part, minlength=8).max() <= math.ceil(50 * (1 + ann.SLACK))
     assert (part[graph] != part[:, None]).mean() < 0.5
+
+
+def test_starved_partitions_give_whole_lists(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(1300)]
+    rows += [(5000 + i, rows[0][1]) for i in range(700)]  # a third of all rows in one place
+
+    def starved(x, m, k, recall=0.95, seed=5):
+        """Looks into one partition; the last ones hold next to nothing."""
+        router = ann.Router(x.shape[1], m, np.random.default_rng(seed))
+        router.weights[3] = np.where(np.arange(m) < 3, 0.0, -2.0)
+        router.probes = 1
+        return router
+
+    monkeypatch.setattr(ann, "fit", starved)
+    parts = np.bincount(starved(np.zeros((1, 8)), ann.partitions_for(2000), 20).odds(np.array([v for _, v in rows])).argmax(1))
+    assert ((parts > 0) & (parts < 21)).any()
+    got = {}
+    for r in ann.nearest(table(spark, rows), 20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == {i for i, _ in rows}
+    for q, found in got.items():
+        assert sorted(r for r, _ in found) == list(range(1, 21)) and len({i for _, i in found} - {q}) == 20
+    few = ann.nearest(table(spark, rows[:15]), 20).collect()
+    assert len(few) == 15 * 14
