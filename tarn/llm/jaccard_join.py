@@ -208,8 +208,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_links(live: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect exactly the classes that all links connect."""
+def near_links(live: DataFrame, percent: int, *, every: bool = False) -> DataFrame:
+    """Links (a, b) that connect exactly the classes that all links connect; with every, all links."""
     ratio = F.size("tokens") / F.col("n")
     postings = live.select("set", "n", ratio.alias("ratio"), (F.col("n") - F.size("tokens")).alias("own"), F.posexplode("prefix").alias("at", "token"))
     postings = cut(postings.select("token", "set", "n", "ratio", (F.col("own") + F.col("at")).alias("at")))
@@ -218,6 +218,9 @@ def near_links(live: DataFrame, percent: int) -> DataFrame:
     renamed = lambda df, p: df.select("token", *(F.col(c).alias(p + c) for c in df.columns if c != "token"))
     pair = (F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b"))
 
+    if every:
+        met = renamed(postings, "x_").join(renamed(postings, "y_"), "token").where((F.col("x_set") < F.col("y_set")) & possible("x_", "y_"))
+        return cut(verified(cut(met.select(*pair).distinct()), live, percent))
     hubs = postings.groupBy("token").agg(F.max(F.struct("ratio", "set", "n", "at")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     hubs = hubs.select("token", *(F.col(f"hub.{c}").alias(f"y_{c}") for c in ("set", "n", "at")))
     tried = cut(renamed(postings, "x_").join(hubs, "token").where((F.col("x_set") != F.col("y_set")) & possible("x_", "y_")).select(*pair).distinct())
@@ -232,32 +235,51 @@ def near_links(live: DataFrame, percent: int) -> DataFrame:
     return cut(links.union(more))
 
 
+def _classes(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (batch, place, id, n, set), classes (set, at, least, n, rows) of equal sets, and live_sets of them."""
+    table = batched(docs, id_col, text_col, _note(width), "struct<n:bigint,`set`:binary>")
+    rows = table.select("batch", F.posexplode(F.arrays_zip("ids", "notes")).alias("place", "x")).select("batch", "place", F.col("x.ids").alias("id"), F.col("x.notes.n").alias("n"), F.col("x.notes.set").alias("set"))
+    rows = cut(rows)
+    classes = cut(rows.where("n > 0").groupBy("set").agg(F.min(F.struct("batch", "place")).alias("at"), F.min("id").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")))
+    keys = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chosen = classes.groupBy(F.col("at.batch").alias("batch")).agg(F.sort_array(F.collect_list("at.place")).alias("places"))  # at most one batch's rows
+    return rows, classes, live_sets(table, cut(chosen), percent, width, keys)
+
+
+def link_counts(docs: DataFrame, percent: int = 80, *, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_links, the number of other rows that it is linked to, copies of its set included.
+
+    Every pair of classes that can be linked is held against each other, inside components as well, so the work
+    grows with the number of links. Empty sets have none. Texts and ids as in jaccard_classes.
+    """
+    rows, classes, live = _classes(docs, percent, width, id_col, text_col)
+    links = near_links(live, percent, every=True)
+    both = links.union(links.select("b", "a"))
+    linked = both.join(classes.select(F.col("set").alias("b"), F.col("rows").alias("others")), "b").groupBy("a").agg(F.sum("others").alias("others"))
+    counts = classes.join(linked, classes.set == linked.a, "left").select(F.col("set").alias("_set"), (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(counts, rows.set == F.col("_set"), "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def jaccard_classes(docs: DataFrame, percent: int = 80, *, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id that links reach, the own one included), n_links.
+    """Per row: id, n_shingles, component_id (smallest id that links reach, the own one included), n_holding.
 
-    n_links counts the linked classes found for the row's class that hold its component together; copies
-    of the same set are not counted. Texts are lower-cased in A-Z only; words are runs of anything but
+    n_holding counts the links of the row's class among those that were needed to hold its component together,
+    which depends on the stars; the number of links is that of link_counts. Texts are lower-cased in A-Z only; words are runs of anything but
     ASCII white space. Null, empty and blank texts have an empty set, no links and themselves as component.
     A null id takes part; its component is the smallest other id, or null if there is none. Repeated rows
     are copies. An empty table gives an empty result; other columns are not read.
     """
-    table = batched(docs, id_col, text_col, _note(width), "struct<n:bigint,`set`:binary>")
-    rows = table.select("batch", F.posexplode(F.arrays_zip("ids", "notes")).alias("place", "x")).select("batch", "place", F.col("x.ids").alias("id"), F.col("x.notes.n").alias("n"), F.col("x.notes.set").alias("set"))
-    rows = cut(rows)
-    classes = cut(rows.where("n > 0").groupBy("set").agg(F.min(F.struct("batch", "place")).alias("at"), F.min("id").alias("least"), F.max("n").alias("n")))
-    keys = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    chosen = classes.groupBy(F.col("at.batch").alias("batch")).agg(F.sort_array(F.collect_list("at.place")).alias("places"))  # at most one batch's rows
-    live = live_sets(table, cut(chosen), percent, width, keys)
+    rows, classes, live = _classes(docs, percent, width, id_col, text_col)
     links = near_links(live, percent)
     labels = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    labels = labels.join(degree, labels.node == degree.a, "left").select("node", "label", "n_links")
-    linked = classes.join(labels, classes.set == labels.node, "left").select("set", "least", F.coalesce("label", "set").alias("label"), "n_links")
+    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_holding"))
+    labels = labels.join(degree, labels.node == degree.a, "left").select("node", "label", "n_holding")
+    linked = classes.join(labels, classes.set == labels.node, "left").select("set", "least", F.coalesce("label", "set").alias("label"), "n_holding")
     least = linked.groupBy("label").agg(F.min("least").alias("component"))
-    linked = cut(linked.join(least, "label").select(F.col("set").alias("_set"), "component", "n_links"))
+    linked = cut(linked.join(least, "label").select(F.col("set").alias("_set"), "component", "n_holding"))
     out = rows.join(linked, rows.set == F.col("_set"), "left")
     alone = F.col("n") == 0
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_holding", F.lit(0)).alias("n_holding"))
 
 
 def first_of_each(docs: DataFrame, percent: int = 80, *, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,3 +87,14 @@ def test_shingles_do_not_cross_documents():
 def test_long_chain_is_one_component(spark):
     links = spark.range(200).selectExpr("id as a", "id + 1 as b")
     assert J.components(links).select("label").distinct().count() == 1
+
+
+def test_link_counts_by_brute_force(spark):
+    rows = corpus(4)
+    sets = [set(J.shingle_hashes(t or "").tolist()) for _, t in rows]
+    want = []
+    for i, a in enumerate(sets):
+        linked = sum(1 for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= 80 * len(a | b))
+        want.append((-1 if rows[i][0] is None else rows[i][0], linked))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_links) for r in J.link_counts(df).collect()) == sorted(want)
