@@ -98,8 +98,9 @@ def sentence_windows(docs: DataFrame, *, id_: str = "doc_id", text: str = "text"
 
 
 def paragraph_scores(docs: DataFrame, terms: tuple[str, ...], *, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, pos, score, before, after: distinct terms in each paragraph, with the paragraphs around it."""
-    parts = docs.select(id_, F.posexplode(F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda p: F.length(p) > 0)).alias("pos", "paragraph"))
+    """id, pos, paragraph, score, before, after: distinct terms in each paragraph, with the paragraphs around it.
+    Blank lines part paragraphs; a line end alone does not."""
+    parts = docs.select(id_, F.posexplode(F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda p: F.length(p) > 0)).alias("pos", "paragraph"))
     score = sum((F.when(F.contains(F.lower("paragraph"), F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
     order = W.partitionBy(id_).orderBy("pos")
     return parts.select(id_, "pos", "paragraph", score.alias("score"), F.lag("paragraph").over(order).alias("before"), F.lead("paragraph").over(order).alias("after"))

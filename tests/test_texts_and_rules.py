@@ -205,3 +205,12 @@ def test_sentence_windows(spark):
     assert all(text[r.start : r.end].strip() == r.content for r in mine) and mine[0].content.endswith(".")
     assert all(b.start == a.end - 20 for a, b in zip(mine, mine[1:])) and mine[-1].end == len(text)
     assert [(r.doc_id, r.content) for r in got if r.doc_id > 1] == [(3, "short")]
+
+
+def test_wrapped_paragraphs_are_whole(spark):
+    from tarn.operators import segmentation
+
+    text = "First line about Fever\nand its wrapped end with cough.\n \t\n\nNothing here.\n\n  Cough\nalone. \n"
+    got = segmentation.paragraph_scores(spark.createDataFrame([(1, text)], "doc_id long, text string"), ("fever", "cough")).orderBy("pos").collect()
+    assert [(r.pos, r.paragraph, r.score) for r in got] == [(0, "First line about Fever\nand its wrapped end with cough.", 2), (1, "Nothing here.", 0), (2, "Cough\nalone.", 1)]
+    assert (got[1].before, got[1].after) == (got[0].paragraph, got[2].paragraph)
