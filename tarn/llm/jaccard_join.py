@@ -283,8 +283,14 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, *, width: int = 5, id_co
 
 
 def first_of_each(docs: DataFrame, percent: int = 80, *, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest id of their component, one row each; rows without an id stay."""
-    found = jaccard_classes(docs, percent, width=width, id_col=id_col, text_col=text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of docs for each component: that of the smallest id, rows without an id last. Rows without words
+    all stay. If ids are null or repeat, docs are numbered and written to the shared folder first."""
+    n, distinct = docs.agg(F.count("*"), F.count_distinct(id_col)).first()
+    if n == distinct:
+        found = jaccard_classes(docs, percent, width=width, id_col=id_col, text_col=text_col)
+        return docs.join(found.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi").select(*docs.columns)
+    own = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    key = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    found = jaccard_classes(own.select(key.alias("key"), F.col(text_col).alias("text")), percent, width=width, id_col="key", text_col="text")
+    keep = found.where(F.col("key.row") == F.col("component_id.row")).select(F.col("key.row").alias("_row"))
+    return own.join(keep, "_row", "left_semi").select(*docs.columns)

@@ -16,6 +16,8 @@ ones. A byte goes if such a repeat covers it and also occurs in a document of sm
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -252,7 +254,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows with one id all stay. A null id counts as larger than any other. A null text is empty; a text of
     fewer than LENGTH bytes stays whole. An empty table gives an empty result; other columns are not read.
     """
-    return _removed(docs, id_col, text_col, "binary")
+    return _removed(docs, id_col, text_col, "binary").drop("digest")
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, kept_type: str) -> DataFrame:
@@ -336,35 +338,39 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, kept_type: str) -> Dat
                     np.add.at(covered, (from_ + lengths[take] + LENGTH - 1)[gone], -1)
             mask = np.cumsum(covered[:-1]) > 0
             text = np.frombuffer(data, np.uint8)
-            spans, kept = [], []
+            spans, kept, digests = [], [], []
             for a, z in zip(starts, starts[1:], strict=False):
                 m = mask[a:z]
                 if m.any():
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], m.view(np.int8), [0]))))
                     spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
                     kept.append(text[a:z][~m].tobytes())
+                    digests.append(hashlib.sha256(data[a:z]).hexdigest())
                 else:
                     spans.append([])
                     kept.append(data[a:z])
+                    digests.append(None)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
             left_over = pa.array(kept, pa.binary()) if kept_type == "binary" else pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
-            return pa.table([pa.array(ids, pa.int64()), pa.array(lens, pa.int64()), pa.array(spans, kind), left_over], ["id", "n_bytes", "spans", "kept"])
+            return pa.table([pa.array(ids, pa.int64()), pa.array(lens, pa.int64()), pa.array(spans, kind), left_over, pa.array(digests, pa.string())], ["id", "n_bytes", "spans", "kept", "digest"])
 
     answers = counts.select("batch", "bucket", "totals", *(F.lit(None).cast("binary").alias(c) for c in ("per", "lengths", "smallest"))).unionByName(runs.withColumn("totals", F.lit(None).cast("binary")))
-    out = table.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, f"id long, n_bytes long, spans array<struct<start:long,length:long>>, kept {kept_type}")
+    out = table.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, f"id long, n_bytes long, spans array<struct<start:long,length:long>>, kept {kept_type}, digest string")
     return out.withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeats removed from the text; n_chars, if there is one, is that of the new text.
 
-    Cutting bytes may split a character; what is left of it is dropped. A null text stays null. Rows are
-    joined by id, so ids should be distinct: a repeated id takes the text of one of its rows.
+    Cutting bytes may split a character; what is left of it is dropped. A null text stays null. Ids may be null
+    (larger than any) and may repeat: what is removed from a row depends on its id and text alone, so rows take
+    the text that was found for their id and the digest of their text.
     """
     # One Python step, not two in a row: each would keep a worker of its own.
     changed = _removed(docs, id_col, text_col, "string").where(F.size("spans") > 0)
-    changed = changed.select(F.col(id_col).alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"])
-    out = docs.join(changed, docs[id_col] == F.col("_id"), "left").withColumn(text_col, F.coalesce("_kept", text_col))
+    changed = changed.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_digest"])
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.sha2(docs[text_col].cast("binary"), 256) == F.col("_digest"))
+    out = docs.join(changed, same, "left").withColumn(text_col, F.coalesce("_kept", text_col))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -83,3 +83,18 @@ def test_run_gives_the_last_stage(spark, folder):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_null_and_repeated_ids(spark):
+    from tarn.llm import jaccard_join, suffix_dedup
+
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e = (text(60) for _ in range(5))
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, c), (None, c), (2, b + " x"), (3, d)]
+    kept = jaccard_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 99, r.text) for r in kept) == sorted([(1, a), (1, b), (99, c), (3, d)])
+
+    rows = [(1, a), (5, b + "K" + a), (5, c + "L" + a), (None, d + "M" + a), (None, e + "N" + a), (None, None)]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 99, r.text or "") for r in got) == sorted([(1, a), (5, b + "K"), (5, c + "L"), (99, d + "M"), (99, e + "N"), (99, "")])
