@@ -8,6 +8,7 @@ partly filled bins at most, and no task's work grows with the corpus.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -15,13 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, shards, sliced, working
 
 SHARD_ROWS = 32_768
-CACHED = 500_000
+CACHED = 200_000
 _loaded: dict[str, IdCache] = {}
 
 
@@ -36,18 +38,29 @@ class IdCache:
 
     The public word vocabulary lower-cases, drops white space and never joins across it, so a text's ids are
     those of its parts, one after the other. A part that ends in one mark after a letter is that of the
-    letters and that of the mark, which spares the library most spellings of a word it has seen.
+    letters and that of the mark, which spares the library most spellings of a word it has seen. New parts go
+    to the library many at a time, joined by spaces; the ids that end a word tell where one part ends.
     """
 
     MARKS = frozenset(".,!?;:")
+    TOGETHER = 256
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.known, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        spec = json.loads(self.model.to_str())
+        self.suffix = spec["model"].get("end_of_word_suffix")
+        cuts = [c["pattern"]["Regex"] for c in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if c["type"] == "Split" and "Regex" in c["pattern"]]
+        self.words = regex.compile(cuts[0]) if self.suffix and len(cuts) == 1 else None
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if self.suffix and t.endswith(self.suffix)]] = True
+        self.known, self.old = {}, {}
+        self.marks = dict(zip(self.MARKS, self.encoded(list(self.MARKS)), strict=True))
 
     @staticmethod
     def plain(t: str) -> str:
@@ -59,34 +72,62 @@ class IdCache:
             t = t.lower()
         return t.replace("\n", " ")
 
+    def n_words(self, part: str) -> int:
+        """How many words the library makes of a part; 0 where only the library itself can tell."""
+        if self.words is None or "<|" in part:
+            return 0
+        if part.isascii():
+            return 1 if part.isalpha() else len(self.words.findall(part))
+        return int(part.isalpha() and part == part.lower() and unicodedata.is_normalized("NFC", part))
+
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part as bytes."""
+        out: list[bytes | None] = [None] * len(parts)
+        sizes = list(map(self.n_words, parts))
+        sure = [i for i, n in enumerate(sizes) if n]
+        groups = [sure[i : i + self.TOGETHER] for i in range(0, len(sure), self.TOGETHER)]
+        for group, e in zip(groups, self.model.encode_batch_fast([" ".join(parts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            last, upto = np.flatnonzero(self.ends[ids]), np.cumsum([sizes[i] for i in group])
+            if len(last) == upto[-1]:
+                data, stops = ids.tobytes(), (4 * (last[upto - 1] + 1)).tolist()
+                for i, a, z in zip(group, [0, *stops], stops, strict=False):
+                    out[i] = data[a:z]
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(left, self.model.encode_batch_fast([parts[i] for i in left], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
     def texts(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.plain(t).split(" ") if t else [] for t in texts]
         known, old = self.known, self.old
-        fresh, marked = set(), []
-        for p in set().union(*parts, self.MARKS):
-            if p in known:  # a set difference would walk through the whole cache
-                continue
+        known.update(self.marks)
+        known[""] = b""
+        fresh, marked = {}, []
+
+        def find(p: str) -> None:
             if (got := old.get(p)) is not None:
                 known[p] = got
-            elif p[-1] in self.MARKS and len(p) > 1 and ends_word(p[-2]):
+            else:
+                fresh[p] = None
+
+        for p in set().union(*parts):
+            if p in known:  # a set difference would walk through the whole cache
+                continue
+            if len(p) > 1 and p[-1] in self.MARKS and ends_word(p[-2]):
                 marked.append(p)
-                if (base := p[:-1]) not in known:
-                    if (got := old.get(base)) is not None:
-                        known[base] = got
-                    else:
-                        fresh.add(base)
+                if p[:-1] not in known:
+                    find(p[:-1])
             else:
-                fresh.add(p)
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+                find(p)
+        new = list(fresh)
+        for i in range(0, len(new), 8192):
+            known.update(zip(new[i : i + 8192], self.encoded(new[i : i + 8192]), strict=True))
         for p in marked:
             known[p] = known[p[:-1]] + known[p[-1]]
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
         if len(known) > CACHED:
-            self.old, self.known = known, {"": b""}
+            self.old, self.known = known, {}
         return out
 
 
@@ -101,8 +142,8 @@ def sum_of_squares(sizes, capacity: int) -> tuple[list[int], list[int]]:
 
     open_[g] is the number of open bins with gap g. Filling gap g with size s turns the sum of squares by
     1 - 2 open_[g], and by 2 open_[g - s] + 1 more unless the bin is then full. A bin is opened only when
-    no open one has room, which with falling sizes keeps the number of bins at the best-fit mark. Ties go to
-    the tightest gap.
+    no open one has room (the published rule weighs that as well; with falling sizes this keeps the number of
+    bins at the best-fit mark). Ties go to the tightest gap.
     """
     open_ = np.zeros(capacity + 1, np.int64)
     held: list[list[int]] = [[] for _ in range(capacity + 1)]
