@@ -27,7 +27,7 @@ EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 0.1, 1e-4, 1e-3
 SCALE = 8.0
 FAMILIES = 4
-CACHED = 400_000
+CACHED = 100_000
 _MARKS = re.compile(r"[^\w]+")
 
 
@@ -105,11 +105,14 @@ class Ftrl:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> np.ndarray:
-    """2**BITS weights and the bias. Rows without id or label teach nothing; of several labels the least counts."""
+    """2**BITS weights and the bias. Rows without id or label teach nothing; of several labels the least counts, and of
+    several texts of one id a single one."""
     bounded_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("label"))
     chosen = chosen.withColumn("turn", F.xxhash64(F.col("_id").cast("string"))).orderBy("turn", "_id").limit(sample)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("turn", "label", "text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    # One text to an id, so that repeated ids cannot pass the bound.
+    rows = rows.groupBy("_id", "turn", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("turn", "label", "text")
 
     def encode(batches):
         with working("quality", _table):

@@ -16,13 +16,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, sliced, TwoGenerations, working
+from .common import TwoGenerations, bounded_batches, sliced, working
 
 #: Fixed value: the public byte-level pre-tokenisation rule.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Runs of white space that may not be cut at a single space.
 RUNS = regex.compile(r"\s{3,}|\s{2,}\Z")
-CACHED = 300_000
+CACHED = 100_000
 _loaded: dict[str, BytePairCounter] = {}
 
 
@@ -33,18 +33,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_other_kinds(spec: dict, path: str) -> None:
+    """ValueError for a file whose counts would not be those of plain byte-level merging by the rule above."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if model.get("type") != "BPE" or odd or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        raise ValueError(f"{path} is no plain byte-level BPE vocabulary {odd}")
+
+
 class BytePairCounter:
     """Counts for the vocabulary of a tokenizers .json file (byte-level BPE)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_other_kinds(spec, path)
         letter = byte_letters()
         raw = lambda s: bytes(letter[c] for c in s)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         special = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
+        self.heads = {s[0] for s in special}
         self.cache = TwoGenerations(CACHED)
         self.chunks = TwoGenerations(CACHED)
 
@@ -108,7 +119,7 @@ class BytePairCounter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if self.special is None or "<" not in text:
+        if self.special is None or not any(h in text for h in self.heads):
             return self.plain(text)
         parts = self.special.split(text)
         return sum(map(self.plain, parts)) + len(parts) - 1
