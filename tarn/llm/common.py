@@ -1,18 +1,18 @@
-"""Shared helpers: shared-folder checkpoints, bounded caches and word rules."""
+"""Shared helpers: worker memory, bounded caches and word rules; checkpoints are those of the library."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import threading
-import time
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..functions.lineage import cut, shared_dir
+
+__all__ = ["WORD", "TwoGenerations", "ascii_lower", "bounded_batches", "cut", "shards", "shared_dir", "sliced", "words", "working"]
 
 #: A word is a run of bytes other than ASCII white space; the same rule for SQL (Java regex) and Python.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,93 +32,60 @@ def ascii_lower(text: str) -> str:
     return text.translate(_UPPER) if not text.isascii() else text.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set, as in local tests."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tarn-checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that a lost executor never forces the work above it to be redone."""
-    shared_dir(df.sparkSession)
-    with released_shuffles(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)  # a plan of its own: the setting holds for plans made under it
-
-
-@contextlib.contextmanager
-def released_shuffles(spark: SparkSession):
-    """Drop the shuffle files of each query as it ends; what is kept has been written to the shared folder."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Holds what Spark hands to Python at a time to some megabytes (one longer row stands alone). A smaller
-    bound that the session has set stays."""
+    bound that the session has set stays. The setting outlives the call, as Spark reads it when the rows of a
+    lazy result are asked for."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).rstrip("b")
     if not now.isdigit() or int(now) > most:
         spark.conf.set(key, str(most))
 
 
-class _Worker:
-    """What a Python worker holds between the tasks it is used for, and a watch that lets it go."""
+#: Arrays of so many bytes are mapped by themselves, so they go back to the system when they are freed.
+MAPPED_BYTES = 1 << 20
 
-    IDLE_S = 3.0
 
-    def __init__(self):
-        self.busy, self.since, self.owner, self.caches, self.dirty, self.pid = 0, 0.0, "", (), False, 0
-        self.lock = threading.Lock()
+class _Worker:
+    """What a Python worker holds between the tasks it is used for."""
 
-    def release(self) -> None:
-        for c in self.caches:
-            c.clear()
-        self.owner, self.caches, self.dirty = "", (), False
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+    owner: str = ""
+    caches: tuple = ()
+    tuned: bool = False
 
-    def watch(self) -> None:
-        while True:
-            time.sleep(1)
-            with self.lock:
-                if self.dirty and not self.busy and time.monotonic() - self.since > self.IDLE_S:
-                    self.release()
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
-_worker = _Worker()
+
+def _tune() -> None:
+    """Large arrays are mapped and small ones taken from one heap whose free end is given back, so that a worker
+    that is kept for later tasks holds no more than its caches."""
+    with contextlib.suppress(OSError, AttributeError):
+        lib = ctypes.CDLL(None)
+        for option, value in ((-3, MAPPED_BYTES), (-1, 4 * MAPPED_BYTES), (-8, 1)):  # mmap threshold, trim threshold, arenas
+            lib.mallopt(option, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+    _Worker.tuned = True
 
 
 @contextlib.contextmanager
 def working(name: str, *caches):
-    """Around what an operator does in a Python worker. Spark keeps workers for later tasks, often more of them
-    than run at once; caches and freed memory of an operator are given back when another one starts in the
-    worker or when it has been idle for some seconds. Nothing is let go while a task is at work."""
-    w = _worker
-    with w.lock:
-        if w.pid != os.getpid():  # threads do not survive a fork
-            w.pid = os.getpid()
-            threading.Thread(target=w.watch, daemon=True).start()
-        if w.owner not in ("", name):
-            w.release()
-        w.owner, w.caches, w.dirty = name, caches, True
-        w.busy += 1
+    """Around what an operator does in a Python worker. Spark keeps workers for later tasks; the caches of one
+    operator are emptied when another one starts in the worker, and free memory is given back at the end."""
+    if not _Worker.tuned:
+        _tune()
+    if _Worker.owner != name:
+        for c in _Worker.caches:
+            c.clear()
+    _Worker.owner, _Worker.caches = name, caches
     try:
         yield
     finally:
-        with w.lock:
-            w.busy -= 1
-            w.since = time.monotonic()
+        _give_back()
 
 
 class TwoGenerations:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import batches as B
 from .batches import SENT, answered, batched, bucket_bits, sent, totals_of, unpacked
 from .common import cut, working
 
@@ -127,24 +128,24 @@ def _tokens(lens, blob, keep, width):
     return token_sets(*unpacked(lens, blob), width, keep)
 
 
-def live_sets(table: DataFrame, chosen: DataFrame, percent: int, width: int, keys: int) -> DataFrame:
+def live_sets(table: DataFrame, batches: int, chosen: DataFrame, percent: int, width: int, keys: int) -> DataFrame:
     """Classes that may have a partner: set, n, tokens (those in two classes or more, by hash), low and high
     (how many of them lie in the prefix under B and C), prefix (tokens of the prefix under A, in order).
 
-    table: batches; chosen: (batch, places), the documents that stand for their class.
+    table: batches, so many of them; chosen: (batch, places), the documents that stand for their class.
     """
-    bits = bucket_bits(keys)
+    bits, fan = bucket_bits(keys), B.FAN_BITS
 
     def send(_, left: pa.Table, right: pa.Table) -> pa.Table:
         with working("batches"):
             keep = right["places"][0].as_py() if right.num_rows else []
             if not keep or not left.num_rows:
-                return pa.schema([("bucket", pa.int32()), ("batch", pa.string()), ("prints", pa.binary()), ("counts", pa.binary())]).empty_table()
+                return pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())]).empty_table()
             tokens, counts = np.unique(np.concatenate(_tokens(left["lens"][0].as_py(), left["blob"][0].as_py(), keep, width)), return_counts=True)
-            return pa.Table.from_batches([sent(left["batch"][0].as_py(), tokens, counts, bits)])
+            return pa.Table.from_batches([sent(left["batch"][0].as_py(), tokens, counts, bits, fan)])
 
     sides = table.select("batch", "lens", "blob"), chosen
-    counts = cut(answered(sides[0].groupBy("batch").cogroup(sides[1].groupBy("batch")).applyInArrow(send, SENT)))
+    counts = answered(sides[0].groupBy("batch").cogroup(sides[1].groupBy("batch")).applyInArrow(send, SENT), bits, fan, batches)
     out_schema = "`set` binary, n int, tokens array<long>, low int, high int, prefix array<long>"
 
     def pick(_, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -243,7 +244,7 @@ def _classes(docs: DataFrame, percent: int, width: int, id_col: str, text_col: s
     classes = cut(rows.where("n > 0").groupBy("set").agg(F.min(F.struct("batch", "place")).alias("at"), F.min("id").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")))
     keys = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     chosen = classes.groupBy(F.col("at.batch").alias("batch")).agg(F.sort_array(F.collect_list("at.place")).alias("places"))  # at most one batch's rows
-    return rows, classes, live_sets(table, cut(chosen), percent, width, keys)
+    return rows, classes, live_sets(table, table.count(), cut(chosen), percent, width, keys)
 
 
 def link_counts(docs: DataFrame, percent: int = 80, *, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,8 +275,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, *, width: int = 5, id_co
     labels = components(links)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_holding"))
     labels = labels.join(degree, labels.node == degree.a, "left").select("node", "label", "n_holding")
-    linked = classes.join(labels, classes.set == labels.node, "left").select("set", "least", F.coalesce("label", "set").alias("label"), "n_holding")
-    least = linked.groupBy("label").agg(F.min("least").alias("component"))
+    linked = cut(classes.join(labels, classes.set == labels.node, "left").select("set", "least", F.coalesce("label", "set").alias("label"), "n_holding"))
+    least = cut(linked.groupBy("label").agg(F.min("least").alias("component")))  # a table of its own, so that the join can split a large label
     linked = cut(linked.join(least, "label").select(F.col("set").alias("_set"), "component", "n_holding"))
     out = rows.join(linked, rows.set == F.col("_set"), "left")
     alone = F.col("n") == 0

@@ -5,7 +5,10 @@ An array over a whole corpus can be neither built nor sorted in one place, so th
 content. Every window of LENGTH bytes is dealt to its anchor: the K-byte string in it of least hash (the
 leftmost of equals). Windows that are equal have equal anchors at equal places, wherever they occur; so the
 windows around an anchor, with their bytes, form a segment, and all segments with one anchor string meet in
-one bucket. Anchor strings found in a single document are dropped first, by counts over the whole corpus.
+one bucket. Anchor strings found in a single document are dropped first, by counts over the whole corpus. An
+anchor that more than HOT rows have would fill a bucket by itself: its segments are parted by where the anchor
+stands in the window, which makes the string that all windows of a part share longer; these strings are
+counted and dropped or parted anew in the same way, down to single windows, whose string is the window.
 
 In a bucket, the suffixes of all distinct segments are sorted into a suffix array with their common-prefix
 lengths. A stack scan over those lengths yields the intervals of the tree; an interval whose suffixes are
@@ -24,14 +27,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import SENT, answered, batched, bucket_bits, sent, totals_of, unpacked
-from .common import cut, working
+from . import batches as B
+from .batches import SENT, answered, batched, bucket_bits, counted, crates, sent, totals_of, unpacked
+from .common import cut, shards, working
 
 LENGTH, K = 50, 24
 SPREAD = LENGTH - K + 1  # anchors to choose from in a window, and windows to a segment at most
 WIDTH = 80  # bytes of a segment (LENGTH - 1 + SPREAD at most), its number of windows, its anchor's place
 WINDOWS_AT, ANCHOR_AT = 78, 79
 NO_ID = np.iinfo(np.int64).max
+#: Rows of an anchor string beyond which its segments are parted.
+HOT = 20_000
+#: Per level, where the parts begin and end, in bytes before the anchor; each part lies within one of the level above.
+PARTS = ((0, SPREAD), (0, 13, SPREAD), (0, 7, 13, 20, SPREAD), tuple(range(SPREAD + 1)))
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -93,6 +101,10 @@ class Anchors:
         self.windows = np.minimum(np.append(self.first[1:], n), last) - self.first
         self.anchor = chosen[self.first].astype(np.int64)
         self.key = _key(_raw([loads[self.anchor + 8 * i] for i in range(K // 8)])) if len(self.first) else np.zeros(0, np.uint64)
+        self._sort()
+
+    def _sort(self) -> None:
+        """Occurrences by key, for counts and answers by sorted distinct key."""
         self.order = np.argsort(self.key, kind="stable")
         key = self.key[self.order]
         self.heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -105,28 +117,96 @@ class Anchors:
         pair[self.heads] = 1
         return self.key[self.order][self.heads], np.add.reduceat(pair, self.heads) if len(doc) else pair
 
-    def segments(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct segments of the shared keys by key: rows of WIDTH bytes, keys; and for each occurrence its
-        place in here and its distinct segment. shared: for each sorted distinct key."""
-        mine = np.sort(self.order[np.repeat(shared, np.diff(np.append(self.heads, len(self.order))))])
+    def by_occurrence(self, of_key: np.ndarray) -> np.ndarray:
+        """A value of each sorted distinct key, for each occurrence."""
+        out = np.empty(len(self.order), of_key.dtype)
+        out[self.order] = np.repeat(of_key, np.diff(np.append(self.heads, len(self.order))))
+        return out
+
+    def rows(self, mine: np.ndarray) -> np.ndarray:
+        """The segments of the given occurrences, WIDTH bytes each."""
         first, windows = self.first[mine], self.windows[mine]
         rows = np.zeros((len(mine), WIDTH), np.uint8)
         span = LENGTH - 1 + SPREAD
         rows[:, :span] = np.lib.stride_tricks.sliding_window_view(self.data, span)[first]
         rows[:, :span] *= np.arange(span) < (windows + LENGTH - 1)[:, None]
         rows[:, WINDOWS_AT], rows[:, ANCHOR_AT] = windows, self.anchor[mine] - first
+        return rows
+
+    def parted(self, hot: np.ndarray, level: int) -> Anchors:
+        """The segments of the given occurrences by the parts of this level: windows whose anchor has so many bytes
+        before it. The key of a part is that of the string that all of its windows share."""
+        out = object.__new__(Anchors)
+        out.data = self.data
+        of = np.repeat(hot, len(PARTS[level]) - 1)
+        least, most = (np.tile(np.array(x, np.int64), len(hot)) for x in (PARTS[level][:-1], PARTS[level][1:]))
+        first = np.maximum(self.first[of], self.anchor[of] - most + 1)
+        windows = np.minimum(self.first[of] + self.windows[of], self.anchor[of] - least + 1) - first
+        some = windows > 0
+        out.first, out.windows, out.anchor, out.doc = first[some], windows[some], self.anchor[of][some], self.doc[of][some]
+        least, most = least[some], most[some]
+        shared = LENGTH - (most - 1 - least)
+        text = np.zeros((len(least), 56), np.uint8)
+        if len(least):
+            text[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[out.anchor - least]
+        text *= np.arange(56) < shared[:, None]
+        text[:, 55] = least
+        out.key = _key(_digest(text))
+        out._sort()
+        return out
+
+    def segments(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct segments of the given occurrences by key: rows of WIDTH bytes, keys; and for each occurrence
+        its place in here and its distinct segment."""
+        mine = np.flatnonzero(shared)
+        rows = self.rows(mine)
         name = row_names(rows, self.key[mine])
         _, at, which = np.unique(name, return_index=True, return_inverse=True)
         return rows[at], self.key[mine][at], mine, which.ravel()
 
 
-def row_names(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Numbers that order rows by key (its leading half) and tell different rows apart."""
+def final(data: bytes, starts: np.ndarray, totals: list[np.ndarray], most: int) -> tuple[Anchors, np.ndarray]:
+    """The segments of a batch and which of them are to be held against others, from the answers of each level:
+    of a hot key the parts take the place of the whole."""
+    anchors = Anchors(data, starts)
+    whole, kept = [], []
+    for level, found in enumerate(totals, 1):
+        n = anchors.by_occurrence(counted(found))
+        hot = n > most if level < len(totals) else np.zeros(len(n), bool)
+        whole.append(anchors)
+        kept.append(~hot & (n >= 2))
+        if level < len(totals):
+            anchors = anchors.parted(np.flatnonzero(hot), level)
+    if len(whole) == 1:
+        return whole[0], kept[0]
+    out = object.__new__(Anchors)
+    out.data = whole[0].data
+    for name in ("first", "windows", "anchor", "doc", "key"):
+        setattr(out, name, np.concatenate([getattr(a, name) for a in whole]))
+    return out, np.concatenate(kept)
+
+
+def asked(data: bytes, starts: np.ndarray, totals: list[np.ndarray], most: int) -> Anchors:
+    """The segments whose keys are to be counted next, from the answers so far."""
+    anchors = Anchors(data, starts)
+    for level, found in enumerate(totals, 1):
+        anchors = anchors.parted(np.flatnonzero(anchors.by_occurrence(counted(found)) > most), level)
+    return anchors
+
+
+def _digest(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row, whose length is a multiple of 8."""
     words = np.ascontiguousarray(rows).view("<u8")
     h = np.zeros(len(rows), np.uint64)
     for i in range(words.shape[1]):
         h = (h ^ (h >> np.uint64(29))) * _C[i % 4] + words[:, i]
-    name = (key & np.uint64(0xFFFFFFFF00000000)) | (_mixed(h) >> np.uint64(32))
+    return _mixed(h)
+
+
+def row_names(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Numbers that order rows by key (its leading half) and tell different rows apart."""
+    words = np.ascontiguousarray(rows).view("<u8")
+    name = (key & np.uint64(0xFFFFFFFF00000000)) | (_digest(rows) >> np.uint64(32))
     _, at, which = np.unique(name, return_index=True, return_inverse=True)
     if np.array_equal(words[at][which.ravel()], words):
         return name
@@ -242,8 +322,8 @@ def _ids(ids: list) -> np.ndarray:
     return np.array([NO_ID if i is None else i for i in ids], np.int64)
 
 
-SEGMENTS = "bucket int, batch string, rows binary, ids binary"
-RUNS = "batch string, bucket int, per binary, lengths binary, smallest binary"
+SEGMENTS = "bucket long, batch long, rows binary, ids binary"
+RUNS = "batch long, bucket long, per binary, lengths binary, smallest binary"
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,22 +345,52 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, kept_type: str) -> Dat
     bits = bucket_bits(2 * size // (SPREAD + 1))
     segment_bits = bucket_bits(8 * size // (SPREAD + 1))
 
-    def send(batches):
+    n, fan, hot = table.count(), B.FAN_BITS, HOT
+
+    def levels(answers: pa.Table) -> list[np.ndarray]:
+        """The answers of a batch by level."""
+        ours = answers.filter(pc.is_valid(answers["totals"]))
+        return [totals_of(ours.filter(pc.equal(ours["level"], k))) for k in range(depth)]
+
+    def send(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        with working("batches"):
+            out = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())]).empty_table()
+            if left.num_rows:
+                keys, counts = asked(*unpacked(left["lens"][0].as_py(), left["blob"][0].as_py()), levels(right), hot).documents_per_key()
+                if len(keys):
+                    out = pa.Table.from_batches([sent(left["batch"][0].as_py(), keys, counts, bits, fan)])
+            return out
+
+    def first(batches):
         with working("batches"):
             for b in batches:
                 for i in range(b.num_rows):
                     keys, counts = Anchors(*unpacked(b["lens"][i].as_py(), b["blob"][i].as_py())).documents_per_key()
                     if len(keys):
-                        yield sent(b["batch"][i].as_py(), keys, counts, bits)
-
-    counts = cut(answered(table.select("batch", "lens", "blob").mapInArrow(send, SENT)))
+                        yield sent(b["batch"][i].as_py(), keys, counts, bits, fan)
+
+    def tally(batches):
+        """Rows with a hot answer."""
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max((int(counted(np.frombuffer(t, np.uint8)).max()) for t in b.column(0).to_pylist() if t), default=0)], pa.int64())], ["most"])
+
+    depth = 0
+    narrow = table.select("batch", "lens", "blob")
+    counts = answered(narrow.mapInArrow(first, SENT), bits, fan, n).withColumn("level", F.lit(0))
+    while True:
+        depth += 1
+        most = counts.where(F.col("level") == depth - 1).select("totals").mapInArrow(tally, "most long").agg(F.max("most")).first()[0] or 0
+        if most <= hot or depth == len(PARTS):
+            break
+        more = answered(narrow.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(send, SENT), bits, fan, n)
+        counts = counts.unionByName(more.withColumn("level", F.lit(depth)))
 
     def send_segments(_, left: pa.Table, right: pa.Table) -> pa.Table:
         with working("batches"):
             out = [[], [], [], []]
             if left.num_rows and right.num_rows:
-                anchors = Anchors(*unpacked(left["lens"][0].as_py(), left["blob"][0].as_py()))
-                rows, keys, mine, which = anchors.segments(totals_of(right) >= 2)
+                anchors, shared = final(*unpacked(left["lens"][0].as_py(), left["blob"][0].as_py()), levels(right), hot)
+                rows, keys, mine, which = anchors.segments(shared)
                 ids = np.full(len(rows), NO_ID)
                 np.minimum.at(ids, which, _ids(left["ids"][0].as_py())[anchors.doc[mine]])
                 edges = np.searchsorted(keys, np.arange(1, 1 << segment_bits, dtype=np.uint64) << np.uint64(64 - segment_bits)) if segment_bits else []
@@ -289,30 +399,52 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, kept_type: str) -> Dat
                     if z > a:
                         for to, x in zip(out, (k, left["batch"][0].as_py(), rows[a:z].tobytes(), ids[a:z].tobytes()), strict=True):
                             to.append(x)
-            return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "rows", "ids"])
+            return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "rows", "ids"])
+
+    def met(t: pa.Table):
+        """Distinct segments of the rows, the smallest id of each, which each row's are, and where each row starts."""
+        rows = np.frombuffer(b"".join(t["rows"].to_pylist()), np.uint8).reshape(-1, WIDTH)
+        ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.int64)
+        _, at, which = np.unique(row_names(rows, keys_of_segments(rows)), return_index=True, return_inverse=True)
+        owner = np.full(len(at), NO_ID)
+        np.minimum.at(owner, which.ravel(), ids)
+        return rows[at], owner, which.ravel(), np.cumsum([0, *(len(x) // 8 for x in t["ids"].to_pylist())])
+
+    def told(t: pa.Table, per, lengths, smallest, which, ends) -> pa.Table:
+        """The runs of each row's segments, from those of the distinct ones."""
+        first = np.append(0, np.cumsum(per))
+        out = [[], [], []]
+        for a, z in zip(ends, ends[1:], strict=False):
+            mine = which[a:z]
+            size = per[mine]
+            take = np.repeat(first[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            for to, x in zip(out, (size.astype(np.uint8), lengths[take].astype(np.uint8), smallest[take]), strict=True):
+                to.append(x.tobytes())
+        return pa.table([t["batch"], t["bucket"], *(pa.array(x, pa.binary()) for x in out)], ["batch", "bucket", "per", "lengths", "smallest"])
 
     def scan(t: pa.Table) -> pa.Table:
         with working("batches"):
-            rows = np.frombuffer(b"".join(t["rows"].to_pylist()), np.uint8).reshape(-1, WIDTH)
-            ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.int64)
-            n = [len(x) // 8 for x in t["ids"].to_pylist()]
-            _, at, which = np.unique(row_names(rows, keys_of_segments(rows)), return_index=True, return_inverse=True)
-            owner = np.full(len(at), NO_ID)
-            np.minimum.at(owner, which.ravel(), ids)
-            per, lengths, smallest = _runs(*smallest_per_window(rows[at], owner))
-            first = np.append(0, np.cumsum(per))
-            out = [[], [], []]
-            ends = np.cumsum([0, *n])
-            for a, z in zip(ends, ends[1:], strict=False):
-                mine = which.ravel()[a:z]
-                size = per[mine]
-                take = np.repeat(first[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                for to, x in zip(out, (size.astype(np.uint8), lengths[take].astype(np.uint8), smallest[take]), strict=True):
-                    to.append(x.tobytes())
-            return pa.table([t["batch"], t["bucket"], *(pa.array(x, pa.binary()) for x in out)], ["batch", "bucket", "per", "lengths", "smallest"])
-
-    whole = table.groupBy("batch").cogroup(counts.groupBy("batch"))
-    runs = cut(whole.applyInArrow(send_segments, SEGMENTS).groupBy("bucket").applyInArrow(scan, RUNS))
+            rows, owner, which, ends = met(t)
+            return told(t, *_runs(*smallest_per_window(rows, owner)), which, ends)
+
+    def merge(t: pa.Table) -> pa.Table:
+        with working("batches"):
+            rows, owner, _, _ = met(t)
+            return pa.table({"bucket": t["bucket"][:1], "batch": t["crate"][:1], "rows": pa.array([rows.tobytes()], pa.binary()), "ids": pa.array([owner.tobytes()], pa.binary())})
+
+    def back(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        with working("batches"):
+            _, _, which, ends = met(left)
+            per, lengths, smallest = (np.frombuffer(right[c][0].as_py(), kind) for c, kind in (("per", np.uint8), ("lengths", np.uint8), ("smallest", np.int64)))
+            return told(left, per.astype(np.int64), lengths, smallest, which, ends)
+
+    segments = table.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(send_segments, SEGMENTS)
+    if n <= B.CRATE_BATCHES:
+        runs = cut(segments.groupBy("bucket").applyInArrow(scan, RUNS))
+    else:  # equal segments of many batches meet first, so that one that all batches have is no load on its bucket
+        segments = cut(segments.withColumn("crate", crates("batch", shards(n, B.CRATE_BATCHES))))
+        found = cut(segments.groupBy("bucket", "crate").applyInArrow(merge, SEGMENTS).groupBy("bucket").applyInArrow(scan, RUNS))
+        runs = cut(segments.groupBy("bucket", "crate").cogroup(found.withColumnRenamed("batch", "crate").groupBy("bucket", "crate")).applyInArrow(back, RUNS))
 
     def remove(_, left: pa.Table, right: pa.Table) -> pa.Table:
         with working("batches"):
@@ -320,9 +452,8 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, kept_type: str) -> Dat
             data, starts = unpacked(lens, left["blob"][0].as_py())
             covered = np.zeros(len(data) + 1, np.int32)
             if right.num_rows:
-                anchors = Anchors(data, starts)
-                ours = right.filter(pc.is_valid(right["totals"]))
-                rows, _, mine, which = anchors.segments(totals_of(ours) >= 2)
+                anchors, shared = final(data, starts, levels(right), hot)
+                rows, _, mine, which = anchors.segments(shared)
                 if len(rows):
                     theirs = right.filter(pc.is_valid(right["per"]))
                     order = np.argsort(theirs["bucket"].to_numpy())
@@ -354,7 +485,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, kept_type: str) -> Dat
             left_over = pa.array(kept, pa.binary()) if kept_type == "binary" else pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
             return pa.table([pa.array(ids, pa.int64()), pa.array(lens, pa.int64()), pa.array(spans, kind), left_over, pa.array(digests, pa.string())], ["id", "n_bytes", "spans", "kept", "digest"])
 
-    answers = counts.select("batch", "bucket", "totals", *(F.lit(None).cast("binary").alias(c) for c in ("per", "lengths", "smallest"))).unionByName(runs.withColumn("totals", F.lit(None).cast("binary")))
+    answers = counts.select("batch", "bucket", "totals", "level", *(F.lit(None).cast("binary").alias(c) for c in ("per", "lengths", "smallest"))).unionByName(runs.withColumns({"totals": F.lit(None).cast("binary"), "level": F.lit(None).cast("int")}))
     out = table.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, f"id long, n_bytes long, spans array<struct<start:long,length:long>>, kept {kept_type}, digest string")
     return out.withColumnRenamed("id", id_col)
 

@@ -1,5 +1,4 @@
 import re
-import time
 
 import pyarrow as pa
 
@@ -28,17 +27,27 @@ def test_two_generations_stay_bounded():
     assert c.get(999) == 999 and c.get(0) is None
 
 
-def test_caches_go_when_idle_or_when_another_operator_starts():
+def test_caches_go_when_another_operator_starts():
     one, two = {"a": 1}, {"b": 2}
     with common.working("one", one):
         pass
     assert one
+    with common.working("one", one):
+        assert one
     with common.working("two", two):
         assert not one and two
-        time.sleep(common._Worker.IDLE_S + 2.5)
-        assert two  # at work
-    time.sleep(common._Worker.IDLE_S + 2.5)
-    assert not two
+    assert two
+
+
+def test_bounds_of_the_session_stay(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1000")
+        common.bounded_batches(spark)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_cut_uses_the_sessions_folder(spark):
