@@ -7,34 +7,38 @@ distance). The fingerprint samples SLOTS steps the same way for every text (in e
 shared priority that the walk reaches) and keeps a byte of what is read there, the next GRAM characters.
 Likeness is the share of slots that agree. Near copies are found by bands of sampled slots, then verified.
 
-Coins repeat every PHASES steps, so the effect of PHASES steps is worked out for all places of a text at
-once, and the walk itself jumps from one multiple of PHASES to the next.
+The coins of a character for STRIDE steps are the bits of one 64-bit hash of the character and the number of
+the stride, so they never repeat. Many texts walk side by side, one step of all of them at a time; the few
+longest finish one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, shards, working
+from .common import bounded_batches, cut, sliced, working
 from .jaccard_join import components
 
-SLOTS, GRAM, PHASES = 128, 4, 8
-BLOCK = 1 << 20
-SLICE_ROWS = 4_000
+SLOTS, GRAM, STRIDE = 128, 4, 64
+#: So many texts or fewer finish their walks one by one.
+FEW = 12
+#: Bytes of text that walk side by side.
+TOGETHER_BYTES = 2 << 20
+#: Partitions whose order is worked out in one task.
+BLOCK_PARTS = 1_024
 #: Enough bands, and few enough slots in each, for nineteen in twenty texts with up to 1 % of their characters edited.
 BANDS, BAND_SLOTS = 42, 3
-#: Likeness that about nineteen in twenty such texts keep; unrelated ones reach it once in a thousand pairs.
-LEAST_LIKENESS = 0.06
 LEAST_SIMILARITY = 0.99
 #: Members of a band that one task holds against as many others.
 BLOCK_MEMBERS = 2_048
-_TABLE_ROWS = 2048
+_SHIFTS = np.arange(STRIDE, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,88 +51,116 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _coins() -> np.ndarray:
-    """A byte of coins for each code point below 2**16 (others share them); never all heads down."""
-    coins = (_mix(np.arange(1 << 16) + 17) & np.uint64(255)).astype(np.uint8)
-    coins[coins == 0] = 1 << (PHASES - 1)
-    return coins
-
-
-def _first(rows: int, start: int = 0):
-    """Least priority and its row per slot over the step rows start .. start + rows."""
-    u = _mix(np.arange(start * SLOTS, (start + rows) * SLOTS, dtype=np.uint64) + np.uint64(1 << 40)).reshape(rows, SLOTS)
-    return u
-
-
-@lru_cache(maxsize=1)
-def _best() -> np.ndarray:
-    """_best()[t] is, per slot, the row of least priority among rows 0 .. t."""
-    u = _first(_TABLE_ROWS)
-    least = np.minimum.accumulate(u, axis=0)
-    new = u == least
-    row = np.where(new, np.arange(_TABLE_ROWS)[:, None], 0)
-    return np.maximum.accumulate(row, axis=0).astype(np.int64)
-
-
-def _chosen(steps: int) -> np.ndarray:
-    """Per slot the sampled step below steps; -1 where the slot has none."""
-    if steps <= 0:
-        return np.full(SLOTS, -1)
-    slot = np.arange(SLOTS)
-    last = (steps - 1 - slot) // SLOTS  # row of the slot's last step; -1 if none
-    row = _best()[np.minimum(np.maximum(last, 0), _TABLE_ROWS - 1), slot]
-    top = int(last.max())
-    if top >= _TABLE_ROWS:
-        least = _first(_TABLE_ROWS)[row, slot]
-        for start in range(_TABLE_ROWS, top + 1, _TABLE_ROWS):
-            u = _first(_TABLE_ROWS, start)
-            u[(start + np.arange(_TABLE_ROWS))[:, None] > last] = np.iinfo(np.uint64).max
-            at = u.argmin(0)
-            better = u[at, slot] < least
-            row[better], least[better] = start + at[better], u[at, slot][better]
-    return np.where(last >= 0, row * SLOTS + slot, -1)
-
-
-def _walk(coins: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-    """Places at steps 0, PHASES, 2 PHASES, ... and the number of steps that begin inside the text."""
-    stops = [0]
-    at = 0
-    for start in range(0, n, BLOCK):
-        end = min(n, start + BLOCK)
-        place = np.arange(start, end, dtype=np.int32 if n < 1 << 30 else np.int64)
-        for p in range(PHASES):
-            place += (coins[place] >> p) & 1
-        jump = place.tolist()
-        put = stops.append
-        while at < end:
-            at = jump[at - start]
-            put(at)
-    return np.array(stops, np.int64), PHASES * (len(stops) - 1)
+def coins(letters: np.ndarray, stride: int, n: int = 1) -> np.ndarray:
+    """For each of n strides a word of STRIDE coins per letter (code points); a last letter, which ends a text,
+    has none."""
+    words = np.zeros((n, len(letters) + 1), np.uint64)
+    which = _mix(np.arange(stride, stride + n, dtype=np.uint64) + np.uint64(1 << 50))
+    words[:, :-1] = _mix(which[:, None] + (letters.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return words
+
+
+def priorities(start: int, n: int) -> np.ndarray:
+    """The shared priorities of n steps."""
+    return _mix(np.arange(start, start + n, dtype=np.uint64) + np.uint64(1 << 40))
+
+
+class _Records:
+    """Steps that have the least priority in their slot so far (slots take turns). A walk that reaches such a
+    step samples it, in place of the slot's earlier one."""
+
+    CHUNK = 512 * SLOTS
+
+    def __init__(self):
+        self.steps: list[int] = []
+        self.upto, self.least = 0, np.full(SLOTS, np.iinfo(np.uint64).max)
+
+    def __getitem__(self, k: int) -> int:
+        while k >= len(self.steps):
+            u = priorities(self.upto, self.CHUNK).reshape(-1, SLOTS)
+            best = np.minimum.accumulate(np.vstack([self.least, u]), axis=0)
+            self.steps += (np.flatnonzero((u < best[:-1]).ravel()) + self.upto).tolist()
+            self.least, self.upto = best[-1], self.upto + self.CHUNK
+        return self.steps[k]
+
+
+_records = _Records()
+
+
+def _alone(letter: np.ndarray, letters: np.ndarray, at: int, end: int, j: int, k: int, place: np.ndarray, step: np.ndarray) -> None:
+    """The rest of one walk, from step j, whose next record is the k-th."""
+    record, shifts = _records[k], range(STRIDE)
+    while at < end:
+        words = coins(letters, j // STRIDE, 64)
+        for own in words:
+            if at >= end:
+                return
+            ahead, p = own.take(letter[at : at + STRIDE + 1]).tolist(), 0
+            if record < j + STRIDE:
+                for s in shifts:
+                    if j + s == record:
+                        if at + p < end:
+                            place[record % SLOTS], step[record % SLOTS] = at + p, record
+                        k += 1
+                        record = _records[k]
+                    p += ahead[p] >> s & 1
+            else:
+                for s in shifts:
+                    p += ahead[p] >> s & 1
+            at += p
+            j += STRIDE
+
+
+def fingerprints_of(texts: list[str]) -> np.ndarray:
+    """A row of SLOTS bytes for each text; 0 stands for a slot without a step. The empty text has none at all."""
+    out = np.zeros((len(texts), SLOTS), np.uint8)
+    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
+    if not order:
+        return out
+    points = np.frombuffer("\0".join([*(texts[i] for i in order), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(texts[i]) + 1 for i in order]) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    number = np.zeros(int(points.max()) + 1, np.int32)
+    number[points] = 1
+    letters = np.flatnonzero(number)
+    number[letters] = np.arange(len(letters))
+    letter = number[points]
+    letter[ends] = len(letters)
+    place, step = np.full((len(order), SLOTS), -1), np.full((len(order), SLOTS), -1)
+    rows, at, end, j, k = np.arange(len(order)), starts.copy(), ends, 0, 0
+    record = _records[0]
+    while len(rows) > FEW:
+        bits = ((coins(letters, j // STRIDE) >> _SHIFTS[:, None]) & np.uint64(1)).astype(np.intp)
+        read, moves = np.empty(len(rows), np.int32), np.empty(len(rows), np.intp)
+        for s in range(STRIDE):
+            if j + s == record:
+                live = at < end
+                place[rows[live], record % SLOTS], step[rows[live], record % SLOTS] = at[live], record
+                k += 1
+                record = _records[k]
+            letter.take(at, out=read, mode="clip")
+            bits[s].take(read, out=moves, mode="clip")
+            at += moves
+        j += STRIDE
+        live = at < end
+        if not live.all():
+            rows, at, end = rows[live], at[live], end[live]
+    for r, a, e in zip(rows.tolist(), at.tolist(), end.tolist(), strict=True):
+        _alone(letter, letters, a, e, j, k, place[r], step[r])
+    read = np.zeros(place.shape, np.uint64)
+    for g in range(GRAM):
+        here = place + g
+        inside = here < ends[:, None]
+        read = _mix(read + np.where(inside, points[np.minimum(here, ends[:, None])].astype(np.uint64) + np.uint64(1), np.uint64(0)) + np.uint64(g << 32))
+    found = (_mix(read + step.astype(np.uint64)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    found[step < 0] = 0
+    out[order] = found
+    return out
 
 
 def fingerprint(text: str | None) -> bytes:
-    """SLOTS bytes; 0 stands for a slot without a step. The empty text (and null) has none at all."""
-    text = text or ""
-    n = len(text)
-    if n == 0:
-        return bytes(SLOTS)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    coins = np.append(_coins()[points & 0xFFFF], np.zeros(PHASES, np.uint8))  # past the end the walk stands still
-    stops, steps = _walk(coins, n)
-    step = _chosen(steps)
-    at = stops[np.maximum(step, 0) // PHASES]
-    phase = np.maximum(step, 0) % PHASES
-    for p in range(PHASES):
-        at += ((coins[np.minimum(at, n)] >> p) & 1) * (p < phase)
-    read = np.zeros(SLOTS, np.uint64)
-    for k in range(GRAM):
-        here = at + k
-        inside = here < n
-        read = _mix(read + np.where(inside, points[np.minimum(here, n - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0)) + np.uint64(k << 32))
-    out = (_mix(read + step.astype(np.uint64)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    out[step < 0] = 0
-    return out.tobytes()
+    """SLOTS bytes; null is an empty text."""
+    return fingerprints_of([text or ""])[0].tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -138,75 +170,101 @@ def likeness(a: bytes, b: bytes) -> float:
     return float(((x == y) & (x > 0)).sum() / either) if either else 1.0
 
 
+def likenesses(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """likeness() of each row of x to that of y."""
+    either = ((x | y) > 0).sum(1)
+    return np.where(either > 0, ((x == y) & (x > 0)).sum(1) / np.maximum(either, 1), 1.0)
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, fingerprint (hex). A null or empty text has 0 characters and a fingerprint of
     zeros. Rows repeat if the input's do; other columns are not read. One pass, no shuffle."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([fingerprint(t).hex() for t in texts], pa.string())], [id_col, "n_chars", "fingerprint"])
+        with working("edit_fingerprint"):
+            for b in sliced(batches, TOGETHER_BYTES):
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([f.tobytes().hex() for f in fingerprints_of(texts)], pa.string())], [id_col, "n_chars", "fingerprint"])
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {id_type}, n_chars long, fingerprint string")
 
 
-def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def edited_text(text: str, following: str) -> str:
+    """The last half of the characters replaced by the first as many of the following text, or all of them."""
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+_FOUND = (("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
+_FOUND_SQL = "id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+
+
+def _compared(ids: list, texts: list[str], following: list[str], own: np.ndarray, theirs: np.ndarray, edited: np.ndarray) -> list[pa.Array]:
+    digests = [hashlib.sha256(edited_text(t, f).encode()).digest() for t, f in zip(texts, following, strict=True)]
+    columns = ids, list(map(len, texts)), digests, [x.tobytes() for x in own], [x.tobytes() for x in edited], likenesses(own, edited), likenesses(own, theirs)
+    return [pa.array(c, t) for c, (_, t) in zip(columns, _FOUND, strict=True)]
+
+
+def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last floor(n_chars / 2) characters replaced by the first as many (or all) of the
     next document by ascending id; after the last comes the first. Ids are integers; a null id comes first,
-    rows of one id are ordered by text, and a single row is its own next. A null text is empty. An empty
-    table gives an empty result; other columns are not read.
+    rows of one id are ordered by the first characters of their texts and a digest, and a single row is its own
+    next. A null text is empty. An empty table gives an empty result; other columns are not read.
 
-    Ids are dealt to slices at quantiles, one task for each; the first row of a slice is sent to the slice
-    before it as well, so no order over all rows is ever made in one place.
+    Rows are dealt by ranges of that order (equal rows too), and each task reads its sorted rows as a stream,
+    holding one row back. The last row of a partition meets the first of the next one that has rows.
     """
     bounded_batches(docs.sparkSession)
-    low = np.iinfo(np.int64).min
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(low))
-    rows = docs.select(key.alias("key"), F.col(id_col).isNotNull().alias("named"), F.col(text_col).alias("text"))
-    n, first = rows.agg(F.count("*"), F.min("key")).first()
-    k = shards(n, slice_rows)
-    cuts = rows.agg(F.percentile_approx("key", [i / k for i in range(1, k)], 100 * k)).first()[0] if k > 1 else []  # one number for each slice
-    starts = np.array(sorted({*cuts, first} if n else {0}), np.int64)  # ids of the data: where each slice begins
-    before = {int(s): (i - 1) % len(starts) for i, s in enumerate(starts)}
-
-    def deal(batches):
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            at = np.searchsorted(starts, keys, "right") - 1
-            again = np.flatnonzero(np.isin(keys, starts))
-            for index, to, ahead in ((None, at, False), (again, np.array([before[int(x)] for x in keys[again]], np.int64), True)):
-                part = b if index is None else b.take(pa.array(index))
-                if part.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.full(part.num_rows, ahead)), *part.columns], ["slice", "ahead", "key", "named", "text"])
-
-    def run(table: pa.Table) -> pa.Table:
+    text = F.coalesce(text_col, F.lit(""))
+    order = [F.col(id_col).cast("long").alias("key"), F.substring(text, 1, 32).alias("head"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("row")]
+    places = ["key", "head", "digest", "row"]
+    rows = docs.select(*order, text.alias("text")).repartitionByRange(*places).sortWithinPartitions(*places).select("key", "text")
+
+    def run(batches):
+        names = [*(n for n, _ in _FOUND), "part", "first", "last"]
+        none = lambda n: [pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())]
+        first = held = None  # the first text; the id, text and fingerprint of the row held back
+        with working("edit_fingerprint"):
+            for b in sliced(batches, TOGETHER_BYTES):
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                first = texts[0] if first is None else first
+                before = [held] if held else []
+                mine, names_of = [*(h[1] for h in before), *texts], [*(h[0] for h in before), *ids]
+                edited = list(map(edited_text, mine[:-1], mine[1:]))
+                new = fingerprints_of([*texts, *edited])
+                own = np.concatenate([*(h[2] for h in before), new[: len(texts)]])
+                held = (names_of[-1], mine[-1], own[-1:])
+                if len(mine) > 1:
+                    yield pa.RecordBatch.from_arrays([*_compared(names_of[:-1], mine[:-1], mine[1:], own[:-1], own[1:], new[len(texts) :]), *none(len(mine) - 1)], names)
+            if held:
+                edge = [pa.array([held[0]], pa.int64()), *(pa.nulls(1, t) for _, t in _FOUND[1:])]
+                yield pa.RecordBatch.from_arrays([*edge, pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([first], pa.string()), pa.array([held[1]], pa.string())], names)
+
+    def meet(batches):
         with working("edit_fingerprint"):
-            found = [(a, k, t or "", m) for a, k, t, m in zip(*(table[c].to_pylist() for c in ("ahead", "key", "text", "named")), strict=True)]
-            del table
-            found.sort(key=lambda r: r[:3])
-            own = [r for r in found if not r[0]]
-            after = next((r for r in found if r[0]), None)
-            ring = [*own, after] if after else own
-            prints: dict[str, bytes] = {}
-            out = []
-            for (_, k, t, named), (_, _, following, _) in zip(own, ring[1:], strict=False):
-                half = len(t) // 2
-                edited = t[: len(t) - half] + following[:half]
-                mine = prints.get("at") if prints.get("text") is t else fingerprint(t)
-                changed, theirs = fingerprint(edited), fingerprint(following)
-                prints = {"text": following, "at": theirs}
-                out.append((k if named else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), mine.hex(), changed.hex(), likeness(mine, changed), likeness(mine, theirs)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    dealt = rows.mapInArrow(deal, "slice long, ahead boolean, key long, named boolean, text string")
-    out = dealt.groupBy("slice").applyInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("id", id_col)
+            for b in sliced(batches, TOGETHER_BYTES):
+                ids, last, following = (c.to_pylist() for c in b.columns)
+                n = len(ids)
+                if n:
+                    f = fingerprints_of([*last, *following, *map(edited_text, last, following)])
+                    yield pa.RecordBatch.from_arrays(_compared(ids, last, following, f[:n], f[n : 2 * n], f[2 * n :]), [x for x, _ in _FOUND])
+
+    found = cut(rows.mapInArrow(run, f"{_FOUND_SQL}, part long, first string, last string"))
+    edges = found.where("part is not null").select("id", "part", "first", "last")
+    # The next part with rows: within a block of parts, else the first of the next block, else the first of all.
+    block = F.floor(F.col("part") / BLOCK_PARTS)
+    blocks = edges.groupBy(block.alias("block")).agg(F.min("part").alias("begin"))
+    every = W.partitionBy(F.lit(0))  # one row for each BLOCK_PARTS partitions
+    blocks = blocks.select("block", F.coalesce(F.lead("begin").over(every.orderBy("block")), F.min("begin").over(every)).alias("other"))
+    inside = F.lead("part").over(W.partitionBy("block").orderBy("part"))
+    pairs = edges.withColumn("block", block).select("id", "last", "block", inside.alias("inside")).join(blocks, "block")
+    pairs = pairs.select("id", "last", F.coalesce("inside", "other").alias("part")).join(edges.select("part", "first"), "part").select("id", "last", "first")
+    out = found.where("part is null").select(*(n for n, _ in _FOUND)).unionByName(pairs.mapInArrow(meet, _FOUND_SQL))
+    text_of = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select(F.col("id").alias(id_col), "n_chars", text_of("edited_sha256"), text_of("fingerprint"), text_of("edited_fingerprint"), "near_edited", "near_next")
 
 
 def _band_members(entries: DataFrame) -> DataFrame:
@@ -247,30 +305,6 @@ def _near(entries: DataFrame, every: bool, verified) -> DataFrame:
     return links.unionByName(more)
 
 
-def near_copies(found: DataFrame, least: float = LEAST_LIKENESS, *, every: bool = True) -> DataFrame:
-    """(fingerprint, other, near): pairs of distinct fingerprints in a band together with likeness of at least
-    least, for a table with a fingerprint column; other is the smaller.
-
-    Equal fingerprints are one entry. Each of BANDS bands is BAND_SLOTS sampled slots. With every=False, pairs
-    within one group are left out once the group is joined: each member is held against the smallest of its
-    bands, then all pairs left between two groups against each other, so the links given join exactly the
-    fingerprints that all links join, and a large group is not expanded into all of its pairs.
-
-    Likeness is no edit similarity (a single edit can part two walks for long): near_texts holds the texts
-    themselves against each other.
-    """
-    entries = cut(found.where(F.col("fingerprint").isNotNull()).select(F.col("fingerprint").alias("key")).distinct()).select("key", F.col("key").alias("fingerprint"))
-
-    def verify(batches):
-        for b in batches:
-            near = [likeness(bytes.fromhex(x), bytes.fromhex(y)) for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            out = b.append_column("near", pa.array(near, pa.float64()))
-            yield out.filter(pa.array([x >= least for x in near], pa.bool_()))
-
-    near = _near(entries, every, lambda pairs: pairs.mapInArrow(verify, "a string, b string, near double"))
-    return near.select(F.col("b").alias("fingerprint"), F.col("a").alias("other"), "near")
-
-
 def _alike(a: str, b: str, i: int, j: int) -> int:
     """How many characters from a[i] and b[j] on are equal."""
     at, step, size, growing = 0, 8, min(len(a) - i, len(b) - j), True
@@ -317,7 +351,10 @@ def near_texts(docs: DataFrame, least: float = LEAST_SIMILARITY, *, every: bool
     longer one's characters; similarity is 1 - edits / characters of the longer.
 
     Candidates share a band of their fingerprints, or the fingerprint; each is verified on the texts. Equal
-    texts are one entry; null and empty texts have no pair. every as in near_copies.
+    texts are one entry; null and empty texts have no pair. With every=False, pairs within one group are left out
+    once the group is joined: each member is held against the smallest of its bands, then all pairs left between
+    two groups against each other, so the links given join exactly the texts that all links join, and a large
+    group is not expanded into all of its pairs.
     """
     texts = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("text")).withColumn("key", F.sha2("text", 256)).dropDuplicates(["key"])
     texts = cut(texts)

@@ -3,41 +3,99 @@ import random
 
 import numpy as np
 
+from tarn.functions.lineage import setting
 from tarn.llm import edit_fingerprint as E
 
 
-def slow_walk(text):
-    """Places at every step, one step at a time, by the shared coins."""
-    at, out = 0, []
+def slow(text):
+    """The fingerprint's places and steps, one step at a time."""
+    letters = np.array(sorted({ord(c) for c in text}))
+    number = {int(c): i for i, c in enumerate(letters)}
+    at, j, best = 0, 0, {}
     while at < len(text):
-        for p in range(E.PHASES):
-            out.append(at)
-            if at < len(text):
-                at += int(E._coins()[ord(text[at]) & 0xFFFF] >> p) & 1
-    return out
+        u = int(E.priorities(j, 1)[0])
+        if j % E.SLOTS not in best or u < best[j % E.SLOTS][0]:
+            best[j % E.SLOTS] = u, at, j
+        at += int(E.coins(letters, j // E.STRIDE)[0][number[ord(text[at])]]) >> j % E.STRIDE & 1
+        j += 1
+    return best
 
 
-def test_jumps_take_the_steps_of_the_walk():
+def read(text, best):
+    out = bytearray(E.SLOTS)
+    for s, (_, at, j) in best.items():
+        x = np.zeros(1, np.uint64)
+        for g in range(E.GRAM):
+            x = E._mix(x + np.uint64(ord(text[at + g]) + 1 if at + g < len(text) else 0) + np.uint64(g << 32))
+        out[s] = int(E._mix(x + np.uint64(j))[0] % np.uint64(255)) + 1
+    return bytes(out)
+
+
+def test_fingerprints_by_walking_step_by_step():
     rng = random.Random(1)
-    for n in (1, 2, 7, 100, 999):
-        text = "".join(rng.choice("abcdé 𝒳\n") for _ in range(n))
-        coins = np.append(E._coins()[np.array([ord(c) for c in text]) & 0xFFFF], np.zeros(E.PHASES, np.uint8))
-        stops, steps = E._walk(coins, n)
-        slow = slow_walk(text)
-        assert steps == len(slow) and stops[:-1].tolist() == slow[:: E.PHASES] and stops[-1] == n
-        step = E._chosen(steps)
-        for s, j in enumerate(step.tolist()):
-            own = [k for k in range(s, steps, E.SLOTS)]
-            assert (j == -1) == (not own) and (j == -1 or j in own)
-
-
-def test_sampled_steps_are_those_of_least_priority():
-    for steps in (1, 50, 128, 4000, E.SLOTS * (E._TABLE_ROWS + 5)):
-        u = E._first(-(-steps // E.SLOTS))
-        for s in (0, 1, 49, 127):
-            rows = [k for k in range(u.shape[0]) if k * E.SLOTS + s < steps]
-            want = min(rows, key=lambda k: u[k, s]) * E.SLOTS + s if rows else -1
-            assert E._chosen(steps)[s] == want
+    texts = ["".join(rng.choice("abcdé 𝒳\n\0") for _ in range(n)) for n in (0, 1, 2, 7, 63, 64, 65, 100, 999, 300, 301, 302, 303, 304, 305, 306, 307, 2000, 41, 42, 43)] + ["", "a", "aaaaaaaa" * 90]
+    want = [read(t, slow(t)) for t in texts]
+    together = E.fingerprints_of(texts)
+    assert len(texts) > E.FEW and [f.tobytes() for f in together] == want  # side by side
+    assert [E.fingerprint(t) for t in texts] == want  # one by one
+    assert [f.tobytes() for f in E.fingerprints_of(texts[::-1])] == want[::-1]
+
+
+def test_coins_have_no_period_and_are_fair():
+    letters = np.arange(97, 123)
+    words = E.coins(letters, 0, 400)[:, :-1]
+    bits = ((words[:, :, None] >> E._SHIFTS) & np.uint64(1)).astype(int)
+    assert abs(bits.mean() - 0.5) < 0.01 and (E.coins(letters, 7)[:, -1] == 0).all()
+    walk = bits.transpose(1, 0, 2).reshape(len(letters), -1) * 2 - 1
+    for lag in (1, 2, 8, 16, 64, 128, 1024):
+        assert abs((walk[:, lag:] * walk[:, :-lag]).mean()) < 0.02, lag
+    assert abs((walk[0] * walk[1]).mean()) < 0.03
+
+
+def plain_likeness(rng, x, y):
+    """Share of the steps at which two walks by independent coins, drawn step by step, read the same."""
+    both, steps, a, b = 0, 0, 0, 0
+    while a < len(x) or b < len(y):
+        draws = {}
+        p, q = x[a : a + E.GRAM], y[b : b + E.GRAM]
+        both, steps = both + (p == q and a < len(x) and b < len(y)), steps + 1
+        for c in sorted({p[:1], q[:1]}):
+            draws[c] = rng.random() < 0.5
+        a, b = a + (draws[p[:1]] if p else 0), b + (draws[q[:1]] if q else 0)
+    return both / steps
+
+
+def test_likeness_is_that_of_walks_by_independent_coins():
+    rng = random.Random(4)
+    base = ["".join(rng.choice("etaoin shrdlu") for _ in range(1500)) for _ in range(200)]
+
+    def change(t, kind):
+        at = rng.randrange(len(t))
+        return t[:at] + {"replace": "#", "insert": "#" + t[at], "delete": ""}[kind] + t[at + 1 :]
+
+    own = E.fingerprints_of(base)
+    for kind in ("replace", "insert", "delete"):
+        other = [change(t, kind) for t in base]
+        ours = E.likenesses(own, E.fingerprints_of(other))
+        plain = [plain_likeness(rng, x, y) for x, y in zip(base, other, strict=True)]
+        assert np.percentile(ours, 10) >= np.percentile(plain, 10) - 0.05, kind
+        assert abs(ours.mean() - np.mean(plain)) < 0.03, kind
+    means = []
+    for k in (1, 4, 16):
+        other = base
+        for _ in range(k):
+            other = [change(t, rng.choice(("replace", "insert", "delete"))) for t in other]
+        means.append(E.likenesses(own, E.fingerprints_of(other)).mean())
+    assert means[0] > means[1] + 0.03 > means[2] + 0.1
+
+
+def test_one_edit_in_a_very_long_text():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(650_000))
+    assert len(text) > 4 << 20
+    f = E.fingerprints_of([text, text[:2_000_000] + "#" + text[2_000_000:]])
+    assert E.likenesses(f[:1], f[1:])[0] > 0.6
 
 
 def test_likeness_follows_edits():
@@ -52,7 +110,7 @@ def test_likeness_follows_edits():
     assert E.likeness(E.fingerprint(""), E.fingerprint(None)) == 1.0 and E.likeness(E.fingerprint("a"), E.fingerprint("")) == 0.0
 
 
-def test_compare_with_next_by_brute_force(spark):
+def test_compare_with_next_by_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(3 * i, "".join(rng.choice("abc é𝒳") for _ in range(rng.randrange(0, 40)))) for i in range(300)] + [(-5, None), (None, "no id"), (30, "same id"), (9999, "")]
     want = []
@@ -63,29 +121,19 @@ def test_compare_with_next_by_brute_force(spark):
         want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), E.fingerprint(t).hex(), E.fingerprint(edited).hex(), E.likeness(E.fingerprint(t), E.fingerprint(edited)), E.likeness(E.fingerprint(t), E.fingerprint(n))))
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "0 as slice", "0 as n_chars").repartition(5)
     key = lambda r: tuple(map(str, r))
-    for size in (40, 10_000):
-        got = [tuple(r) for r in E.compare_with_next(df, slice_rows=size).collect()]
+    monkeypatch.setattr(E, "BLOCK_PARTS", 3)
+    for partitions in ("1", "17"):
+        with setting(spark, "spark.sql.shuffle.partitions", partitions), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+            got = [tuple(r) for r in E.compare_with_next(df).collect()]
         assert sorted(got, key=key) == sorted(want, key=key)
     assert E.compare_with_next(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(5, "same")] * 7 + [(None, "same")] * 5, "doc_id long, text string")
+    rows = E.compare_with_next(same).collect()
+    assert len(rows) == 12 and {(r.near_next, r.n_chars) for r in rows} == {(1.0, 4)} and sum(r.doc_id is None for r in rows) == 5
     one = E.compare_with_next(df.where("doc_id = 3")).first()
     assert one.near_next == 1.0
 
 
-def test_near_copies(spark):
-    rng = random.Random(5)
-    base = ["".join(rng.choice("etaoin shrdlu") for _ in range(2000)) for _ in range(6)]
-    rows = []
-    for b in base:
-        for k in range(4):
-            at = rng.randrange(len(b))
-            rows.append((len(rows), b if k == 0 else b[:at] + "#" + b[at + 1 :]))
-    prints = E.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    of = {r.fingerprint: r.doc_id // 4 for r in prints}
-    pairs = E.near_copies(E.fingerprints(spark.createDataFrame([*rows, (99, None), (98, "")], "doc_id long, text string")), 0.5).collect()
-    assert pairs and all(of[p.fingerprint] == of[p.other] for p in pairs)
-    assert len({of[p.fingerprint] for p in pairs}) >= 5  # walks that part early and meet late can miss a group
-
-
 def test_near_copies_finds_pairs_that_the_hub_of_their_bands_is_not_like(spark, monkeypatch):
     monkeypatch.setattr(E, "BLOCK_MEMBERS", 3)
     rng = random.Random(7)
@@ -100,9 +148,15 @@ def test_near_copies_finds_pairs_that_the_hub_of_their_bands_is_not_like(spark,
         for y in prints:
             if y < x and any(all(x[s] == y[s] for s in row) for row in slots) and E.likeness(x, y) >= 0.75:
                 want.add((x.hex(), y.hex()))
-    df = spark.createDataFrame([(p.hex(),) for p in prints], "fingerprint string")
-    got = E.near_copies(df, 0.75).collect()
-    assert len(got) == len(want) and {(r.fingerprint, r.other) for r in got} == want
+    entries = spark.createDataFrame([(p.hex(),) for p in prints], "key string").selectExpr("key", "key as fingerprint")
+
+    def verify(batches):
+        for b in batches:
+            yield b.filter([E.likeness(bytes.fromhex(x), bytes.fromhex(y)) >= 0.75 for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)])
+
+    near = lambda every: [(r.b, r.a) for r in E._near(entries, every, lambda pairs: pairs.mapInArrow(verify, "a string, b string")).collect()]
+    got = near(True)
+    assert len(got) == len(want) and set(got) == want
 
     def groups(links):
         of = {p.hex(): {p.hex()} for p in prints}
@@ -112,7 +166,7 @@ def test_near_copies_finds_pairs_that_the_hub_of_their_bands_is_not_like(spark,
                 of[p] = both
         return {frozenset(g) for g in of.values()}
 
-    fewer = {(r.fingerprint, r.other) for r in E.near_copies(df, 0.75, every=False).collect()}
+    fewer = set(near(False))
     assert fewer <= want and groups(fewer) == groups(want) and any(len(g) > 1 for g in groups(want))
 
 
@@ -158,8 +212,3 @@ def test_defaults_find_edited_texts(spark):
     for k, some in copies.items():
         want = [p for p in (pair(digest(a), digest(b)) for a, b in zip(base, some, strict=True)) if E.edits_within(text_of[p[0]], text_of[p[1]], len(text_of[p[0]]) // 120) is not None]
         assert sum(p in got for p in want) >= 0.9 * len(want) and len(want) >= 50, k
-    prints = {digest(t): E.fingerprint(t).hex() for t in text_of.values()}
-    like = {(r.fingerprint, r.other) for r in E.near_copies(E.fingerprints(df)).collect()}
-    for k, some in copies.items():
-        want = [p for p in (pair(prints[digest(a)], prints[digest(b)]) for a, b in zip(base, some, strict=True)) if p[0] != p[1]]
-        assert sum(p in like for p in want) >= 0.85 * len(want), k
