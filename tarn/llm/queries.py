@@ -50,6 +50,11 @@ def op7_edit_fingerprint(spark, sf_dir):
     return edit_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def edit_near_texts(spark, sf_dir):
+    """Near copies by the bands of operator 7, verified on the texts; no contract names it."""
+    return edit_fingerprint.near_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
@@ -64,7 +69,7 @@ def op10_token_count(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op4_ann, op5_jaccard_join, op6_quality, op7_edit_fingerprint, op8_suffix_dedup, op9_packing, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op4_ann, op5_jaccard_join, op6_quality, op7_edit_fingerprint, edit_near_texts, op8_suffix_dedup, op9_packing, op10_token_count)}
 
 SQL1 = r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size, ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT h FROM documents),

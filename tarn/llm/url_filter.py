@@ -3,21 +3,23 @@
 Both models are variable-order Markov chains over the characters of a URL: the chance of a character
 given the last ORDER characters, smoothed by Witten and Bell's rule towards one character less of context,
 down to a uniform chance. One model is of accepted URLs, one of rejected URLs. A URL is judged by the
-difference of the two log-likelihoods divided by its length, against a threshold calibrated on the labelled
-URLs. All of it is DataFrame operations.
-
-Labelled URLs: the given seed URLs, and from the corpus every URL whose host has a rejected term (rejected).
-Nothing says that any other URL is wanted. Those that no rule blocks show what URLs of the corpus look like:
-they are in both models alike, so what only they have speaks neither way, and have no part in the threshold.
-Each host of the corpus weighs HOST_WEIGHT in all, however many URLs it has, so no host vouches for itself.
-Letters are lower-cased and digits stand for one digit, which bounds the models by the alphabet.
+difference of the two log-likelihoods divided by its length, against a calibrated threshold. All of it is
+DataFrame operations.
+
+Labelled URLs are the given seeds and every URL of the corpus that a rule decides, by its outcome. Nothing is
+known of the others: they show what URLs of the corpus look like and are in both models alike, so what only
+they have speaks neither way. Each host of the corpus weighs HOST_WEIGHT in all, however many URLs it has, so
+no host vouches for itself. Labelled hosts are dealt to FOLDS folds by hash. Models fitted without the first
+fold judge that fold, which sets the threshold: the one that blocks FALSE_BLOCKS of its accepted hosts. The
+models that judge the corpus are then fitted on all labelled URLs. Letters are lower-cased and digits stand
+for one digit, which bounds the models by the alphabet.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -29,16 +31,22 @@ BROADCAST_ROWS = 1_000_000
 #: A URL's smoothing floor: every character has at least one part in so many under the shortest context.
 ALPHABET = 256.0
 
+#: Characters of a URL that are cut up at a time.
+PIECE = 256
 #: What all URLs of a host weigh in the models; a seed URL weighs 1.
 HOST_WEIGHT = 0.02
 
-#: Parameters: terms that mark a host as unwanted, and seed URLs of either kind. Both are category names and
-#: common words of public block lists and directories; none is taken from a table.
-REJECTED_TERMS = ("adult", "porn", "xxx", "escort", "casino", "poker", "gambling", "betting", "lottery", "jackpot", "viagra", "payday", "warez", "keygen", "malware", "phishing", "spam", "adserv", "popunder")
-_REJECTED = "sex porn xxx nude hookup camgirls striptease hardcore milf escorts swingers casino poker slots jackpot roulette blackjack gambling betting sportsbook bookmaker lottery bingo viagra cialis steroids online-pharmacy weight-loss payday-loans quick-cash replica-watches get-rich warez cracks keygen serials torrents malware spyware phishing spam clickbait adserver banner-ads popunder adclick".split()
+#: Folds of labelled hosts; the first one is kept out to set the threshold.
+FOLDS = 4
+#: Share of the accepted hosts kept out that the threshold blocks.
+FALSE_BLOCKS = 0.02
+
+#: Parameter: seed URLs of either kind, made of category names and common words of public block lists and
+#: directories. None is taken from a table.
+_REJECTED = "adult sex porn xxx nude hookup camgirls striptease hardcore milf escorts swingers casino poker slots jackpot roulette blackjack gambling betting sportsbook bookmaker lottery bingo viagra cialis steroids online-pharmacy weight-loss payday-loans quick-cash replica-watches get-rich warez cracks keygen serials torrents malware spyware phishing spam clickbait adserver banner-ads popunder adclick".split()
 _ACCEPTED = "news library university recipes museum weather school college hospital science history garden music theatre football travel government parliament council encyclopedia dictionary journal research physics biology chemistry astronomy philosophy literature poetry painting architecture engineering software photography cooking hiking railway forest ocean mountain wildlife charity radio magazine publisher".split()
 _SHAPES = ("http://{}.com/en/1", "https://www.{}.org/de/1.html", "http://m.{}.net/fr/1?page=2", "https://blog.{}.com/es/1/")
-SEEDS = tuple((shape.format(w), label) for label, names in enumerate((_REJECTED, _ACCEPTED)) for w in names for shape in _SHAPES)
+SEEDS = tuple((shape.format(w), label, w) for label, names in enumerate((_REJECTED, _ACCEPTED)) for w in names for shape in _SHAPES)
 
 
 @dataclass(frozen=True)
@@ -80,9 +88,12 @@ def normal(url: Column) -> Column:
 
 
 def grams(urls: DataFrame) -> DataFrame:
-    """One row per character with the ORDER characters before it; urls has url and text = normal(url)."""
-    at = F.explode(F.sequence(F.lit(1), F.length("text") - ORDER))
-    return urls.where(F.length("text") > ORDER).select("*", at.alias("_at")).withColumn("gram", F.substring(F.col("text"), F.col("_at"), F.lit(ORDER + 1))).drop("_at", "text")
+    """One row per character with the ORDER characters before it; urls has text = normal(url). A text is first cut
+    into overlapping pieces in one pass, as finding a place in a long text takes a walk to it."""
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{ORDER + 1},{PIECE + ORDER}}})).{{1,{PIECE}}}"), F.lit(1))
+    cut_up = urls.select(*(c for c in urls.columns if c != "text"), F.explode(pieces).alias("_piece"))
+    out = cut_up.select("*", F.explode(F.sequence(F.lit(1), F.length("_piece") - ORDER)).alias("_at"))
+    return out.withColumn("gram", F.substring(F.col("_piece"), F.col("_at"), F.lit(ORDER + 1))).drop("_at", "_piece")
 
 
 def log_ratios(counted: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -107,43 +118,72 @@ def log_ratios(counted: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select("gram", (F.ln("p1") - F.ln("p0")).alias("ratio"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, rejected_terms: tuple[str, ...] = REJECTED_TERMS, seeds: tuple[tuple[str, int], ...] = SEEDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Per row: id, host, path, rule (or null), verdict, ratio (log-likelihood difference per character).
+def planted(spark: SparkSession, seeds: tuple[tuple[str, int, str], ...]) -> DataFrame:
+    """The seeds as rows (url, label, name); the URLs of one name share a fold."""
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join(f"({quoted(u)}, {int(label)}, {quoted(name)})" for u, label, name in seeds)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(url, label, name)") if seeds else spark.sql("SELECT '' url, 0 label, '' name WHERE false")
+
+
+def fold(name: Column) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(FOLDS))
+
+
+def scored(texts: DataFrame, counted: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, ratio: the mean over the characters of each text of the log of the two models' chances. by is short, as it
+    goes with every character."""
+    counted = cut(counted)
+    found = grams(texts)
+    ratios = log_ratios(counted.where("label is not null"), counted.select("gram").unionByName(found.select("gram").distinct()))
+    if ratios.count() > BROADCAST_ROWS:
+        # The most frequent grams are broadcast; what is left is rare and has no hot key.
+        often = cut(found.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "gram").limit(BROADCAST_ROWS).join(ratios, "gram").select("gram", "ratio"))
+        first = found.join(F.broadcast(often), "gram", "left")
+        rest = first.where("ratio is null").drop("ratio").join(ratios, "gram")
+        joined = first.where("ratio is not null").unionByName(rest)
+    else:
+        joined = found.join(F.broadcast(ratios), "gram")
+    return cut(joined.groupBy(*by).agg(F.avg("ratio").alias("ratio")))
+
 
-    The verdict is the longest fitting rule's, else "allow" if ratio is at least the calibrated threshold,
-    which lies midway between the 1st per mille of accepted and the 99th percentile of rejected labelled URLs, or
-    midway between that percentile and 0 (no evidence either way) if this is less. A null or empty URL has ratio 0, empty host and path, and is blocked unless a rule says otherwise: it names no
-    page. Rows repeat if the input's do. An empty table gives an empty result; other columns are not read.
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, seeds: tuple[tuple[str, int, str], ...] = SEEDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Per row: id, host, path, rule (or null), verdict, ratio (log-likelihood difference per character),
+    threshold (the calibrated one, the same in all rows).
+
+    The verdict is the longest fitting rule's, else "allow" if ratio is at least the threshold. Without an accepted
+    host in the fold kept out the threshold is 0. A null or empty URL has ratio 0, empty host and path, and is
+    blocked: it names no page. Rows repeat if the input's do. An empty table gives an empty result; other columns
+    are not read. seeds: (url, label, name), label 1 for accepted.
     """
-    spark = pages.sparkSession
+    texts, counted, threshold = models(pages, rules, seeds=seeds, url_col=url_col)
+    ratios = scored(texts, counted, ("key",))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
-    # Equal URLs are judged once; counting them first keeps a hot URL to one row per task in the shuffle.
-    urls = rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n"))
-    urls = urls.withColumns({"host": host, "path": path}).withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
-    bad = F.lit(False)
-    for t in rejected_terms:
-        bad = bad | F.contains("host", F.lit(t))
-    label = F.when(bad, 0).when(F.coalesce(F.col("found.allow"), F.lit(True)), -1)  # -1: nothing speaks for or against it
-    urls = cut(urls.select("url", "host", "n", label.alias("label"), normal(F.col("url")).alias("text")))
-    hosts = cut(urls.where("label is not null").groupBy("host", "label").agg(F.sum("n").alias("rows")))
-    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_ROWS else hosts
-    weight = F.col("n") / F.col("rows") * HOST_WEIGHT
-    trained = urls.join(hosts, ["host", "label"], "left").select("url", weight.alias("n"), F.explode(F.when(F.col("label") == -1, F.array(F.lit(0), F.lit(1))).otherwise(F.array("label"))).alias("label"), "text")
-
-    planted = spark.createDataFrame([*seeds], "url string, label int").select("url", F.lit(1.0).alias("n"), "label", normal(F.col("url")).alias("text"))
-    counted = cut(grams(trained.unionByName(planted)).groupBy("gram", "label").agg(F.sum("n").alias("n")))
-    ratios = log_ratios(counted.where("label is not null"), counted)
-    size = ratios.count()
-    ratios = F.broadcast(ratios) if size <= BROADCAST_ROWS else ratios
-    scored = grams(urls.select("url", "label", "text").unionByName(planted.select("url", "label", "text"))).join(ratios, "gram").groupBy("url", "label").agg(F.avg("ratio").alias("ratio"))
-    scored = cut(scored)
-    low, high = scored.agg(F.percentile_approx(F.when(F.col("label") == 1, F.col("ratio")), 0.001, 10_000), F.percentile_approx(F.when(F.col("label") == 0, F.col("ratio")), 0.99, 10_000)).first()
-    threshold = min((low + high) / 2, high / 2) if low is not None and high is not None else 0.0
-
-    scored = scored.groupBy("url").agg(F.max("ratio").alias("ratio"))
-    out = rows.join(scored.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left").withColumns({"host": host, "path": path})
+    out = rows.join(ratios, F.md5("url") == F.col("key"), "left").withColumns({"host": host, "path": path})
     out = out.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
     named = F.coalesce(F.length("url"), F.lit(0)) > 0
-    allow = F.coalesce(F.col("found.allow"), named & (F.col("ratio") >= F.lit(float(threshold))))
-    return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"), "ratio")
+    allow = F.coalesce(F.col("found.allow"), named & (F.col("ratio") >= F.lit(threshold)))
+    return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"), "ratio", F.lit(threshold).alias("threshold"))
+
+
+def models(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, seeds: tuple[tuple[str, int, str], ...] = SEEDS, url_col: str = "url") -> tuple[DataFrame, DataFrame, float]:
+    """Distinct URLs (key, a digest, and text), the counts of the final models (gram, label, n), and the threshold."""
+    host, path = host_and_path(F.col("url"))
+    # Equal URLs are judged once; counting them first keeps a hot URL to one row per task in the shuffle.
+    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").groupBy("url").agg(F.count("*").alias("n"))
+    label = longest_rule(host, path, rules)["allow"].cast("int")
+    urls = cut(urls.select(F.md5("url").alias("key"), host.alias("name"), "n", label.alias("label"), normal(F.col("url")).alias("text")))
+    hosts = cut(urls.groupBy("name", "label").agg(F.sum("n").alias("rows")))
+    sizes = F.broadcast(hosts) if hosts.count() <= BROADCAST_ROWS else hosts
+    same = (F.col("name") == F.col("_name")) & F.col("label").eqNullSafe(F.col("_label"))
+    weighed = urls.join(sizes.withColumnsRenamed({"name": "_name", "label": "_label"}), same).withColumn("n", F.col("n") / F.col("rows") * HOST_WEIGHT)
+    seeded = planted(pages.sparkSession, seeds).withColumn("text", normal(F.col("url")))
+    every = weighed.select("name", "n", "label", "text").unionByName(seeded.select("name", F.lit(1.0).alias("n"), "label", "text"))
+    both = F.explode(F.when(F.col("label").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array("label")))
+    kept_out = F.col("label").isNotNull() & (fold(F.col("name")) == 0)
+    # Counted once; those of the fold kept out are told apart.
+    counts = cut(grams(every.select(kept_out.alias("out"), "n", both.alias("label"), "text")).groupBy("gram", "label", "out").agg(F.sum("n").alias("n")))
+    held = urls.where("label is not null").select("name", "label", "text").unionByName(seeded.select("name", "label", "text")).where(fold(F.col("name")) == 0)
+    judged = scored(held.select(F.md5("name").alias("key"), "label", "text"), counts.where(~F.col("out")).select("gram", "label", "n"), ("key", "label"))
+    low = judged.where("label = 1").agg(F.percentile_approx("ratio", FALSE_BLOCKS, 10_000)).first()[0]
+    return urls.select("key", "text"), counts.groupBy("gram", "label").agg(F.sum("n").alias("n")), float(low) if low is not None else 0.0

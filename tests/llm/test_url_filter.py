@@ -22,7 +22,7 @@ ODD = ["http://A.Example.NET/en/1?x#y", "https://example.net/en", "https://net/"
 
 
 def pages(spark, n=400):
-    hosts = ["news.example.com", "blog.words.example.org", "m.letters.example.net", "adult-x.example.com", "spam-farm.example.org"]
+    hosts = ["news.example.com", "blog.words.example.org", "m.letters.example.net", "casinopoker.example.com", "spam-phishing.example.org"]
     rows = [(i, f"http://{hosts[i % 5]}/{('en', 'de', 'fr', 'es')[i % 4]}/{i}") for i in range(n)] + [(1000 + i, u) for i, u in enumerate(ODD)] + [(1000, ODD[0]), (None, ODD[1])]
     return rows, spark.createDataFrame([(i, u, "x", "y") for i, u in rows], "page_id long, url string, host string, verdict string")
 
@@ -38,7 +38,7 @@ def test_hosts_paths_and_rules(spark):
         assert r.verdict in ("allow", "block")
         if r.rule:
             assert r.verdict == by_rule.get(r.page_id, r.verdict)
-        elif r.host.startswith(("adult", "spam")):
+        elif r.host.startswith(("casino", "spam")):
             assert r.verdict == "block"
         elif r.host.startswith(("news", "blog")):
             assert r.verdict == "allow"
@@ -74,12 +74,84 @@ def test_empty(spark):
     assert U.judge_urls(pages(spark)[1].limit(0)).count() == 0
 
 
-def test_unwanted_hosts_that_no_term_or_seed_names(spark):
+def chances(counts, c, gram):
+    """Witten-Bell chance of the last character of gram under model c; counts[c][k] holds grams of k characters."""
+    p = 1 / U.ALPHABET
+    for k in range(1, U.ORDER + 2):
+        tail = gram[len(gram) - k :]
+        total, kinds = counts[c]["around"].get(tail[:-1], (0, 0))
+        if kinds:
+            p = (counts[c]["seen"].get(tail, 0) + kinds * p) / (total + kinds)
+    return p
+
+
+def fitted(weighed):
+    """Counts of both models from (text, label, weight)."""
+    counts = {c: {"seen": {}, "around": {}} for c in (0, 1)}
+    for text, label, n in weighed:
+        for i in range(U.ORDER, len(text)):
+            for k in range(1, U.ORDER + 2):
+                tail = text[i + 1 - k : i + 1]
+                counts[label]["seen"][tail] = counts[label]["seen"].get(tail, 0) + n
+    for c in (0, 1):
+        for tail, n in counts[c]["seen"].items():
+            total, kinds = counts[c]["around"].get(tail[:-1], (0, 0))
+            counts[c]["around"][tail[:-1]] = total + n, kinds + 1
+    return counts
+
+
+def mean_ratio(counts, texts):
+    from math import log
+
+    each = [log(chances(counts, 1, t[i - U.ORDER : i + 1])) - log(chances(counts, 0, t[i - U.ORDER : i + 1])) for t in texts for i in range(U.ORDER, len(t))]
+    return sum(each) / len(each)
+
+
+def brute_judged(spark, rows):
+    """(ratio by URL, threshold) by plain counting, a URL at a time."""
+    from collections import Counter
+
+    text = lambda u: U.START * U.ORDER + "".join("0" if c.isdecimal() else c for c in u.lower())
+    times = Counter(u for _, u in rows if u is not None)
+    label = {u: {"allow": 1, "block": 0, None: None}[brute(u)[3]] for u in times}
+    of_host = Counter()
+    for u, n in times.items():
+        of_host[brute(u)[0], label[u]] += n
+    every = [(brute(u)[0], text(u), label[u], n / of_host[brute(u)[0], label[u]] * U.HOST_WEIGHT) for u, n in times.items()]
+    every += [(name, text(u), c, 1.0) for u, c, name in U.SEEDS]
+    names = sorted({e[0] for e in every})
+    folds = dict(spark.createDataFrame([(n,) for n in names], "name string").select("name", U.fold(U.F.col("name"))).collect())
+    spread = lambda some: [(t, c, n) for _, t, label, n in some for c in ((0, 1) if label is None else (label,))]
+    final = fitted(spread(every))
+    kept = fitted(spread(e for e in every if e[2] is None or folds[e[0]]))
+    held = {}
+    for name, t, c, _ in every:
+        if c == 1 and folds[name] == 0:
+            held.setdefault(name, []).append(t)
+    ratios = sorted(mean_ratio(kept, texts) for texts in held.values())
+    low = ratios[max(0, -(-int(U.FALSE_BLOCKS * len(ratios) * 1e9) // 10**9) - 1)] if ratios else 0.0
+    return {u: mean_ratio(final, [text(u)]) for u in times if u}, low
+
+
+def test_ratios_and_verdicts_by_brute_force(spark, monkeypatch):
+    rows, df = pages(spark, 120)
+    want, threshold = brute_judged(spark, rows)
+    for most in (U.BROADCAST_ROWS, 50):
+        monkeypatch.setattr(U, "BROADCAST_ROWS", most)
+        url = {i: u for i, u in rows if i is not None}
+        for r in U.judge_urls(df).where("page_id <> 1000").collect():
+            u = url[r.page_id]
+            assert abs(r.threshold - threshold) < 1e-9
+            assert abs(r.ratio - want.get(u, 0.0)) < 1e-9
+            rule = brute(u)[3]
+            assert r.verdict == (rule or ("allow" if u and want[u] >= threshold else "block"))
+
+
+def test_unwanted_hosts_that_no_seed_names(spark):
     unwanted = ["hardsexclips", "nudecamshow", "slotsroulette", "bookmakerbingo", "cialispharmacy", "crackserials"]
     wanted = ["tiddlewick", "brantholm", "oakridgepress", "marlowharbour", "finchbury", "stonewell", "universitypress", "citylibrary", "gardenhistory", "weatherradio"]
-    for host in unwanted:
-        assert not any(t in host for t in U.REJECTED_TERMS) and not any(host in u for u, _ in U.SEEDS)
     hosts = unwanted + wanted
+    assert not any(host in u for host in hosts for u, _, _ in U.SEEDS)
     rows = [(i, f"http://{('www.', 'm.', 'blog.', '')[i % 4]}{hosts[i % len(hosts)]}.com/{('en', 'fr')[i % 2]}/{i}") for i in range(800)]
     rows += [(1000 + i, f"http://hardsexclips.com/en/{i}") for i in range(600)]  # a host is not good for having many URLs
     got = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
@@ -88,3 +160,32 @@ def test_unwanted_hosts_that_no_term_or_seed_names(spark):
     good = [r for r in got if name(r) in wanted]
     assert sum(r.verdict == "block" for r in bad) >= 0.9 * len(bad)
     assert sum(r.verdict == "allow" for r in good) >= 0.9 * len(good)
+
+
+def test_errors_on_words_kept_out(spark):
+    """Seeds whose names the models have not seen, in two folds: few accepted ones are blocked."""
+    blocked = {0: 0, 1: 0}
+    total = {0: 0, 1: 0}
+    for k in range(2):
+        names = sorted({n for _, _, n in U.SEEDS})[k::5]
+        rows = [(i, u, c) for i, (u, c, n) in enumerate(U.SEEDS) if n in names and ".com/" in u]
+        seeds = tuple(s for s in U.SEEDS if s[2] not in names)
+        for r in U.judge_urls(spark.createDataFrame([x[:2] for x in rows], "page_id long, url string"), rules=(), seeds=seeds).collect():
+            c = rows[[x[0] for x in rows].index(r.page_id)][2]
+            total[c] += 1
+            blocked[c] += r.verdict == "block"
+    print("false blocks", blocked[1], "of", total[1], "false allows", total[0] - blocked[0], "of", total[0])
+    assert blocked[1] <= 0.1 * total[1] and blocked[0] > blocked[1]
+
+
+def test_grams_of_pieces(spark):
+    texts = ["", "ab", "x" * 255 + "yz", "abcdefgé𝒳" * 200]
+    df = spark.createDataFrame([(i, U.START * U.ORDER + t) for i, t in enumerate(texts)], "i int, text string")
+    got = sorted((r.i, r.gram) for r in U.grams(df).collect())
+    assert got == sorted((i, (U.START * U.ORDER + t)[k : k + U.ORDER + 1]) for i, t in enumerate(texts) for k in range(len(t)))
+
+
+def test_very_long_url(spark):
+    long_ = "http://news.example.com/en/" + "a-long-path/" * 30_000
+    got = U.judge_urls(spark.createDataFrame([(1, long_), (2, "http://casino.example.com/en/1")], "page_id long, url string")).collect()
+    assert {r.page_id: len(r.path) for r in got} == {1: len(long_) - len("http://news.example.com"), 2: 5}
