@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, sliced
 
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)",
     re.S,
 )
+#: The rest of a tag; a quote opens a value after = only.
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\s\"'])))*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -53,8 +54,12 @@ BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed
 INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 #: Parts of svg that are not drawn where they stand.
 NOT_DRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
-HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
+HEAD_ONLY = frozenset("title meta link base style script".split())
 DEEPEST_TABLE = 8
+#: Levels of lists and quotes that are indented; deeper ones stand below the last of them.
+DEEPEST_INDENT = 20
+#: Columns of a row in which a cell may span several, and cells of the grid that one cell may span.
+SPAN_COLUMNS, SPAN_CELLS = 2_000, 65_534
 
 
 class Node:
@@ -72,27 +77,48 @@ class Node:
         return found
 
 
+class Open(list):
+    """The open elements from the outermost in, and by tag the places of those that are open, so that finding the
+    innermost one takes the same time at any depth."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.places: dict[str, list[int]] = {}
+
+    def append(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self))
+        super().append(node)
+
+    def pop(self) -> Node:
+        node = super().pop()
+        self.places[node.tag].pop()
+        return node
+
+    def end(self, place: int) -> None:
+        """The element at the place and all inside it end."""
+        while len(self) > place:
+            self.pop()
+
+    def nearest(self, tags) -> int:
+        """Place of the innermost open element of tags; 0 if there is none."""
+        places = self.places
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+
 def build(text: str) -> Node:
-    """The tree under html; html, head, body, tbody and tr are implied where they are left out."""
+    """The tree under html; html, head, body, tbody and tr are implied where they are left out. A tag that the text
+    ends in is dropped with all that follows its start."""
     root = Node("html")
     body: Node | None = None
-    stack = [root]
+    stack = Open(root)
+    nearest = stack.nearest
 
     def close(tags, walls) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return True
-            if stack[i].tag in walls:
-                return False
-        return False
-
-    def nearest(tags) -> int:
-        """Place of the innermost open element of tags; 0 if there is none."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-        return 0
+        at = nearest(tags)
+        if not at or at < nearest(walls):
+            return False
+        stack.end(at)
+        return True
 
     def in_table() -> bool:
         """Whether the innermost table is open between its cells (elements moved before it may be open as well)."""
@@ -126,7 +152,7 @@ def build(text: str) -> Node:
     def in_body() -> None:
         nonlocal body
         if body is None:
-            del stack[1:]
+            stack.end(1)
             body = Node("body")
             add(body)
             stack.append(body)
@@ -153,6 +179,10 @@ def build(text: str) -> Node:
             continue
         if m["tag"] is None:
             continue
+        rest = _REST.match(text, at)
+        if not rest:
+            break
+        at = rest.end()
         tag = m["tag"].lower()
         if m["end"]:
             if tag in ("html", "body"):
@@ -172,7 +202,7 @@ def build(text: str) -> Node:
                 else:
                     close({tag}, () if tag in ("table", "template", "object") else WALLS - {tag} if tag not in ("tr", "tbody", "thead", "tfoot", "td", "th", "caption") else {"table"} - {tag})
             continue
-        attrs = m["attrs"] or ""
+        attrs = rest[1]
         if tag == "html":
             root.attrs = root.attrs or attrs
             continue
@@ -196,7 +226,7 @@ def build(text: str) -> Node:
             if drawings and (foreign := nearest({"svg", "math"} | INTEGRATION)) and stack[foreign].tag in INTEGRATION:
                 foreign = 0
             if foreign and tag in BREAKOUT:
-                del stack[foreign:]
+                stack.end(foreign)
                 foreign = 0
             if foreign:
                 if tag == "text" and stack[-1].kids:
@@ -214,9 +244,9 @@ def build(text: str) -> Node:
                 if tag == "form":
                     continue
                 if tag == "table":
-                    del stack[nearest({"table"}) :]
+                    stack.end(nearest({"table"}))
                 elif tag in TABLE_PARTS:
-                    del stack[nearest(TABLE_PLACES.get(tag, {"table"})) + 1 :]
+                    stack.end(nearest(TABLE_PLACES.get(tag, {"table"})) + 1)
             tables += tag == "table"
             drawings += tag in ("svg", "math")
             if tag in CLOSES_P:
@@ -247,15 +277,32 @@ def build(text: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether the element has a place on the page at all; shown() tells whether its own text is to be seen."""
     if node.tag in HIDDEN:
         return False
     if not node.attrs:
-        return True
+        return node.tag != "dialog"
     a = node.attributes()
     if "hidden" in a and a["hidden"].lower() != "until-found":
         return False
-    style = re.sub(r"\s", "", a.get("style", "").lower())
-    return not ("display:none" in style or "visibility:hidden" in style or (node.tag == "dialog" and "open" not in a))
+    return not ("display:none" in _style(a) or (node.tag == "dialog" and "open" not in a))
+
+
+def _style(attributes: dict[str, str]) -> str:
+    return re.sub(r"\s", "", attributes.get("style", "").lower())
+
+
+def shown(node: Node, around: bool) -> bool:
+    """Visibility goes down to what is inside until an element sets it anew."""
+    found = re.findall(r"(?:^|;)visibility:(visible|hidden|collapse)", _style(node.attributes())) if "visibility" in node.attrs.lower() else None
+    return found[-1] == "visible" if found else around
+
+
+def unfolded(node: Node) -> list:
+    """What is laid out of an element: of closed details the first summary only."""
+    if node.tag == "details" and "open" not in node.attributes():
+        return next(([k] for k in node.kids if isinstance(k, Node) and k.tag == "summary"), [])
+    return node.kids
 
 
 class Page:
@@ -298,9 +345,9 @@ class Page:
             if self.gap and self.lines:
                 self.lines.append("")
             self.gap = False
-            lead = "".join(self.indent)
+            lead = "".join(self.indent[:DEEPEST_INDENT])
             if self.mark is not None:
-                lead = lead[: len(lead) - len(self.mark)] + self.mark
+                lead = lead[: max(0, len(lead) - len(self.mark))] + self.mark
                 self.mark = None
             self.line.append(lead)
         self.line.append(s)
@@ -322,30 +369,31 @@ class Page:
         return "\n".join(self.lines)
 
 
-def _rows(table: Node):
-    """Rows of a table in order; not those of tables inside it."""
-    stack = [iter(table.kids)]
+def _rows(table: Node, seen: bool):
+    """Rows of a table in order, with their visibility; not those of tables inside it."""
+    stack = [(iter(table.kids), seen)]
     while stack:
-        for kid in stack[-1]:
+        kids, around = stack[-1]
+        for kid in kids:
             if isinstance(kid, Node) and visible(kid):
                 if kid.tag == "tr":
-                    yield kid
+                    yield kid, shown(kid, around)
                 elif kid.tag in ("tbody", "thead", "tfoot", "form"):
-                    stack.append(iter(kid.kids))
+                    stack.append((iter(kid.kids), shown(kid, around)))
                     break
         else:
             stack.pop()
 
 
-def _table(node: Node, page: Page, depth: int) -> None:
+def _table(node: Node, page: Page, depth: int, seen: bool) -> None:
     grid: list[list[tuple[str, int]]] = []
     held: dict[int, int] = {}  # columns taken by a cell above, and for how many rows yet
     for kid in node.kids:
         if isinstance(kid, Node) and kid.tag == "caption" and visible(kid):
             page.margin()
-            render(kid, page, depth)
+            render(kid, page, depth, shown(kid, seen))
             page.newline()
-    for row in _rows(node):
+    for row, row_seen in _rows(node, seen):
         cells: list[tuple[str, int]] = []
         column = 0
         below: dict[int, int] = {}
@@ -358,8 +406,9 @@ def _table(node: Node, page: Page, depth: int) -> None:
             a = cell.attributes()
             number = lambda name, most, a=a: min(most, max(1, int(a[name]))) if a.get(name, "").isdecimal() else 1
             inner = Page()
-            render(cell, inner, depth + 1)
-            wide, tall = number("colspan", 1000), number("rowspan", 65534)
+            render(cell, inner, depth + 1, shown(cell, row_seen))
+            wide = number("colspan", 1000) if column < SPAN_COLUMNS else 1
+            tall = number("rowspan", SPAN_CELLS // wide)
             cells.append((inner.done(), wide))
             if tall > 1:
                 below |= dict.fromkeys(range(column, column + wide), tall)
@@ -389,14 +438,16 @@ def _table(node: Node, page: Page, depth: int) -> None:
             page.newline()
 
 
-def render(top: Node, page: Page, depth: int = 0) -> None:
+def render(top: Node, page: Page, depth: int = 0, seen: bool = True) -> None:
     """Lays out what is inside top, without recursion but for tables (beyond DEEPEST_TABLE as plain blocks)."""
-    stack = [(top, iter(top.kids), top.tag in ("pre", "listing", "textarea"), None, 0)]
+    stack = [(top, iter(unfolded(top)), top.tag in ("pre", "listing", "textarea"), seen, 0)]
     numbers: list = []
     while stack:
-        node, kids, pre, _, pushed = stack[-1]
+        node, kids, pre, seen, pushed = stack[-1]
         for kid in kids:
             if isinstance(kid, str):
+                if not seen:
+                    continue
                 page.text(kid[1:] if pre and not page.line and kid[:1] == "\n" and node.kids[0] is kid else kid, pre)
                 continue
             tag = kid.tag
@@ -410,7 +461,7 @@ def render(top: Node, page: Page, depth: int = 0) -> None:
             elif tag in BLOCK:
                 page.newline()
             if tag == "table" and depth < DEEPEST_TABLE:
-                _table(kid, page, depth)
+                _table(kid, page, depth, shown(kid, seen))
                 page.margin()
                 continue
             pushed = 0
@@ -426,7 +477,7 @@ def render(top: Node, page: Page, depth: int = 0) -> None:
                 pushed = 1
             elif tag in ("td", "th") and page.line:
                 page.space = True
-            stack.append((kid, iter(kid.kids), pre or tag in ("pre", "listing", "textarea"), tag, pushed))
+            stack.append((kid, iter(unfolded(kid)), pre or tag in ("pre", "listing", "textarea"), shown(kid, seen), pushed))
             break
         else:
             stack.pop()
@@ -453,13 +504,14 @@ def visible_text(source: str | None) -> str:
     if visible(root):
         for kid in root.kids:
             if isinstance(kid, Node) and visible(kid):
-                render(kid, page)
+                render(kid, page, 0, shown(kid, shown(root, True)))
     return page.done()
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Per row: id, text. A null or empty page has an empty text; anything else is taken as HTML, however
-    broken. Rows repeat if the input's do; other columns are not read. One pass, no shuffle."""
+    broken. What counts as hidden is told by tags, attributes and inline styles (display, visibility); rules of
+    style sheets are not read, and pages run no scripts. Rows repeat if the input's do; other columns are not read. One pass, no shuffle."""
     bounded_batches(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
 
