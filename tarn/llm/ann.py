@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fitting, on a sample of at most SAMPLE rows in hash order and in one task: an exact neighbour graph of the
-sample; a balanced partition of the graph that cuts few of its edges; and a small classifier (one hidden
-layer) that learns from a vector which partitions its neighbours are in. The number of partitions to look
-into is the least that reaches the recall asked for on sample rows kept out of training, measured against
-brute force, with a margin.
-
-Searching: every row is indexed under its most probable partition; a query goes to its most probable
-partitions, and to more of them while these hold too few rows, and is held there against every row, in double
-precision. Partitions are cut into blocks of
-bounded size, so one that holds a third of all rows is shared out like the rest; queries come in blocks too.
+Rows are first brought together by vector: of equal vectors the k + 1 smallest ids can be among the k nearest of
+anything, so one entry with these ids stands for all of them. Entries are then parted by a tree of routers. To
+split a partition of more than LEAF entries, a sample of at most SAMPLE of them goes to one task: an exact
+neighbour graph of the sample; a balanced partition of the graph that cuts few of its edges; and a small
+classifier (one hidden layer) that learns from a vector which parts its neighbours are in. The number of parts
+to look into is the least that reaches the recall asked for on sample rows kept out of training, measured
+against brute force, with a margin. Every entry goes down to its most probable part, and so on until partitions
+are small; the work at each level is shared out by blocks, whatever a partition holds.
+
+A query goes down to its most probable parts, and to more of them while these hold too few entries, and is held
+against every entry of the leaves it reaches, in double precision. Leaves are cut into blocks as well, of entries
+and of queries, so a leaf that holds a third of all entries is shared out like the rest.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -22,20 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, shards
+from .common import cut
 
-#: Documented bound of the sample that the index is fitted on.
+#: Documented bound of the sample that each router is fitted on.
 SAMPLE = 10_000
+#: Entries beyond which a partition is split, most parts of a split, and most levels of splits.
+LEAF, FAN, LEVELS = 1_024, 32, 12
+#: A part with more than this share of what was split is not split again: the router cannot tell its entries apart.
+STUCK = 0.9
 GRAPH, HIDDEN, EPOCHS, BATCH = 10, 64, 10, 256
 HELD_OUT = 0.1
 SLACK = 0.1
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 4_096
 RECALL, MARGIN = 0.93, 0.02
-_models: dict[bytes, Router] = {}
-
-
-def partitions_for(rows: int) -> int:
-    return max(1, min(16, rows // 128)) if rows < 65_536 else min(64, rows // 4_096)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -126,7 +128,7 @@ class Router:
 
 
 def fit(x: np.ndarray, m: int, k: int, recall: float = RECALL + MARGIN, seed: int = 5) -> Router:
-    """A router for rows like x; probes is set by brute force on the rows held out."""
+    """A router for entries like x; probes is set by brute force on the entries held out."""
     rng = np.random.default_rng(seed)
     x = x[rng.permutation(len(x))]
     held = max(1, int(len(x) * HELD_OUT))
@@ -149,13 +151,6 @@ def fit(x: np.ndarray, m: int, k: int, recall: float = RECALL + MARGIN, seed: in
     return router
 
 
-def _load(data: bytes) -> Router:
-    if data not in _models:
-        _models.clear()
-        _models[data] = pickle.loads(data)
-    return _models[data]
-
-
 def _matrix(column) -> np.ndarray:
     """Rows of the binary column as doubles."""
     parts = column.to_pylist()
@@ -163,92 +158,153 @@ def _matrix(column) -> np.ndarray:
 
 
 def _nearest(table: pa.Table, k: int) -> pa.Table:
-    """The k best rows of a block for each of its queries; ties to the smaller id."""
-    query = table["query"].to_numpy()
-    vectors, ids = _matrix(table["vector"]), table["id"].to_numpy()
+    """The best k + 1 rows of a block for each of its queries, ties to the smaller id; own tells whether a row has
+    the query's own vector."""
+    query = np.asarray(table["query"].to_numpy())
+    vectors, keys, ids = _matrix(table["vector"]), table["key"].to_pylist(), table["ids"].to_pylist()
     rows = np.flatnonzero(~query)
-    rows = rows[np.argsort(ids[rows], kind="stable")]
-    base, base_ids = vectors[rows], ids[rows]
-    out: list[list] = [[], [], []]
+    rows = rows[np.argsort([ids[i][0] for i in rows], kind="stable")]
+    out: list[list] = [[], [], [], []]
     asked = np.flatnonzero(query)
-    if len(base):
+    if len(rows):
+        base = vectors[rows]
         largest = np.abs(base).sum(1).max()
         for i in range(0, len(asked), 256):
             some = asked[i : i + 256]
             s = vectors[some] @ base.T
-            s[ids[some][:, None] == base_ids[None, :]] = -np.inf
-            bound = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(some), -np.inf)
+            bound = np.partition(s, -k - 1, axis=1)[:, -k - 1] if s.shape[1] > k + 1 else np.full(len(some), -np.inf)
             # Matrix products round equal rows apart; what is near the bound is added up again in one order.
             slack = 1e-12 * (1 + np.abs(vectors[some]).max(1) * largest)
             for j, q in enumerate(some.tolist()):
-                maybe = np.flatnonzero((s[j] >= bound[j] - slack[j]) & (s[j] > -np.inf))
+                maybe = np.flatnonzero(s[j] >= bound[j] - slack[j])
                 exact = np.cumsum(base[maybe] * vectors[q], axis=1)[:, -1]
-                best = np.lexsort((base_ids[maybe], -exact))[:k]
-                out[0].append(np.full(len(best), ids[q]))
-                out[1].append(base_ids[maybe][best])
-                out[2].append(exact[best])
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return pa.table({"query_id": pa.array(join(out[0], np.int64)), "vec_id": pa.array(join(out[1], np.int64)), "score": pa.array(join(out[2], np.float64))})
+                best = np.argsort(-exact, kind="stable")[: k + 1]  # equal ones by smallest id
+                found = sorted((-x, v, keys[r] == keys[q]) for x, r in zip(exact[best].tolist(), rows[maybe[best]].tolist(), strict=True) for v in ids[r])[: k + 1]
+                for x, v, own in found:
+                    for to, y in zip(out, (keys[q], v, own, -x), strict=True):
+                        to.append(y)
+    return pa.table([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.bool_(), pa.float64()), strict=True)], ["key", "vec_id", "own", "score"])
 
 
-def nearest(vectors: DataFrame, k: int = 20, *, queries=None, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each query the k nearest rows found, by inner product.
-
-    queries is a condition on the id that makes a row a query (by default all rows). Rows without an id, and
-    vectors that are null, empty, zero, or hold null or non-finite components, take no part, nor do those of
-    another length than most of the sample has. Rows of one id count once, with the least vector. A query is
-    never its own neighbour. Ties go to the smaller id. Fewer than k rows come only if the table has fewer
-    others. An empty table gives an empty result.
-    """
+def _entries(vectors: DataFrame, k: int, queries, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, vector, ids, query) and the rows that ask (row, query_id, key)."""
     value = F.col(vector_col)
     good = F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(value, lambda v: v != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & value.isNotNull()).where(good)
-    rows = cut(rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(value).alias("v")))
-    n = rows.count()
-    m = partitions_for(n)
+    rows = vectors.where(F.col(id_col).isNotNull() & value.isNotNull()).where(good).select(F.col(id_col).cast("long").alias("id"), value.cast("array<double>").alias("v"))
 
-    def learn(table: pa.Table) -> pa.Table:
-        found = sorted(zip(table["turn"].to_pylist(), table["id"].to_pylist(), table["v"].to_pylist(), strict=True))
-        widths = [len(v) for _, _, v in found]
-        width = max(sorted(set(widths)), key=widths.count)
-        router = fit(np.array([v for _, _, v in found if len(v) == width], float), m, k, recall + MARGIN)
-        return pa.table({"width": pa.array([width], pa.int32()), "probes": pa.array([router.probes], pa.int32()), "model": pa.array([pickle.dumps(router)], pa.binary())})
-
-    chosen = rows.withColumn("turn", F.xxhash64("id")).orderBy("turn", "id").limit(sample)
-    got = chosen.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "width int, probes int, model binary").first()
-    width, probes, model = got or (0, 1, pickle.dumps(fit(np.zeros((1, 1)), 1, k)))
-    rows = rows.where(F.size("v") == width)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def route(batches, held: np.ndarray | None = None):
-        """Rows with their most probable partition; with the rows that each partition holds: as queries, with the
-        `probes` most probable ones and as many more as it takes to meet k rows beside the query itself."""
-        router = _load(shared.value)
+    def encode(batches):
         for b in batches:
             v = b.column(1)
-            x = np.asarray(v.flatten(), float).reshape(b.num_rows, width) if b.num_rows else np.zeros((0, max(1, width)))
-            best = np.argsort(-router.odds(x), axis=1, kind="stable")
-            if held is None:
-                parts = best[:, :1].tolist()
-            else:
-                enough = np.maximum(probes, (np.cumsum(held[best], axis=1) < k + 1).sum(1) + 1)
-                parts = [row[:e] for row, e in zip(best.tolist(), enough.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary()), pa.array(parts, pa.list_(pa.int32()))], ["id", "vector", "parts"])
-
-    routed = "id long, vector binary, parts array<int>"
-    indexed = cut(rows.select("id", "v").mapInArrow(lambda b: route(b), routed))
-    sizes = {r.part: r.n for r in indexed.groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n")).collect()}  # a number for each partition
-    held = np.array([sizes.get(p, 0) for p in range(pickle.loads(model).m)], np.int64)
-    asked = rows if queries is None else rows.where(queries(F.col("id")))
-    asked = cut(asked.select("id", "v").mapInArrow(lambda b: route(b, held), routed))
-    blocks = F.create_map(*(F.lit(x) for p in sizes for x in (p, shards(sizes[p], BLOCK_ROWS)))) if sizes else F.create_map(F.lit(0), F.lit(1))
-    of_queries = shards(asked.count(), BLOCK_QUERIES)
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    spread = lambda n: F.pmod(F.xxhash64(F.lit(3), "id"), n).cast("int")
-    base = indexed.select("id", "vector", F.lit(False).alias("query"), F.col("parts")[0].alias("part")).withColumn("block", spread(blocks[F.col("part")]))
-    base = base.withColumn("turn", F.explode(every(F.lit(of_queries))))
-    ask = asked.select("id", "vector", F.lit(True).alias("query"), F.explode("parts").alias("part")).where(F.map_contains_key(blocks, F.col("part")))
-    ask = ask.withColumn("block", F.explode(every(blocks[F.col("part")]))).withColumn("turn", spread(F.lit(of_queries)))
-    met = base.unionByName(ask).groupBy("part", "block", "turn").applyInArrow(lambda t: _nearest(t, k), "query_id long, vec_id long, score double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            flat, ends = np.asarray(v.flatten(), float) + 0.0, np.concatenate([[0], np.cumsum(v.value_lengths().to_numpy())]).astype(int)  # + 0.0: no negative zeros
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "vector"])
+
+    rows = cut(rows.mapInArrow(encode, "id long, vector binary").withColumn("key", F.md5("vector")).withColumn("row", F.monotonically_increasing_id()))
+    least = rows.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("id", "row"))).where(F.col("place") <= k + 1)
+    asking = F.lit(True) if queries is None else queries(F.col("id"))
+    asked = rows.where(asking).select("row", F.col("id").alias("query_id"), "key")
+    entries = least.groupBy("key").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids"))  # at most k + 1
+    marked = asked.select(F.col("key").alias("asked")).distinct()
+    return cut(entries.join(marked, F.col("key") == F.col("asked"), "left").select("key", "vector", "ids", F.col("asked").isNotNull().alias("query"))), asked
+
+
+def _blocks(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the given parts (part, blocks), each with its block."""
+    return rows.join(parts.select("part", "blocks"), F.col("path") == F.col("part")).drop("part").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "key"), F.col("blocks")).cast("int")).drop("blocks")
+
+
+def _tree(entries: DataFrame, k: int, sample: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, vector, ids, path) with the leaf that each is in, and (key, vector, path) with the leaves that
+    each query looks into."""
+    width = (F.length("vector") / 8).cast("long").cast("string")
+    index = entries.select("key", "vector", "ids", width.alias("path"))
+    walk = entries.where("query").select("key", "vector", width.alias("path"))
+    sizes = cut(index.groupBy("path").agg(F.count("*").alias("n")).withColumn("stuck", F.lit(False)))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    levels = max(1, math.ceil(math.log(max(2, largest / LEAF)) / math.log(FAN)))
+    goal = recall ** (1 / levels) + MARGIN / levels
+
+    def learn(table: pa.Table) -> pa.Table:
+        path, m = table["path"][0].as_py(), table["m"][0].as_py()
+        order = np.argsort(table["turn"].to_numpy(), kind="stable")[:sample]
+        router = fit(_matrix(table["vector"].take(pa.array(order))), m, k, goal)
+        return pa.table({"of": [path], "model": pa.array([pickle.dumps(router)], pa.binary())})
+
+    def assign(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        child = pickle.loads(right["model"][0].as_py()).odds(_matrix(left["vector"])).argmax(1).tolist() if left.num_rows else []
+        path = [f"{p}/{c}" for p, c in zip(left["path"].to_pylist(), child, strict=True)]
+        return pa.table({"key": left["key"], "vector": left["vector"], "ids": left["ids"].cast(pa.list_(pa.int64())), "path": pa.array(path, pa.string())})
+
+    def route(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.select(["key", "vector", "path"])
+        router = pickle.loads(right["model"][0].as_py())
+        held = np.zeros(router.m, np.int64)
+        for x in right["held"][0].as_py():
+            held[x["child"]] = x["n"]
+        best = np.argsort(-router.odds(_matrix(left["vector"])), axis=1, kind="stable")
+        enough = np.maximum(router.probes, (np.cumsum(held[best], axis=1) < k + 1).sum(1) + 1)
+        row, child = [], []
+        for i, (parts, e) in enumerate(zip(best.tolist(), enough.tolist(), strict=True)):
+            some = [c for c in parts[:e] if held[c]]
+            row += [i] * len(some)
+            child += some
+        taken = left.take(pa.array(row, pa.int64()))
+        path = [f"{p}/{c}" for p, c in zip(taken["path"].to_pylist(), child, strict=True)]
+        return pa.table({"key": taken["key"], "vector": taken["vector"], "path": pa.array(path, pa.string())})
+
+    for level in range(LEVELS):
+        split = sizes.where((F.col("n") > LEAF) & ~F.col("stuck"))
+        split = cut(split.select(F.col("path").alias("part"), "n", F.least(F.lit(FAN), F.ceil(2 * F.col("n") / LEAF)).cast("int").alias("m"), F.ceil(F.col("n") / (8 * BLOCK_ROWS)).cast("int").alias("blocks")))
+        if split.isEmpty():
+            break
+        turn = F.xxhash64(F.lit(level), "key")
+        chosen = index.join(split.select("part", "n", "m"), F.col("path") == F.col("part")).withColumn("turn", turn)
+        chosen = chosen.where(F.shiftrightunsigned("turn", 33) < F.lit(2.0**31) * (1.1 * sample) / F.col("n")).select("path", "m", "turn", "vector")
+        models = cut(chosen.groupBy("path").applyInArrow(learn, "of string, model binary"))
+        dealt = split.join(models, F.col("part") == F.col("of")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        moved = _blocks(index, split).groupBy("path", "block").cogroup(dealt.select("part", "block", "model").groupBy("part", "block")).applyInArrow(assign, "key string, vector binary, ids array<long>, path string")
+        moved = cut(moved)
+        parts = cut(moved.groupBy("path").agg(F.count("*").alias("n")).withColumn("parent", F.regexp_extract("path", "^(.*)/", 1)))
+        held = parts.groupBy("parent").agg(F.collect_list(F.struct(F.regexp_extract("path", "([0-9]+)$", 1).cast("int").alias("child"), "n")).alias("held"))  # at most FAN
+        known = dealt.join(held, F.col("part") == F.col("parent")).select("part", "block", "model", "held")
+        gone = _blocks(walk, split).groupBy("path", "block").cogroup(known.groupBy("part", "block")).applyInArrow(route, "key string, vector binary, path string")
+        others = lambda df: df.join(split.select("part"), F.col("path") == F.col("part"), "left_anti")
+        index = cut(others(index).select("key", "vector", "ids", "path").unionByName(moved))
+        walk = cut(others(walk).select("key", "vector", "path").unionByName(gone))
+        stuck = F.col("n") > STUCK * F.col("whole")
+        sizes = cut(others(sizes).unionByName(parts.join(split.select("part", F.col("n").alias("whole")), F.col("parent") == F.col("part")).select("path", "n", stuck.alias("stuck"))))
+    return index, walk
+
+
+def nearest(vectors: DataFrame, k: int = 20, *, queries=None, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score, probed, leaves: for each query row the k nearest rows found, by inner
+    product; probed is the number of leaves it looked into, of so many.
+
+    queries is a condition on the id that makes a row a query (by default all rows). Rows without an id, and
+    vectors that are null, empty, zero, or hold null or non-finite components, take no part. Vectors of different
+    lengths have no inner product and are never neighbours. Every row counts, also those that share an id or a
+    vector; only the query's own row is never its neighbour, and a query row that is there twice is answered
+    twice. Ties go to the smaller id. Fewer than k rows come only if there are fewer others. An empty table gives
+    an empty result; other columns are not read.
+    """
+    entries, asked = _entries(vectors, k, queries, id_col, vector_col)
+    index, walk = _tree(entries, k, sample, recall)
+    count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
+    leaves = cut(count(index, "n").join(count(walk, "q"), "path", "left").select("path", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("bn"), F.ceil(F.coalesce("q", F.lit(0)) / BLOCK_QUERIES).cast("int").alias("bq")))
+    spread = lambda n: F.pmod(F.xxhash64(F.lit(5), "key"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = index.join(leaves.where("bq > 0"), "path").withColumn("block", spread(F.col("bn"))).withColumn("turn", every(F.col("bq")))
+    ask = walk.join(leaves, "path").withColumn("turn", spread(F.col("bq"))).withColumn("block", every(F.col("bn")))
+    columns = ["path", "block", "turn", "key", "vector"]
+    both = base.select(*columns, "ids", F.lit(False).alias("query")).unionByName(ask.select(*columns, F.lit(None).cast("array<long>").alias("ids"), F.lit(True).alias("query")))
+    met = both.groupBy("path", "block", "turn").applyInArrow(lambda t: _nearest(t, k), "key string, vec_id long, own boolean, score double")
+    order = (F.col("score").desc(), F.col("vec_id"))
+    met = met.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(*order))).where(F.col("place") <= k + 1)
+    probed = walk.groupBy("key").agg(F.count("*").cast("int").alias("probed")).crossJoin(F.broadcast(leaves.agg(F.count("*").cast("int").alias("leaves"))))  # one row
+    out = asked.join(met.join(probed, "key"), "key")
+    # Of the rows with the query's own id and vector, one is the query's own.
+    mine = F.col("own") & (F.col("vec_id") == F.col("query_id"))
+    turn = F.row_number().over(W.partitionBy("row", mine).orderBy(*order))
+    out = out.withColumn("mine", mine).withColumn("turn", turn).where(~(F.col("mine") & (F.col("turn") == 1)))
+    out = out.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy(*order))).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score", "probed", "leaves")

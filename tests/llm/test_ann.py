@@ -10,45 +10,71 @@ def table(spark, rows):
 
 
 def brute(rows, k, query):
-    good = {}
-    for i, v in rows:
-        if i is not None and v and None not in v and all(map(math.isfinite, v)) and any(v):
-            good[i] = min(good.get(i, v), v)
-    out = {}
-    for q in good:
+    """For each query row its nearest other rows, as (id, score), equal scores by id."""
+    good = [(i, v) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v)) and any(v)]
+    out = []
+    for a, (q, x) in enumerate(good):
         if query(q):
-            s = sorted((-sum(float(np.float32(a)) * float(np.float32(b)) for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)
-            out[q] = [(i, -x) for x, i in s[:k]]
+            s = sorted((-sum(float(np.float32(c)) * float(np.float32(d)) for c, d in zip(x, v, strict=True)), i) for b, (i, v) in enumerate(good) if a != b and len(v) == len(x))
+            out.append((q, [(i, -y) for y, i in s[:k]]))
     return out
 
 
+def answers(found):
+    """Lists of (id, score) by query id; a query id with several rows has as many lists."""
+    by = {}
+    for r in found:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return by
+
+
 def test_recall_order_and_scores(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(8, 16))
     rows = [(i, [float(np.float32(x)) for x in centres[i % 8] + 0.6 * rng.normal(size=16)]) for i in range(2500)]
     hot = rows[17][1]
     rows += [(3000 + i, hot) for i in range(700)]  # one vector for a fifth of all rows
-    want = brute(rows, 20, lambda i: i % 20 == 0)
-    got = {}
-    for r in ann.nearest(table(spark, rows), 20, queries=lambda i: i % 20 == 0).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = dict(brute(rows, 20, lambda i: i % 20 == 0))
+    found = ann.nearest(table(spark, rows), 20, queries=lambda i: i % 20 == 0).collect()
+    assert all(1 <= r.probed < r.leaves for r in found)  # not all of them are looked into
+    got = answers(found)
     assert set(got) == set(want)
     hits = 0
-    for q, found in got.items():
-        found.sort()
-        assert [r for r, _, _ in found] == list(range(1, 21))
-        assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
-        hits += len({i for _, i, _ in found} & {i for i, _ in want[q]})
+    for q, mine in got.items():
+        mine.sort()
+        assert [r for r, _, _ in mine] == list(range(1, 21))
+        assert [(-s, i) for _, i, s in mine] == sorted((-s, i) for _, i, s in mine)
+        hits += len({i for _, i, _ in mine} & {i for i, _ in want[q]})
         exact = dict(want[q])
-        assert all(abs(s - exact[i]) < 1e-12 for _, i, s in found if i in exact)
+        assert all(abs(s - exact[i]) < 1e-12 for _, i, s in mine if i in exact)
     assert hits / (20 * len(want)) >= 0.9
 
 
-def test_odd_rows_take_no_part(spark):
+def test_deep_trees_and_small_blocks(spark, monkeypatch):
+    for name, value in (("LEAF", 60), ("FAN", 4), ("BLOCK_ROWS", 40), ("BLOCK_QUERIES", 7)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(3)
+    centres = 3 * rng.normal(size=(40, 12))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 40] + 0.4 * rng.normal(size=12)]) for i in range(1500)]
+    rows += [(5000 + i, rows[3][1]) for i in range(300)]
+    rows += [(9000 + i, [1.0 + 1e-6 * i, 2.0]) for i in range(150)]  # another length, hardly to be told apart
+    want = dict(brute(rows, 10, lambda i: i % 20 == 0))
+    found = ann.nearest(table(spark, rows), 10, queries=lambda i: i % 20 == 0).collect()
+    assert max(r.leaves for r in found) > 16 and np.mean([r.probed / r.leaves for r in found]) < 0.5
+    got = answers(found)
+    assert set(got) == set(want) and all(sorted(r for r, _, _ in mine) == list(range(1, 11)) for mine in got.values())
+    hits = sum(len({i for _, i, _ in mine} & {i for i, _ in want[q]}) for q, mine in got.items())
+    assert hits / (10 * len(want)) >= 0.9
+    assert all(all(i < 9000 or q >= 9000 for _, i, _ in mine) for q, mine in got.items())
+
+
+def test_odd_and_repeated_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 0.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 2.0, 3.0])]
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(table(spark, rows), 20, queries=lambda i: i % 4 == 0).collect()}
-    assert got == {(0, 1, 8, 2.0), (0, 2, 1, 0.5), (8, 1, 0, 2.0), (8, 2, 1, 1.0)}
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 0.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (8, [-1.0, -0.0]), (9, [1.0, 2.0, 3.0]), (12, [3.0, 1.0, 0.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(table(spark, rows), 20, queries=lambda i: i % 4 == 0).collect())
+    assert got == sorted((q, k, i, s) for q, found in brute(rows, 20, lambda i: i % 4 == 0) for k, (i, s) in enumerate(found, 1))
+    few = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(table(spark, rows), 1).collect())
+    assert few == sorted((q, k, i) for q, found in brute(rows, 1, lambda i: True) for k, (i, _) in enumerate(found, 1))
     assert ann.nearest(table(spark, rows).limit(0), 20).count() == 0
 
 
@@ -74,7 +100,8 @@ def test_starved_partitions_give_whole_lists(spark, monkeypatch):
         return router
 
     monkeypatch.setattr(ann, "fit", starved)
-    parts = np.bincount(starved(np.zeros((1, 8)), ann.partitions_for(2000), 20).odds(np.array([v for _, v in rows])).argmax(1))
+    monkeypatch.setattr(ann, "LEAF", 256)
+    parts = np.bincount(starved(np.zeros((1, 8)), math.ceil(2 * 1300 / ann.LEAF), 20).odds(np.array([v for _, v in rows[:1300]])).argmax(1))
     assert ((parts > 0) & (parts < 21)).any()
     got = {}
     for r in ann.nearest(table(spark, rows), 20).collect():
