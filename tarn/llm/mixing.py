@@ -6,7 +6,8 @@ stopping where the budget is spent takes each source in proportion to its target
 to max_repeat passes over their source.
 
 Running sums never meet in one task: rows are dealt to slices of a fixed number of rows by the leading
-part of the sort key, slices are summed, and only the slice totals are added up across slices.
+part of the sort key, slices are summed, and only the slice totals are added up across slices, by blocks of them
+and then across blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut
 
 SLICE_ROWS = 2_000
+#: Slice totals that are added up in one task.
+BLOCK_SLICES = 4_096
 #: Tables of up to so many rows (a few MB) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -58,6 +61,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def running(totals: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds upto, the sum of words in the order up to the row; order holds whole numbers, once for each keys."""
+    totals = cut(totals.withColumn("block", F.floor(F.col(order) / BLOCK_SLICES)))
+    earlier = F.sum("held").over(W.partitionBy(*keys, F.lit(0)).orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # a row for each block
+    blocks = totals.groupBy(*keys, "block").agg(F.sum("words").alias("held")).select(*keys, "block", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    inside = F.sum("words").over(W.partitionBy(*keys, "block").orderBy(order))
+    return totals.withColumn("inside", inside).join(blocks, [*keys, "block"]).withColumn("upto", F.col("inside") + F.col("earlier")).drop("block", "inside", "earlier")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), *, max_repeat: int = 3, seed: int = 7, slice_rows: int = SLICE_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row: id, source, size (words), source_size, target, copies (0 to max_repeat) and taken = copies * size.
 
@@ -73,8 +85,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), *, max_repeat:
     rows = rows.withColumn("slice", F.floor(F.shiftrightunsigned("h", 29) * F.col("slices") / F.lit(2.0**31)))
 
     totals = rows.groupBy("sid", "slice").agg(F.sum("size").alias("words"))
-    before = W.partitionBy("sid").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    totals = cut(totals.select("sid", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before")))
+    totals = cut(running(totals, "slice", ("sid",)).select("sid", "slice", (F.col("upto") - F.col("words")).alias("before")))
     within = W.partitionBy("sid", "slice").orderBy("h", "id", "size")  # equal rows are peers: one sum for all
     rows = rows.withColumn("so_far", F.sum("size").over(within)).join(small(totals, totals.count()), ["sid", "slice"])
     rows = rows.withColumn("so_far", F.col("so_far") + F.col("before"))
@@ -84,8 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), *, max_repeat:
     # The global order, by ranges of the clock: whole ranges fit until one crosses the budget.
     n = max(1, -(-rows.count() // slice_rows))
     turns = rows.select("id", "h", "size", F.explode("finish").alias("finish")).withColumn("range", F.floor(F.col("finish") * n))
-    by_range = turns.groupBy("range").agg(F.sum("size").alias("words"))
-    by_range = by_range.select("range", "words", F.sum("words").over(W.partitionBy(F.lit(0)).orderBy("range")).alias("upto"))
+    by_range = running(turns.groupBy("range").agg(F.sum("size").alias("words")), "range")
     budget = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
     crossing = by_range.crossJoin(F.broadcast(budget)).where(F.col("upto") > F.col("budget"))  # budget is one row
     crossing = cut(crossing.orderBy("range").limit(1).select("range", (F.col("budget") - F.col("upto") + F.col("words")).alias("room")))

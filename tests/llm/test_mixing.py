@@ -56,8 +56,9 @@ def test_targets_and_taken(spark):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
 
 
-def test_order_by_brute_force(spark):
+def test_order_by_brute_force(spark, monkeypatch):
     """The documents taken are the first of the global order of finish times that fit the budget."""
+    monkeypatch.setattr(mixing, "BLOCK_SLICES", 3)
     docs = make(spark, 300, 5)
     got = mixing.mix(docs, (1, 4), slice_rows=50)
     h = {r.doc_id: r.h for r in docs.select("doc_id", mixing.shuffled(docs.doc_id, 7).alias("h")).collect()}
