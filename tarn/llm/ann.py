@@ -30,13 +30,15 @@ from .common import cut
 #: Documented bound of the sample that each router is fitted on.
 SAMPLE = 10_000
 #: Entries beyond which a partition is split, most parts of a split, and most levels of splits.
-LEAF, FAN, LEVELS = 1_024, 32, 12
+LEAF, FAN, LEVELS = 2_048, 32, 12
 #: A part with more than this share of what was split is not split again: the router cannot tell its entries apart.
 STUCK = 0.9
 GRAPH, HIDDEN, EPOCHS, BATCH = 10, 64, 10, 256
 HELD_OUT = 0.1
 SLACK = 0.1
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 4_096
+#: Entries that one task sends down a level at a time.
+BLOCK_MOVED = 1_024
 RECALL, MARGIN = 0.93, 0.02
 
 
@@ -158,8 +160,8 @@ def _matrix(column) -> np.ndarray:
 
 
 def _nearest(table: pa.Table, k: int) -> pa.Table:
-    """The best k + 1 rows of a block for each of its queries, ties to the smaller id; own tells whether a row has
-    the query's own vector."""
+    """For each query of a block one row with the best k + 1 rows of the block, ties to the smaller id; own tells
+    whether a row has the query's own vector."""
     query = np.asarray(table["query"].to_numpy())
     vectors, keys, ids = _matrix(table["vector"]), table["key"].to_pylist(), table["ids"].to_pylist()
     rows = np.flatnonzero(~query)
@@ -180,10 +182,17 @@ def _nearest(table: pa.Table, k: int) -> pa.Table:
                 exact = np.cumsum(base[maybe] * vectors[q], axis=1)[:, -1]
                 best = np.argsort(-exact, kind="stable")[: k + 1]  # equal ones by smallest id
                 found = sorted((-x, v, keys[r] == keys[q]) for x, r in zip(exact[best].tolist(), rows[maybe[best]].tolist(), strict=True) for v in ids[r])[: k + 1]
-                for x, v, own in found:
-                    for to, y in zip(out, (keys[q], v, own, -x), strict=True):
-                        to.append(y)
-    return pa.table([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.bool_(), pa.float64()), strict=True)], ["key", "vec_id", "own", "score"])
+                for to, y in zip(out, (keys[q], [v for _, v, _ in found], [o for *_, o in found], [-x for x, *_ in found]), strict=True):
+                    to.append(y)
+    kinds = pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.float64())
+    return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["key", "vec_id", "own", "score"])
+
+
+def _best(table: pa.Table, k: int) -> pa.Table:
+    """The best k + 1 rows of all blocks that a query was held against."""
+    vec_id, own, score = (np.asarray(pa.chunked_array(table[c].chunks).combine_chunks().flatten().to_numpy(zero_copy_only=False)) for c in ("vec_id", "own", "score"))
+    best = np.lexsort((vec_id, -score))[: k + 1]
+    return pa.table({"key": pa.array(table["key"].to_pylist()[:1] * len(best), pa.string()), "vec_id": pa.array(vec_id[best], pa.int64()), "own": pa.array(own[best], pa.bool_()), "score": pa.array(score[best], pa.float64())})
 
 
 def _entries(vectors: DataFrame, k: int, queries, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +263,7 @@ def _tree(entries: DataFrame, k: int, sample: int, recall: float) -> tuple[DataF
 
     for level in range(LEVELS):
         split = sizes.where((F.col("n") > LEAF) & ~F.col("stuck"))
-        split = cut(split.select(F.col("path").alias("part"), "n", F.least(F.lit(FAN), F.ceil(2 * F.col("n") / LEAF)).cast("int").alias("m"), F.ceil(F.col("n") / (8 * BLOCK_ROWS)).cast("int").alias("blocks")))
+        split = cut(split.select(F.col("path").alias("part"), "n", F.least(F.lit(FAN), F.ceil(2 * F.col("n") / LEAF)).cast("int").alias("m"), F.ceil(F.col("n") / BLOCK_MOVED).cast("int").alias("blocks")))
         if split.isEmpty():
             break
         turn = F.xxhash64(F.lit(level), "key")
@@ -297,9 +306,9 @@ def nearest(vectors: DataFrame, k: int = 20, *, queries=None, id_col: str = "vec
     ask = walk.join(leaves, "path").withColumn("turn", spread(F.col("bq"))).withColumn("block", every(F.col("bn")))
     columns = ["path", "block", "turn", "key", "vector"]
     both = base.select(*columns, "ids", F.lit(False).alias("query")).unionByName(ask.select(*columns, F.lit(None).cast("array<long>").alias("ids"), F.lit(True).alias("query")))
-    met = both.groupBy("path", "block", "turn").applyInArrow(lambda t: _nearest(t, k), "key string, vec_id long, own boolean, score double")
+    met = both.groupBy("path", "block", "turn").applyInArrow(lambda t: _nearest(t, k), "key string, vec_id array<long>, own array<boolean>, score array<double>")
+    met = met.groupBy("key").applyInArrow(lambda t: _best(t, k), "key string, vec_id long, own boolean, score double")
     order = (F.col("score").desc(), F.col("vec_id"))
-    met = met.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(*order))).where(F.col("place") <= k + 1)
     probed = walk.groupBy("key").agg(F.count("*").cast("int").alias("probed")).crossJoin(F.broadcast(leaves.agg(F.count("*").cast("int").alias("leaves"))))  # one row
     out = asked.join(met.join(probed, "key"), "key")
     # Of the rows with the query's own id and vector, one is the query's own.

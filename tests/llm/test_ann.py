@@ -28,7 +28,8 @@ def answers(found):
     return by
 
 
-def test_recall_order_and_scores(spark):
+def test_recall_order_and_scores(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 1024)
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(8, 16))
     rows = [(i, [float(np.float32(x)) for x in centres[i % 8] + 0.6 * rng.normal(size=16)]) for i in range(2500)]
