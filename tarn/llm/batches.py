@@ -94,16 +94,23 @@ def bucket_bits(keys: int) -> int:
     return max(0, (-(-int(keys) // BUCKET_KEYS) - 1).bit_length())
 
 
+#: The least count that each byte stands for: exact up to 32, then in steps of a tenth at most, to 2 ** 32 and more.
+_LEAST = np.array([*range(33), *(int(np.ceil(32 * 2.0 ** (k / 8) - 1e-6)) for k in range(1, 224))], np.int64)
+
+
 def coded(n: np.ndarray) -> np.ndarray:
-    """A count in a byte: exact up to 32, then rounded down by a tenth at most; 2 ** 32 and more are one."""
+    """Counts in a byte each, rounded down."""
     n = np.asarray(n, np.int64)
-    return np.where(n <= 32, n, np.minimum(32 + np.floor(8 * np.log2(np.maximum(n, 32) / 32) + 1e-9), 255)).astype(np.uint8)
+    out = np.minimum(n, 32).astype(np.uint8)
+    many = np.flatnonzero(n > 32)
+    if len(many):
+        out[many] = np.searchsorted(_LEAST, n[many], "right") - 1
+    return out
 
 
 def counted(code: np.ndarray) -> np.ndarray:
-    """The least count that a byte stands for."""
-    code = np.asarray(code, np.int64)
-    return np.where(code <= 32, code, np.ceil(32 * 2.0 ** ((np.maximum(code, 32) - 32) / 8) - 1e-6).astype(np.int64))
+    """The least counts that bytes stand for."""
+    return _LEAST[code]
 
 
 def sent(batch: int, keys: np.ndarray, counts: np.ndarray, bits: int, fan: int):

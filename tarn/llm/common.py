@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,13 +53,6 @@ class _Worker:
     tuned: bool = False
 
 
-def _give_back() -> None:
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _tune() -> None:
     """Large arrays are mapped and small ones taken from one heap whose free end is given back, so that a worker
     that is kept for later tasks holds no more than its caches."""
@@ -75,17 +67,16 @@ def _tune() -> None:
 @contextlib.contextmanager
 def working(name: str, *caches):
     """Around what an operator does in a Python worker. Spark keeps workers for later tasks; the caches of one
-    operator are emptied when another one starts in the worker, and free memory is given back at the end."""
+    operator are emptied when another one starts in the worker."""
     if not _Worker.tuned:
         _tune()
     if _Worker.owner != name:
         for c in _Worker.caches:
             c.clear()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
     _Worker.owner, _Worker.caches = name, caches
-    try:
-        yield
-    finally:
-        _give_back()
+    yield
 
 
 class TwoGenerations:

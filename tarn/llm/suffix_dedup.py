@@ -37,7 +37,9 @@ WIDTH = 80  # bytes of a segment (LENGTH - 1 + SPREAD at most), its number of wi
 WINDOWS_AT, ANCHOR_AT = 78, 79
 NO_ID = np.iinfo(np.int64).max
 #: Rows of an anchor string beyond which its segments are parted.
-HOT = 20_000
+HOT = 100_000
+#: Suffixes that are sorted at a time.
+SUFFIXES = 400_000
 #: Per level, where the parts begin and end, in bytes before the anchor; each part lies within one of the level above.
 PARTS = ((0, SPREAD), (0, 13, SPREAD), (0, 7, 13, 20, SPREAD), tuple(range(SPREAD + 1)))
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -109,13 +111,23 @@ class Anchors:
         key = self.key[self.order]
         self.heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
 
-    def documents_per_key(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys, and in how many documents each is."""
+    def rows_per_key(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys, and of each the number of distinct segments: 1 for a key of one document, 2 at least
+        for one of several."""
         doc = self.doc[self.order]
         pair = np.ones(len(doc), np.int64)
         pair[1:] = doc[1:] != doc[:-1]
         pair[self.heads] = 1
-        return self.key[self.order][self.heads], np.add.reduceat(pair, self.heads) if len(doc) else pair
+        keys = self.key[self.order][self.heads]
+        n = np.minimum(np.add.reduceat(pair, self.heads), 2) if len(doc) else pair
+        mine = self.order[np.repeat((n > 1) & (np.diff(np.append(self.heads, len(doc))) > 2), np.diff(np.append(self.heads, len(doc))))]
+        if len(mine):
+            name = np.unique((self.key[mine] & np.uint64(0xFFFFFFFF00000000)) | (_digest(self.rows(mine)) >> np.uint64(32)))
+            half, first = np.unique(name >> np.uint64(32), return_index=True)
+            of = np.searchsorted(half, keys >> np.uint64(32))
+            found = half[np.minimum(of, len(half) - 1)] == keys >> np.uint64(32)
+            n[found & (n > 1)] = np.maximum(2, np.diff(np.append(first, len(name)))[of[found & (n > 1)]])
+        return keys, n
 
     def by_occurrence(self, of_key: np.ndarray) -> np.ndarray:
         """A value of each sorted distinct key, for each occurrence."""
@@ -283,6 +295,28 @@ def maximal_repeats(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, open
     return order, np.array(out, np.int64).reshape(-1, 4)
 
 
+def _portions(met: np.ndarray, which: np.ndarray, windows: np.ndarray):
+    """The segments, sorted by key, in portions of whole keys with SUFFIXES windows or so; a key with more of them
+    comes several times, with the windows whose anchor has from least to most bytes before it."""
+    if not len(met):
+        return
+    heads = np.flatnonzero(np.append(True, which[met][1:] != which[met][:-1]))
+    sizes = np.add.reduceat(windows[met], heads)
+    start, held = 0, 0
+    for a, z, n in zip(heads.tolist(), [*heads[1:].tolist(), len(met)], sizes.tolist(), strict=True):
+        if held and held + n > SUFFIXES:
+            yield met[start:a], 0, SPREAD
+            start, held = a, 0
+        held += n
+        if n > SUFFIXES:
+            step = max(1, SUFFIXES // (z - a))
+            for least in range(0, SPREAD, step):
+                yield met[a:z], least, min(SPREAD, least + step)
+            start, held = z, 0
+    if start < len(met):
+        yield met[start:], 0, SPREAD
+
+
 def smallest_per_window(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For distinct segments with the smallest id that has each: per window, the smallest id that has it;
     and where each segment's windows start."""
@@ -291,13 +325,20 @@ def smallest_per_window(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray
     smallest = np.repeat(owner, windows)
     key = keys_of_segments(rows)
     _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+    which = which.ravel()
     met = np.flatnonzero(n[which] > 1)  # a key with one distinct segment repeats as a whole
-    if len(met):
-        segment = np.repeat(met, windows[met])
-        offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows[met]) - windows[met], windows[met])
+    for some, least, most in _portions(met[np.argsort(which[met], kind="stable")], which, windows):
+        segment = np.repeat(some, windows[some])
+        offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows[some]) - windows[some], windows[some])
+        if least > 0 or most < SPREAD:  # equal windows have their anchors at the same place
+            before = rows[segment, ANCHOR_AT].astype(np.int64) - offset
+            segment, offset = segment[(before >= least) & (before < most)], offset[(before >= least) & (before < most)]
+        if not len(segment):
+            continue
         starts = segment * WIDTH + offset
-        ends = segment * WIDTH + windows[segment] + LENGTH - 1
-        order, found = maximal_repeats(rows.ravel(), starts, ends, offset == 0, owner[segment], LENGTH, LENGTH - 1 + SPREAD)
+        ends = np.minimum(segment * WIDTH + windows[segment] + LENGTH - 1, starts + LENGTH + most - least - 1)
+        opens = (offset == 0) | (rows[segment, ANCHOR_AT] - offset == most - 1)
+        order, found = maximal_repeats(rows.ravel(), starts, ends, opens, owner[segment], LENGTH, LENGTH - 1 + SPREAD)
         at = (base[segment] + offset)[order]
         for i in range(0, len(found), 50_000):  # occurrences of some repeats at a time
             length, left, right, low = found[i : i + 50_000].T
@@ -356,7 +397,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, kept_type: str) -> Dat
         with working("batches"):
             out = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())]).empty_table()
             if left.num_rows:
-                keys, counts = asked(*unpacked(left["lens"][0].as_py(), left["blob"][0].as_py()), levels(right), hot).documents_per_key()
+                keys, counts = asked(*unpacked(left["lens"][0].as_py(), left["blob"][0].as_py()), levels(right), hot).rows_per_key()
                 if len(keys):
                     out = pa.Table.from_batches([sent(left["batch"][0].as_py(), keys, counts, bits, fan)])
             return out
@@ -365,7 +406,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, kept_type: str) -> Dat
         with working("batches"):
             for b in batches:
                 for i in range(b.num_rows):
-                    keys, counts = Anchors(*unpacked(b["lens"][i].as_py(), b["blob"][i].as_py())).documents_per_key()
+                    keys, counts = Anchors(*unpacked(b["lens"][i].as_py(), b["blob"][i].as_py())).rows_per_key()
                     if len(keys):
                         yield sent(b["batch"][i].as_py(), keys, counts, bits, fan)
 

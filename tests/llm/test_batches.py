@@ -46,7 +46,7 @@ def small(monkeypatch):
     monkeypatch.setattr(B, "BUCKET_KEYS", 40)
     monkeypatch.setattr(B, "FAN_BITS", 2)
     monkeypatch.setattr(B, "CRATE_BATCHES", 3)
-    monkeypatch.setattr(S, "HOT", 12)
+    monkeypatch.setattr(S, "HOT", 6)
 
 
 def test_joins_in_small_steps(spark, small):
@@ -84,6 +84,26 @@ def test_parts_of_a_segment_hold_each_window_once():
         assert len(set(string.values())) == len(string)
 
 
+def test_portions_of_suffixes_give_the_same_answers(monkeypatch):
+    rng = np.random.default_rng(5)
+    passage = bytes(rng.integers(97, 100, 120).tolist())
+    data = b"".join(bytes(rng.integers(97, 100, int(rng.integers(0, 60))).tolist()) + passage[int(rng.integers(30)) :][: int(rng.integers(60, 120))] for _ in range(60))
+    whole = S.Anchors(data, np.arange(0, len(data) + 1, len(data) // 40))
+    rows, _, _, _ = whole.segments(np.ones(len(whole.first), bool))
+    owner = rng.integers(0, 1000, len(rows))
+    want, base = S.smallest_per_window(rows, owner)
+    for most in (5, 60, 400):
+        monkeypatch.setattr(S, "SUFFIXES", most)
+        got, _ = S.smallest_per_window(rows, owner)
+        assert (got == want).all()
+    each = {}
+    for r, o, b in zip(rows, owner.tolist(), base.tolist(), strict=False):
+        for k in range(int(r[S.WINDOWS_AT])):
+            w = bytes(r[k : k + S.LENGTH])
+            each[w] = min(each.get(w, 1 << 60), o)
+    assert want.tolist() == [each[bytes(r[k : k + S.LENGTH])] for r in rows for k in range(int(r[S.WINDOWS_AT]))]
+
+
 def test_long_texts(spark):
     """One text of over 4 MB beside short ones, whole."""
     rng = np.random.default_rng(3)
