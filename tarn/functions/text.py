@@ -98,3 +98,12 @@ def weight_of(text: Column, weights: dict[str, float]) -> Column:
     for term, w in weights.items():
         total = total + F.when(F.contains(text, F.lit(term)), F.lit(float(w))).otherwise(F.lit(0.0))
     return total
+
+
+def positions(text: Column, pattern: str) -> Column:
+    """Array of struct(at, match): the matches of a pattern and where each starts, from 1. The parts between the
+    matches tell; a match is never empty."""
+    found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
+    at = lambda i: size(F.slice(parts, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i)) + 1
+    return F.transform(found, lambda m, i: F.struct(at(i).alias("at"), m.alias("match")))

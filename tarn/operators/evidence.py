@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+from ..functions.text import contained, positions
 from .calibration import clamp
 
 #: Fixed values of the scoring rules.
@@ -129,3 +131,28 @@ def hallucination(claims: DataFrame, most: float = 0.3, count: int = 3) -> DataF
     bad, good = F.count_if(~F.col("ok")), F.count_if(F.col("ok"))
     score = F.coalesce(F.try_divide(bad.cast("double"), (bad + good).cast("double")), F.lit(0.0))
     return claims.groupBy("qid").agg(bad.alias("n_bad"), good.alias("n_good"), score.alias("score"), ((score > most) | (bad >= count)).alias("flagged"))
+
+
+def checked_claims(answers: DataFrame) -> DataFrame:
+    """qid, n_claims, n_bad, n_good, n_doses, n_doses_named, score, flagged for rows (qid, reasoning, context).
+
+    Claims of treatment, diagnosis and contraindication count as good if grounded; a dose after a known drug is good
+    as it is (no range ever refutes one), and n_doses_named tells how many the context names; a duration counts only
+    if the context lacks it, as bad.
+    """
+    every = lambda p, g: F.regexp_extract_all("reasoning", F.lit("(?i)" + p), F.lit(g))
+    rows = answers.select("qid", "reasoning", F.lower("context").alias("context"))
+    before = lambda x: F.lower(F.substring(F.col("reasoning"), F.greatest(F.lit(1), x["at"] - 50), F.least(x["at"] - 1, F.lit(50))))
+    drug = lambda x: F.try_element_at(contained(before(x), R.DOSED), F.lit(1))
+    dose = lambda x: F.regexp_extract(x["match"], "^([0-9]+(?:\\.[0-9]+)?)", 1).cast("double")
+    rows = rows.select("qid", "context", F.transform(F.concat(*(every(p, 1) for p in R.CLAIMS)), lambda c: F.trim(c)).alias("claims"),
+        F.filter(F.transform(positions(F.col("reasoning"), "(?i)" + R.DOSE), lambda x: F.struct(drug(x).alias("drug"), dose(x).alias("dose"))), lambda d: d["drug"].isNotNull()).alias("doses"),
+        F.arrays_zip(every(R.DURATION, 1).alias("n"), every(R.DURATION, 2).alias("unit")).alias("durations"))
+    holds = lambda t: F.contains("context", t)
+    named = lambda d: holds(d["drug"]) & (holds(d["dose"].cast("string")) | holds(F.floor(d["dose"]).cast("string")))
+    lasting = lambda d: holds(F.concat_ws(" ", d["n"].cast("int").cast("string"), d["unit"])) | holds(F.concat_ws(" ", d["n"].cast("int").cast("string"), F.regexp_replace(d["unit"], "s+$", "")))
+    good = F.size(F.filter("claims", lambda c: grounded(c, F.col("context")))) + F.size("doses")
+    bad = F.size("claims") - F.size(F.filter("claims", lambda c: grounded(c, F.col("context")))) + F.size(F.filter("durations", lambda d: ~lasting(d)))
+    out = rows.select("qid", F.size("claims").alias("n_claims"), bad.alias("n_bad"), good.alias("n_good"), F.size("doses").alias("n_doses"), F.size(F.filter("doses", named)).alias("n_doses_named"))
+    score = F.coalesce(F.try_divide(F.col("n_bad").cast("double"), (F.col("n_bad") + F.col("n_good")).cast("double")), F.lit(0.0))
+    return out.withColumn("score", score).withColumn("flagged", (F.col("score") > 0.3) | (F.col("n_bad") >= 3))

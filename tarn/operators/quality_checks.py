@@ -17,11 +17,17 @@ CATEGORY_WORDS = {
     "nephrology": ("kidney", "renal", "nephro"),
     "endocrinology": ("diabetes", "glucose", "insulin", "thyroid"),
 }
+#: What error kinds call for, as codes in order; causes that hold whenever a kind occurs.
 ADVICE = (
-    ("retrieval", "Recognise more entities before retrieval"), ("retrieval", "Add synonyms for keyword matching"), ("reasoning", "Ask for more structured steps"),
-    ("reasoning", "Weigh evidence by confidence"), ("knowledge", "Add guidelines to the corpus"), ("knowledge", "Check contraindications"),
-    ("overconfidence", "Calibrate confidence"), ("always", "Expand queries with domain terms"), ("always", "Tune reranking on the domain"), ("always", "Find hard cases by active learning"),
+    ("retrieval", "entities"), ("retrieval", "synonyms"), ("reasoning", "structured_steps"), ("reasoning", "evidence_weights"), ("knowledge", "more_guidelines"),
+    ("knowledge", "contraindications"), ("overconfidence", "calibration"), ("always", "query_expansion"), ("always", "domain_reranking"), ("always", "active_learning"),
 )
+CAUSES = {
+    "retrieval": ("terminology", "missing_synonyms"), "reasoning": ("few_steps", "unweighted_evidence", "single_document", "missing_symptoms"),
+    "knowledge": ("misread_guideline", "patient_factors", "contraindications", "misapplied_protocol"), "system": ("technical_failure", "index_files", "resources"),
+}
+#: Specialties that the corpus covers.
+COVERED = ("Cardiology", "Gastroenterology", "Neurology")
 
 
 def normalised_relevance(ranked: DataFrame) -> DataFrame:
@@ -105,3 +111,16 @@ def quotas(spark: SparkSession, types: dict[str, int], levels: dict[str, int]) -
 def clean_option(text: Column) -> Column:
     """Option letters, list marks and surplus spaces taken off."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*(?:[A-Ea-e][.):]|[-*])\s*", ""), r"\s+", " "))
+
+
+def root_causes(wrong: DataFrame) -> DataFrame:
+    """error_kind, place, cause (codes) for wrong rows (error_kind, question, category). Failed retrievals are put
+    down to vague questions if over .3 of them have under ten words, and to coverage if over .4 are of a specialty
+    that is not covered."""
+    few = F.size(F.filter(F.split(F.trim("question"), r"\s+"), lambda w: w != "")) < 10
+    odd = ~F.coalesce(F.col("category").isin(*COVERED), F.lit(False))
+    n = wrong.groupBy("error_kind").agg(F.count("*").alias("n"), F.count_if(few).alias("vague"), F.count_if(odd).alias("uncovered"))
+    retrieval = F.col("error_kind") == "retrieval"
+    causes = [F.when(retrieval & (F.col("vague") > 0.3 * F.col("n")), "vague_questions"), F.when(retrieval & (F.col("uncovered") > 0.4 * F.col("n")), "coverage")]
+    causes += [F.when(F.col("error_kind") == k, c) for k, some in CAUSES.items() for c in some]
+    return n.select("error_kind", F.posexplode(F.array_compact(F.array(*causes))).alias("place", "cause"))

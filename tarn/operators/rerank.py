@@ -6,11 +6,14 @@ arrays per query or as weights that become one expression.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import weight_of
+from ..functions import rules as R
+from ..functions.text import contained, weight_of
 from .calibration import clamp
 from .retrieval import top_k
 
@@ -100,11 +103,18 @@ def guideline_boost(content: Column, keywords: tuple[str, ...], diseases: Column
 
 def term_boost(content: Column, title: Column, primary: dict[str, float], secondary: dict[str, float], sections: dict[str, float], diseases: Column) -> Column:
     """Weights of primary terms, of secondary ones up to .2, of section terms in text or title, .3 once for a
-    disease in the text and .2 once for one in the title; at most 1."""
+    disease in either and .2 once for one in the title; at most 1."""
     low, head = F.lower(content), F.lower(title)
     by_section = sum((F.when(F.contains(low, F.lit(t)) | F.contains(head, F.lit(t)), w).otherwise(0.0) for t, w in sections.items()), F.lit(0.0))
-    some = lambda text, w: F.when(F.exists(diseases, lambda d: F.contains(text, d)), w).otherwise(0.0)
-    return F.least(F.lit(1.0), weight_of(low, primary) + F.least(F.lit(0.2), weight_of(low, secondary)) + by_section + some(low, 0.3) + some(head, 0.2))
+    some = lambda w, *texts: F.when(F.exists(diseases, lambda d: reduce(Column.__or__, (F.contains(t, d) for t in texts))), w).otherwise(0.0)
+    return F.least(F.lit(1.0), weight_of(low, primary) + F.least(F.lit(0.2), weight_of(low, secondary)) + by_section + some(0.3, low, head) + some(0.2, head))
+
+
+def named_diseases(text: Column) -> Column:
+    """Diseases of the table in the text, and the first thing of over three characters that each form of words names."""
+    low = F.lower(text)
+    forms = (F.trim(F.regexp_extract(low, p, 1)) for p in R.DISEASE_FORMS)
+    return F.array_distinct(F.concat(contained(low, R.DISEASES), F.filter(F.array(*forms), lambda x: F.length(x) > 3)))
 
 
 def reranked(rows: DataFrame, boost: Column, k: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import dot, tokens
 
 K1, B = 1.5, 0.75
@@ -36,14 +37,28 @@ def query_terms(queries: DataFrame, id_: str, text: str) -> DataFrame:
     return queries.select(F.col(id_).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
+#: Stands for the document itself among its terms; no token is empty.
+WHOLE = ""
+
+
+def bm25_postings(docs: DataFrame, terms: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, dl, term, tf of the terms asked for, and one row of term WHOLE for every document. The corpus is read
+    and cut into tokens once; what is kept are the postings of these terms."""
+    known = tokens(F.col(text))
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(known, F.array().cast("array<string>")).alias("known"))
+    held = held.select("doc_id", F.size("known").alias("dl"), F.explode(F.concat(F.array(F.lit(WHOLE)), "known")).alias("term"))
+    wanted = terms.select("term").distinct()
+    asked = wanted.unionByName(wanted.sparkSession.sql(f"SELECT '{WHOLE}' term"))
+    return cut(held.join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "item_id", query_text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """qid, doc_id, score for every pair that shares a term; a query's term counts as often as it names it."""
     asked = query_terms(queries, query_id, query_text)
-    known = tokens(F.col(text))
-    held = docs.select(F.col(doc_id).alias("doc_id"), known.alias("known")).withColumn("dl", F.coalesce(F.size("known"), F.lit(0)))
-    stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = held.select("doc_id", "dl", F.explode("known").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    postings = bm25_postings(docs, asked, doc_id=doc_id, text=text)
+    whole = F.col("term") == WHOLE
+    stats = postings.where(whole).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = postings.where(~whole).groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     weighted = weighted.select("qid", "term", "times", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -98,3 +113,18 @@ def hashed_cosine(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id"
     q = hashed_vectors(queries, query_id, query_text, dim).select(F.col("id").alias("qid"), "bucket", F.col("w").alias("qw"))
     d = hashed_vectors(docs, doc_id, text, dim).select(F.col("id").alias("doc_id"), "bucket", "w")
     return d.join(q, "bucket").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+
+
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """pid, doc_id: documents (doc_id, text) that hold a passage (pid, passage) word for word. A document that does
+    has every inner token of the passage, so only those with its longest one are looked through; a passage of fewer
+    than three tokens has none and is held against all documents."""
+    words = F.regexp_extract_all(F.lower("passage"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
+    best = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]
+    keyed = passages.select("pid", "passage", best.alias("term"))
+    terms = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("term"))
+    met = terms.join(keyed.select("pid", "term"), "term").select("doc_id", "pid")
+    met = met.join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("pid", "passage"), "pid").where(F.contains("text", "passage")).select("pid", "doc_id")
+    short = keyed.where("term is null").select("pid", "passage")
+    return met.unionByName(docs.select("doc_id", "text").join(short, F.contains("text", "passage")).select("pid", "doc_id"))

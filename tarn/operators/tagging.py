@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import rules as R
+from ..functions.text import contained, positions
 
 
 def pattern_tags(text: Column, pattern: str, most: int = 10) -> Column:
@@ -57,27 +56,44 @@ def weighted_terms(text: Column, terms: list[str], strong: list[str], least: flo
 
 
 def occurrences(texts: DataFrame, lexicon: dict[str, tuple[str, list[str]]], *, id_: str = "doc_id", text: str = "text", cues: tuple[str, ...] = ("no ", "denies", "without", "absence of", "negative for", "not ", "ruled out", "free of"), before: int = 50) -> DataFrame:
-    """id, symptom, severity, position, negated: every whole-word occurrence of a symptom's variants; it is negated
-    if a cue is among the characters before it. lexicon: symptom -> (severity, variants).
-
-    The places of all matches are beyond the built-in functions, so rows pass through Arrow in batches.
-    """
+    """id, symptom, severity, position (from 0), negated: every whole-word occurrence of a symptom's variants; it is
+    negated if a cue is among the characters before it. lexicon: symptom -> (severity, variants)."""
     import re
 
-    rank = {"critical": 0, "moderate": 1, "mild": 2}
-    patterns = [(s, sev, re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(vs, key=len, reverse=True))) + r")\b")) for s, (sev, vs) in lexicon.items()]
+    def places(symptom: str, severity: str, variants: list[str]) -> Column:
+        pattern = r"\b(?:" + "|".join(map(re.escape, sorted(variants, key=len, reverse=True))) + r")\b"
+        return F.transform(positions(F.col("low"), pattern), lambda x: F.struct(F.lit(symptom).alias("symptom"), F.lit(severity).alias("severity"), (x["at"] - 1).alias("position")))
+
+    low = texts.select(id_, F.lower(text).alias("low"))
+    found = F.concat(*(places(symptom, *of) for symptom, of in lexicon.items()))
+    rows = low.select(id_, "low", F.explode(found).alias("x")).select(id_, "low", "x.*")
+    ahead = F.substring(F.col("low"), F.greatest(F.lit(1), F.col("position") + 1 - before), F.least(F.col("position"), F.lit(before)))
+    negated = F.lit(False)
+    for c in cues:
+        negated = negated | F.contains(ahead, F.lit(c))
+    return rows.select(id_, "symptom", "severity", "position", negated.alias("negated"))
+
+
+def first_matches(text: Column, table: dict[str, list[str]]) -> Column:
+    """map(name, value): of each name the first capture of its first pattern that matches, whatever the case."""
+    first = lambda ps: F.coalesce(*(F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")) for p in ps))
+    return F.map_filter(F.create_map(*(c for k, ps in table.items() for c in (F.lit(k), first(ps)))), lambda _, v: v.isNotNull())
+
+
+def named(text: Column, terms: tuple[str, ...], forms: tuple[str, ...] = ()) -> Column:
+    """Terms that are in the lower-cased text, and what forms of words name in over three characters; sorted."""
+    others = (F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in forms)
+    more = F.filter(F.transform(F.concat(F.array().cast("array<string>"), *others), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
+    return F.array_sort(F.array_distinct(F.concat(contained(text, terms), more)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for i, t in zip(frame[id_], frame[text], strict=True):
-                low = (t or "").lower()
-                found = [(rank.get(sev, 3), m.start(), s, sev, any(c in low[max(0, m.start() - before) : m.start()] for c in cues)) for s, sev, p in patterns for m in p.finditer(low)]
-                out += [(i, s, sev, at, neg) for _, at, s, sev, neg in sorted(found)]
-            yield pd.DataFrame(out, columns=[id_, "symptom", "severity", "position", "negated"])
 
-    kind = texts.schema[id_].dataType.simpleString()
-    return texts.select(id_, text).mapInPandas(run, f"`{id_}` {kind}, symptom string, severity string, position int, negated boolean")
+def case_features(cases: DataFrame, text: str = "case_text") -> DataFrame:
+    """Adds vitals and labs (maps), abnormal (names of vitals out of range), diseases, risks and medications."""
+    low, v = F.lower(text), F.col("vitals")
+    names = {"HR": "heart_rate", "BP": "systolic", "Temp": "temperature", "RR": "respiratory_rate", "SpO2": "spo2"}
+    value = lambda k: F.regexp_extract(v[k], "^([0-9]+(?:[.][0-9]+)?)", 1)
+    out = cases.withColumns({"vitals": first_matches(F.col(text), R.VITALS), "labs": first_matches(F.col(text), R.LABS), "diseases": named(low, R.CHRONIC, R.CHRONIC_FORMS), "risks": contained(low, R.RISKS), "medications": named(low, R.MEDICATIONS, R.MEDICATION_FORMS)})
+    return out.withColumn("abnormal", F.array_compact(F.array(*(F.when(abnormal(kind, value(k)), F.lit(k)) for k, kind in names.items()))))
 
 
 def claims(text: Column, patterns: list[str]) -> Column:

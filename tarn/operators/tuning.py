@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .calibration import clamp
+from .rerank import squash
+
 
 def grid(spark: SparkSession, **values) -> DataFrame:
     """One row per combination, numbered by config; driver-made, as many rows as the caller lists."""
@@ -44,11 +47,32 @@ def objective(precision, recall, errors, kind: str = "balanced"):
     return {"precision": precision, "recall": recall, "f1": f1}.get(kind, 0.4 * precision + 0.4 * recall + 0.2 * f1 - 0.05 * errors)
 
 
+def swept_stages(pairs: DataFrame, triples: tuple[tuple[float, float, float], ...], k: int, thresholds: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """config, qid, rk, doc_id, score of the three-stage score under every triple of weights and every least score;
+    pairs: qid, doc_id, s1, s2. Settings are numbered by triple, then by threshold."""
+    spark = pairs.sparkSession
+    rows = [(i * len(thresholds) + j, *map(float, w), float(t)) for i, w in enumerate(triples) for j, t in enumerate(thresholds)]
+    settings = spark.createDataFrame(rows, "config int, w1 double, w2 double, w3 double, least double")
+    x = pairs.crossJoin(F.broadcast(settings))  # as many rows as the caller lists
+    a, b = clamp(F.col("s1")), squash(F.col("s2"))
+    c = clamp(F.col("w1") * F.col("s1") + F.col("w2") * F.col("s2"))
+    base = F.col("w1") * a + F.col("w2") * b + F.col("w3") * c
+    high = sum(((y > 0.6).cast("int") for y in (a, b, c)), F.lit(0))
+    x = x.withColumn("score", F.when(high >= 2, F.least(F.lit(1.0), base * 1.1)).otherwise(base)).where(F.col("score") >= F.col("least"))
+    order = W.partitionBy("config", "qid").orderBy(F.round("score", 9).desc(), "doc_id")
+    return x.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("config", "qid", "rk", "doc_id", "score")
+
+
+def place_of(id_, seed: int):
+    """A number below 2 ** 28 for an id: the head of a digest that any SQL engine can work out."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_.cast("string"))), 1, 7), 16, 10).cast("long")
+
+
 def split(rows: DataFrame, id_: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Adds fold: train or test, by a seeded hash of the id, so that it never changes with the plan."""
-    return rows.withColumn("fold", F.when(F.pmod(F.xxhash64(F.lit(seed), F.col(id_)), F.lit(10_000)) < int(share * 10_000), "train").otherwise("test"))
+    """Adds fold: train or test, by a seeded digest of the id, so that it never changes with the plan."""
+    return rows.withColumn("fold", F.when(place_of(F.col(id_), seed) % 10_000 < int(share * 10_000), "train").otherwise("test"))
 
 
 def sampled(rows: DataFrame, id_: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same ones whatever the partitions."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_)), id_).limit(n)
+    return rows.orderBy(place_of(F.col(id_), seed), id_).limit(n)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import rules as R
 from ..functions.text import contained
 
 
@@ -125,7 +126,7 @@ def variants(queries: DataFrame, text: str = "text", most: int = 4) -> DataFrame
     """A row per query variant: the query, its expansion, its keywords with symptoms, a guideline form; duplicates
     and empty ones are left out, places are kept."""
     x = replaced(F.col(text), L.ABBREVIATIONS)
-    found = F.array(F.col(text), x, expanded_with(F.col(text), L.EXPANSIONS), F.array_join(contained(x, L.SYMPTOMS), " "), F.concat(F.substring(F.col(text), 1, 1000), F.lit(" guideline management")))
+    found = F.array(F.col(text), x, expanded_with(F.col(text), L.EXPANSIONS), F.array_join(contained(x, L.SYMPTOMS), " "), F.concat(F.col(text), F.lit(" guideline management")))
     kept = F.slice(F.array_distinct(F.filter(found, lambda v: F.length(F.trim(v)) > 0)), 1, most)
     return queries.select("*", F.posexplode(kept).alias("variant", "variant_text"))
 
@@ -143,3 +144,22 @@ def shares(text: Column, table: dict[str, list[str]]) -> Column:
     n = {k: sum((F.contains(text, F.lit(t)).cast("int") for t in v), F.lit(0)) for k, v in table.items()}
     total = sum(n.values(), F.lit(0))
     return F.map_filter(F.create_map(*(c for k, x in n.items() for c in (F.lit(k), F.coalesce(F.try_divide(x.cast("double"), total.cast("double")), F.lit(0.0))))), lambda _, v: v > 0)
+
+
+def detected_specialty(text: Column, query: Column) -> Column:
+    """struct(specialty, confidence, adapted): the specialty of most words in the text (the first of equals,
+    general_medicine for none), its share of all hits, and the query with the focus terms it lacks."""
+    n = {name: sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0)) for name, words in R.SPECIALTY_WORDS.items()}
+    best = F.array_max(F.array(*(F.struct(v.alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, v) in enumerate(n.items()))))
+    name = F.when(best["n"] > 0, best["name"]).otherwise("general_medicine")
+    share = F.coalesce(F.try_divide(best["n"].cast("double"), sum(n.values(), F.lit(0)).cast("double")), F.lit(0.0))
+    lacking = lambda terms: F.filter(F.array(*map(F.lit, terms)), lambda t: ~F.contains(F.lower(query), t))
+    more = F.lit(None).cast("array<string>")
+    for k, terms in R.SPECIALTY_FOCUS.items():
+        more = F.when(name == k, lacking(terms)).otherwise(more)
+    return F.struct(name.alias("specialty"), share.alias("confidence"), F.concat_ws(" ", query, more).alias("adapted"))
+
+
+def is_complex(text: Column) -> Column:
+    """Whether any of the words that make a question a complex one is in the text."""
+    return _any(F.contains(F.lower(text), F.lit(w)) for w in R.COMPLEX)

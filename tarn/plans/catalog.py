@@ -108,8 +108,8 @@ def vector(t, k=DEPTH):
 
 
 def relevant(t):
-    """Items and documents that contain them word for word: items are few (a stated set) and held against all rows."""
-    return t("documents").join(t("benchmark").select("item_id", F.col("text").alias("passage")), F.contains("text", "passage")).select(F.col("item_id").alias("qid"), "doc_id")
+    """Items and documents that contain them word for word."""
+    return R.holding(t("documents"), t("benchmark").select(F.col("item_id").alias("pid"), F.col("text").alias("passage"))).withColumnRenamed("pid", "qid")
 
 
 def results(t):
@@ -573,17 +573,24 @@ def select_answer_gap(t):
     return rounded(E.choose(options), "confidence", "margin")
 
 
-@query()
+CHOICE = (
+    f"{STRENGTH}, mt2 AS (SELECT *, CASE WHEN strength > 0.6 THEN 'direct' WHEN strength > 0.3 THEN 'inferred' WHEN strength > 0.1 THEN 'weak' ELSE 'none' END m, n_against = 0 free FROM st), "
+    "sc AS (SELECT *, greatest(0, least(1, strength * CASE WHEN NOT free AND against > 0.5 THEN 0.6 WHEN NOT free AND against > 0.3 THEN 0.75 ELSE 1 END::DOUBLE "
+    "* CASE WHEN m = 'direct' AND free THEN 1.8::DOUBLE * CASE WHEN n > 1 THEN 1.15 ELSE 1 END::DOUBLE * CASE WHEN strength > 0.8 THEN 1.1 ELSE 1 END::DOUBLE ELSE 1 END "
+    "* CASE WHEN m = 'inferred' AND free THEN 1.4::DOUBLE * CASE WHEN n > 2 THEN 1.1 ELSE 1 END::DOUBLE ELSE 1 END * CASE WHEN m = 'weak' THEN 0.85::DOUBLE * CASE WHEN n > 2 THEN 1.05 ELSE 1 END::DOUBLE ELSE 1 END)) score, "
+    "CASE m WHEN 'direct' THEN 3 WHEN 'inferred' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END quality FROM mt2), "
+    "nx AS (SELECT *, row_number() OVER w rk, lead(score) OVER w score2, lead(n) OVER w n2, lead(quality) OVER w quality2, lead(strength) OVER w strength2 FROM sc WINDOW w AS (PARTITION BY qid ORDER BY round(score, 9) DESC, label)), "
+    "ld AS (SELECT *, score - score2 gap, 0.4::DOUBLE * (n - n2) + 0.3::DOUBLE * (quality - quality2) + 1.5::DOUBLE * (strength - strength2) lead_ FROM nx WHERE rk = 1), "
+    "tr AS (SELECT *, CASE WHEN lead_ > 0.5 THEN greatest(0.9::DOUBLE, 0.85::DOUBLE + (lead_ - 0.5::DOUBLE) * 0.2::DOUBLE) WHEN lead_ > 0 THEN greatest(0.8::DOUBLE, 0.75::DOUBLE + lead_ * 0.2::DOUBLE) ELSE greatest(0.7::DOUBLE, gap / 0.2::DOUBLE) END trust, "
+    "CASE WHEN score2 IS NULL THEN score ELSE least(1.0::DOUBLE, score * CASE WHEN gap > 0.25 THEN 1.1 WHEN gap > 0.15 THEN 1.05 ELSE 1 END::DOUBLE) END clear_ FROM ld)"
+)
+
+
+@query(f"WITH {CHOICE} SELECT qid, label selected, round(CASE WHEN gap < 0.2 THEN greatest(0.25::DOUBLE, score * trust) WHEN n_against > 0 THEN least(clear_, CASE WHEN against > 0.5 THEN 0.6 ELSE 0.75 END::DOUBLE) ELSE clear_ END, 6) confidence FROM tr")
 def select_by_strength(t):
     return rounded(E.select_by_strength(E.strength(match_rows(t))), "confidence")
 
 
-@query()
-def option_evidence(t):
-    """Benchmark items as options against their ranked documents."""
-    rows = candidates(t).select("qid", F.lit("A").alias("label"), F.col("query").alias("option"), "doc_id", "content", "title")
-    out = E.option_scores(E.pair_scores(rows))
-    return rounded(out, "direct", "inferred", "align", "guideline", "total")
 
 
 @query(f"WITH {CAND}, g AS (SELECT qid, list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 4) w, lower(content) e, lower(query) q FROM cand), k AS (SELECT qid, contains(e, q) OR (len(w) > 0 AND len(list_filter(w, lambda x: contains(e, x))) >= 0.5 * len(w)) ok FROM g) SELECT qid, count(*) FILTER (NOT ok) n_bad, count(*) FILTER (ok) n_good, round(count(*) FILTER (NOT ok) / count(*)::DOUBLE, 6) score, count(*) FILTER (NOT ok) / count(*)::DOUBLE > 0.3 OR count(*) FILTER (NOT ok) >= 3 flagged FROM k GROUP BY qid")
@@ -617,12 +624,15 @@ def tune_hybrid_weights(t):
     return rounded(out, "precision", "recall", "mrr", "objective")
 
 
-@query()
+PLACE = "('0x' || substr(md5('42:' || {0}), 1, 7))::BIGINT".format
+
+
+@query(f"SELECT CASE WHEN {PLACE('doc_id')} % 10000 < 8000 THEN 'train' ELSE 'test' END fold, count(*) n FROM labels GROUP BY 1")
 def train_test_split(t):
     return N.split(t("labels"), "doc_id").groupBy("fold").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT item_id FROM benchmark ORDER BY {PLACE('item_id')}, item_id LIMIT 10")
 def sampled_queries(t):
     return N.sampled(t("benchmark"), "item_id", 10).select("item_id")
 
@@ -686,7 +696,29 @@ def query_understanding(t):
     return rows.select("conv_id", "turn", D.acuity(F.col("x")).alias("acuity"), D.query_type(F.col("x")).alias("query_type"))
 
 
-@query()
+def _grouped(names, groups):
+    return " + ".join(f"CASE WHEN {_has('x', groups[n])} THEN 1 ELSE 0 END" for n in names) or "0"
+
+
+def _votes():
+    rows = []
+    for i, name in enumerate(L.SPECIALTIES):
+        conditions = [c for c, of in L.CONDITION_SPECIALTY.items() if of == name]
+        tests = {k: [k] for k, of in L.TEST_SPECIALTY.items() if of == name and k in L.TESTS}
+        rows.append(f"{{'v': CASE WHEN {_has('x', L.SPECIALTIES[name])} THEN 2 ELSE 0 END + {_grouped(conditions, L.SYNONYMS)} + {_grouped(tests, tests)}, 'i': {-i}, 'name': '{name}'}}")
+    return f"list_max([{', '.join(rows)}])"
+
+
+ACUITY = f"CASE WHEN {_has('x', L.EMERGENCY)} THEN 'emergency' WHEN {_has('x', L.URGENT)} THEN 'urgent' ELSE 'routine' END"
+KIND = "CASE WHEN regexp_matches(x, 'treatment|treat|therapy|medication|drug') THEN 'treatment' WHEN regexp_matches(x, 'diagnosis|diagnose|diagnostic|test|order') THEN 'test_ordering' WHEN regexp_matches(x, 'manage|management|care|protocol') THEN 'management' ELSE 'diagnosis' END"
+def _undoubled(text):
+    return f"regexp_replace({text}, '({OTHER})({OTHER})', '\\1', 'g')"
+
+
+AGES = "list_filter([regexp_extract(lower(text), '([0-9]+)[-\\s]year[-\\s]old', 1), regexp_extract(lower(text), 'age\\s+([0-9]+)', 1), regexp_extract(lower(text), '([0-9]+)[-\\s]yo', 1), regexp_extract(lower(text), '([0-9]+)[-\\s]y\\.o\\.', 1)], lambda s: s <> '')"
+
+
+@query(f"SELECT item_id, CASE WHEN b.v > 0 THEN b.name END specialty, {ACUITY} acuity, {KIND} query_type, TRY_CAST(ages[1] AS BIGINT) age FROM (SELECT *, {_votes()} b FROM (SELECT item_id, {_undoubled(_nested(DOUBLED, L.ABBREVIATIONS))} x, {AGES} ages FROM benchmark))")
 def specialty_votes(t):
     return D.understood(t("benchmark")).select("item_id", "specialty", "acuity", "query_type", F.col("demographics.age").alias("age"))
 
@@ -706,24 +738,11 @@ def intent_classes(t):
     return t("conversations").select("conv_id", "turn", i["intent"].alias("intent"), i["urgency"].alias("urgency"), i["temporal"].alias("temporal"))
 
 
-@query()
-def query_variants(t):
-    return D.variants(t("benchmark")).select("item_id", "variant", "variant_text")
-
-
 @query("WITH x AS (SELECT doc_id, list_filter([regexp_extract(lower(text), '(\\d+)[-\\s]year[-\\s]old', 1), regexp_extract(lower(text), 'age\\s+(\\d+)', 1), regexp_extract(lower(text), '(\\d+)[-\\s]yo', 1)], lambda s: s <> '') a FROM documents) SELECT doc_id, coalesce(TRY_CAST(a[1] AS BIGINT), -1) age FROM x")
 def patient_ages(t):
     return t("documents").select("doc_id", F.coalesce(D.age(F.col("text")), F.lit(-1)).alias("age"))
 
 
-SYMPTOM_LEXICON = {"stupid": ("critical", ["stupid", "pathetic"]), "licensed": ("mild", ["licensed", "copyright"])}
-
-
-@query()
-def symptom_occurrences(t):
-    return P.occurrences(t("documents"), SYMPTOM_LEXICON)
-
-
 @query(f"SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(list_transform(regexp_extract_all({DOUBLED}, '(?:^|{OTHER})({L.CHUNK_SYMPTOMS.replace(' ', '  ')})(?:$|{OTHER})', 1), lambda x: replace(x, '  ', ' ')))), 1, 10), ',') symptoms, contains(lower(text), 'treatment') OR contains(lower(text), 'management') has_treatment_protocol FROM documents")
 def chunk_tags(t):
     rows = P.chunk_tags(t("documents"), "text")
@@ -790,14 +809,29 @@ def errors_by_concept(t):
     return rounded(Z.errors_by_concept(results(t).withColumn("concepts", F.array("category", "source"))), "accuracy", "mean_confidence")
 
 
-@query()
+OPTIONS_SQL = f"{CAND}, op AS (SELECT qid, (['A', 'B', 'C', 'D'])[rk] AS label, query AS option FROM (SELECT c.qid, row_number() OVER (PARTITION BY c.qid ORDER BY (n.item_id - c.qid + 100000) % 100000) rk, n.text query FROM (SELECT DISTINCT qid FROM cand) c JOIN benchmark n ON (n.item_id - c.qid + 100000) % 100000 < 4))"
+
+
+def options(t):
+    """Four options for each item that has candidates: its own text and those of the next three items."""
+    items = t("benchmark").select(F.col("item_id").alias("other"), F.col("text").alias("option"))
+    asked = candidates(t).select("qid").distinct().select("qid", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    found = asked.join(items, F.col("other") == F.col("qid") + F.col("i"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy("i"))
+    return found.select("qid", F.element_at(F.array(*map(F.lit, LABELS)), place).alias("label"), "option")
+
+
+@query(f"WITH {OPTIONS_SQL}, fx AS (SELECT o.qid, label, lower(o.option) o, lower(c.content) c FROM op o JOIN cand c ON c.qid = o.qid AND c.rk = 1), fs AS (SELECT qid, label, CASE WHEN contains(c, o) THEN 1.0::DOUBLE ELSE 0.2::DOUBLE * len(list_filter(string_split_regex(o, '\\s+'), lambda w: length(w) > 3 AND contains(c, w))) END + CASE WHEN {' OR '.join(f"contains(o, '{w}')" for w in Z.TREATING)} THEN 0.2::DOUBLE ELSE 0 END score FROM fx), fb AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, label) rk FROM fs) SELECT qid, CASE WHEN score > 0 THEN label ELSE 'A' END selected, round(least(0.6::DOUBLE, score / 2), 6) confidence FROM fb WHERE rk = 1")
 def fallback_choice(t):
-    parts = F.array(*(F.struct(F.lit(x).alias("label"), F.substring(F.col("query"), 1 + 15 * i, 15).alias("option")) for i, x in enumerate(LABELS)))
-    rows = candidates(t).where("rk = 1").select("qid", F.explode(parts).alias("o"), F.col("content").alias("context")).select("qid", "o.*", "context")
-    return rounded(Z.fallback_choice(rows), "confidence")
+    """Options against the whole text of the best candidate."""
+    best = candidates(t).where("rk = 1").select("qid", F.col("content").alias("context"))
+    return rounded(Z.fallback_choice(options(t).join(best, "qid")), "confidence")
 
 
-@query()
+ADVICE_SQL = "adv AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{a}')" for i, (k, a) in enumerate(Z.ADVICE)) + ") v(place, error_kind, advice))"
+
+
+@query(f"WITH {RES}, k AS (SELECT DISTINCT CASE WHEN n_evidence = 0 THEN 'retrieval' WHEN n_steps = 0 THEN 'knowledge' ELSE 'reasoning' END error_kind FROM res WHERE NOT is_correct UNION SELECT 'always'), {ADVICE_SQL} SELECT place::BIGINT place, advice FROM adv SEMI JOIN k USING (error_kind) ORDER BY place LIMIT 10")
 def recommendations(t):
     kinds = M.error_kinds(results(t).withColumnsRenamed({"n_evidence": "n_relevant", "n_steps": "overlap"}))
     return Z.recommendations(kinds)
