@@ -57,16 +57,18 @@ def weighted_terms(text: Column, terms: list[str], strong: list[str], least: flo
 
 def occurrences(texts: DataFrame, lexicon: dict[str, tuple[str, list[str]]], *, id_: str = "doc_id", text: str = "text", cues: tuple[str, ...] = ("no ", "denies", "without", "absence of", "negative for", "not ", "ruled out", "free of"), before: int = 50) -> DataFrame:
     """id, symptom, severity, position (from 0), negated: every whole-word occurrence of a symptom's variants; it is
-    negated if a cue is among the characters before it. lexicon: symptom -> (severity, variants)."""
+    negated if a cue is among the characters before it. The worst come first, then by place. lexicon: symptom ->
+    (severity, variants)."""
     import re
 
     def places(symptom: str, severity: str, variants: list[str]) -> Column:
         pattern = r"\b(?:" + "|".join(map(re.escape, sorted(variants, key=len, reverse=True))) + r")\b"
-        return F.transform(positions(F.col("low"), pattern), lambda x: F.struct(F.lit(symptom).alias("symptom"), F.lit(severity).alias("severity"), (x["at"] - 1).alias("position")))
+        rank = {"critical": 0, "moderate": 1, "mild": 2}.get(severity, 3)
+        return F.transform(positions(F.col("low"), pattern), lambda x: F.struct(F.lit(rank).alias("rank"), (x["at"] - 1).alias("position"), F.lit(symptom).alias("symptom"), F.lit(severity).alias("severity")))
 
     low = texts.select(id_, F.lower(text).alias("low"))
     found = F.concat(*(places(symptom, *of) for symptom, of in lexicon.items()))
-    rows = low.select(id_, "low", F.explode(found).alias("x")).select(id_, "low", "x.*")
+    rows = low.select(id_, "low", F.explode(F.array_sort(found)).alias("x")).select(id_, "low", "x.*")
     ahead = F.substring(F.col("low"), F.greatest(F.lit(1), F.col("position") + 1 - before), F.least(F.col("position"), F.lit(before)))
     negated = F.lit(False)
     for c in cues:

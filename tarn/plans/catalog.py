@@ -756,10 +756,13 @@ def page_titles(t):
 
 @query()
 def answered_questions(t):
-    """Benchmark items as questions whose options are the openings of four documents."""
+    """Benchmark items as questions; their options are the item's own text and those of the next three items."""
     docs = t("documents").select("doc_id", "text", F.col("source").alias("title"))
-    opens = F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.array(*(F.substring(F.col("text"), 1 + 20 * i, 20) for i in range(4))))
-    qs = t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit("").alias("case_description"), opens.alias("options"), F.lit("A").alias("correct_answer"))
+    items = t("benchmark").select(F.col("item_id").alias("other"), F.col("text").alias("option"))
+    asked = t("benchmark").select(F.col("item_id").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    found = asked.join(items, F.col("other") == F.col("qid") + F.col("i")).withColumn("label", F.element_at(F.array(*map(F.lit, LABELS)), F.col("i") + 1))
+    found = found.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("label", "option"))).alias("options"))  # four at most
+    qs = t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit("").alias("case_description"), F.lit("A").alias("correct_answer")).join(found, "qid")
     return rounded(A.answered(qs, docs), "confidence", "margin")
 
 
