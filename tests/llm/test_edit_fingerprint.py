@@ -1,10 +1,13 @@
 import hashlib
+import os
 import random
 
 import numpy as np
+import pytest
 
 from tarn.functions.lineage import setting
 from tarn.llm import edit_fingerprint as E
+from tarn.llm import queries
 
 
 def slow(text):
@@ -212,3 +215,20 @@ def test_defaults_find_edited_texts(spark):
     for k, some in copies.items():
         want = [p for p in (pair(digest(a), digest(b)) for a, b in zip(base, some, strict=True)) if E.edits_within(text_of[p[0]], text_of[p[1]], len(text_of[p[0]]) // 120) is not None]
         assert sum(p in got for p in want) >= 0.9 * len(want) and len(want) >= 50, k
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_near_texts_query_by_brute_force(spark):
+    texts = sorted({r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text}, key=len)
+    want, start = set(), 0
+    for i, b in enumerate(texts):
+        while len(texts[start]) < 0.99 * len(b) - 1:
+            start += 1
+        for a in texts[start:i]:
+            found = E.edits_within(a, b, int(0.01 * len(b) + 1e-9))
+            if found is not None:
+                x, y = (hashlib.sha256(t.encode()).hexdigest() for t in (a, b))
+                want.add((max(x, y), min(x, y), found))
+    got = {(r.sha256, r.other, r.edits) for r in queries.edit_near_texts(spark, "/root/testdata/sf0.01").collect()}
+    print(len(want), "pairs,", len(got), "found")
+    assert got <= want and len(got) >= 0.9 * len(want)
