@@ -22,7 +22,7 @@ from .common import TwoGenerations, bounded_batches, sliced, working
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Runs of white space that may not be cut at a single space.
 RUNS = regex.compile(r"\s{3,}|\s{2,}\Z")
-CACHED = 100_000
+CACHED = 300_000
 _loaded: dict[str, BytePairCounter] = {}
 
 
