@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import rules as R
 from ..operators import evidence as E
+from ..operators import fusion as U
 from ..operators import quality_checks as Z
 from ..operators import rerank as K
 from ..operators import safety as S
@@ -254,3 +255,70 @@ def error_root_causes(t):
     kind = F.when(F.col("n_evidence") == 0, "retrieval").when(F.col("n_steps") == 0, "knowledge").otherwise("reasoning")
     return Z.root_causes(results(t).where(~F.col("is_correct")).select(kind.alias("error_kind"), F.col("text").alias("question"), "category"))
 
+
+
+# ---- single rules: places of options, quotas, prefilter, boosts, sections, names ----
+
+NAMED = ("aspirin", "nsaids", "antibiotics", "magnesium sulfate", "beta blockers", "lithium")
+CONTEXTS = (("treatment|therapy|management|first-line", 1.3), ("contraindicat|avoid", 0.3), ("indicat", 1.2), ("complication|adverse", 0.8))
+
+
+@query(f"WITH {CASES}, o AS (SELECT qid, lower(case_text || ' ' || answer) low, unnest({_list(NAMED)}) AS option FROM cs), p AS (SELECT *, strpos(low, option) pos FROM o WHERE contains(low, option)), a AS (SELECT *, substr(low, greatest(1, pos - 300), 600) around FROM p) SELECT qid, option, CASE {' '.join(f'''WHEN regexp_matches(around, '{p}') THEN {v}::DOUBLE''' for p, v in CONTEXTS)} ELSE 1.0::DOUBLE END factor, ({' OR '.join(f'''(contains(low, '{p}') AND abs(pos - strpos(low, '{p}')) < 100)''' for p in E.AGAINST)}) against FROM a")
+def option_contexts(t):
+    """Factor by the words around a named drug, and whether a warning stands near it."""
+    rows = cases(t).select("qid", F.concat_ws(" ", "case_text", "answer").alias("content"), F.explode(F.array(*map(F.lit, NAMED))).alias("option"))
+    rows = rows.withColumn("at", F.instr(F.lower("content"), F.col("option"))).where("at > 0")
+    return rows.select("qid", "option", E.context_score(F.col("content"), F.col("at")).alias("factor"), E.contradicts(F.col("option"), F.col("content")).alias("against"))
+
+
+@query(f"WITH {CAND} SELECT qid, doc_id, matched, round(score, 6) score, rk FROM (SELECT qid, doc_id, score, category = 'en' matched, row_number() OVER (PARTITION BY qid ORDER BY category = 'en' DESC, round(score, 9) DESC, doc_id) rk FROM cand) WHERE rk <= 5")
+def quota_fill(t):
+    rows = candidates(t).withColumn("matched", F.col("category") == "en")
+    return rounded(U.quota(rows, "matched", 5).select("qid", "doc_id", "matched", "score", "rk"), "score")
+
+
+PREFILTER = "pw AS (SELECT * REPLACE (list_sort(terms) AS terms), lower(content) low, string_split_regex(lower(content), '\\s+') ws FROM cand), pn AS (SELECT qid, doc_id, score, 2 * (len(terms) > 1 AND (contains(low, terms[1] || ' ' || terms[2]) OR (list_contains(ws, terms[1]) AND list_contains(ws, terms[2]))))::INT + len(list_filter(terms, lambda w: contains(low, w))) n FROM pw), pb AS (SELECT qid, doc_id, n, CASE WHEN n > 0 THEN least(1.0::DOUBLE, score + 0.15::DOUBLE * n) ELSE score END score FROM pn)"
+
+
+@query(f"WITH {CAND}, {PREFILTER} SELECT qid, doc_id, n::BIGINT n, round(score, 6) score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n > 0 DESC, n DESC, round(score, 9) DESC, doc_id) rk FROM pb) WHERE rk <= 10")
+def symptom_prefilter(t):
+    """The first two long words of a query, by alphabet, as one critical term; all of them as terms."""
+    critical = F.when(F.size("terms") > 1, F.array(F.array_join(F.slice(F.array_sort("terms"), 1, 2), " "))).otherwise(F.array().cast("array<string>"))
+    rows = K.prefiltered(candidates(t).withColumn("critical", critical), 10)
+    return rounded(rows.select("qid", "doc_id", F.col("n").cast("bigint").alias("n"), "score", "rk"), "score")
+
+
+ASKED = "fx AS (SELECT qid, doc_id, lower(query || ' initial ' || category || CASE WHEN doc_id % 2 = 0 THEN ' treatment of ' ELSE ' ' END || title) q, category, lower(title || ' ' || title || ' initial') head, lower(content || CASE WHEN doc_id % 3 = 0 THEN ' First-line treatment' ELSE '' END) low FROM cand)"
+
+
+@query(f"WITH {CAND}, {ASKED}, fn AS (SELECT *, len(list_filter(string_split_regex(head, '\\s+'), lambda w: length(w) > 3 AND list_contains(string_split_regex(q, '\\s+'), w))) n FROM fx) SELECT qid, doc_id, round(least(0.70::DOUBLE, CASE WHEN len(list_filter(string_split_regex(lower(category), '\\s+'), lambda w: length(w) > 0 AND contains(q, w))) > 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN n >= 2 THEN 0.30::DOUBLE WHEN n = 1 THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN contains(q, 'initial') AND regexp_matches(q, 'treatment|therapy|management') AND regexp_matches(low, '(initial|first-line|primary) treatment|initial therapy') THEN 0.12::DOUBLE ELSE 0 END), 6) boost FROM fn")
+def first_stage_boosts(t):
+    i, title = F.col("doc_id"), F.col("title")
+    asked = F.concat("query", F.lit(" initial "), "category", F.when(i % 2 == 0, " treatment of ").otherwise(" "), title)
+    boost = K.first_stage_boost(asked, F.col("category"), F.concat(title, F.lit(" "), title, F.lit(" initial")), F.concat("content", F.when(i % 3 == 0, " First-line treatment").otherwise("")))
+    return rounded(candidates(t).select("qid", "doc_id", boost.alias("boost")), "boost")
+
+
+SECTION_RULES = {"red_flags": "red flag", "diagnosis": "diagnostic|diagnosis", "management": "treatment|management", "investigations": "investigation|ecg|troponin", "risk_stratification": "risk"}
+OBSTETRIC, STRONG = ["pregnan", "vaginal bleeding", "preeclampsia", "urgent delivery"], ["preeclampsia", "pregnancy loss"]
+
+
+def _count(text, terms):
+    return "(" + " + ".join(f"contains({text}, '{w}')::INT" for w in terms) + ")"
+
+
+@query(f"WITH {CASES}, x AS (SELECT qid, lower(case_text || ' ' || answer) low FROM cs), s AS (SELECT qid, low, least(1.0::DOUBLE, {_count('low', OBSTETRIC)} / {len(OBSTETRIC)}::DOUBLE + 0.2::DOUBLE * {_count('low', STRONG)}) score FROM x) SELECT qid, concat_ws(';', {', '.join(f'''CASE WHEN regexp_matches(low, '{p}') THEN '{k}' END''' for k, p in SECTION_RULES.items())}) sections, round(score, 6) obstetric, score > 0.1 positive, list_filter({_list(sorted(NAMED, key=len, reverse=True))}, lambda w: contains(low, w))[1] medication FROM s")
+def case_labels(t):
+    """Section tags, weighted obstetric terms and the longest drug name of a case with its answer."""
+    text = F.concat_ws(" ", "case_text", "answer")
+    rows = cases(t).select("qid", F.array_join(P.section_tags(text), ";").alias("sections"), P.weighted_terms(text, OBSTETRIC, STRONG).alias("w"), D.longest_first(F.lower(text), list(NAMED)).alias("medication"))
+    return rounded(rows.select("qid", "sections", F.col("w.score").alias("obstetric"), F.col("w.positive").alias("positive"), "medication"), "obstetric")
+
+
+FORMS_NAMED = (" Based on the Sepsis Bundle, what next?", " What is advised according to the \"Asthma Care\" guideline.", " Per the 'Stroke Unit' guideline, act.", " What next?")
+NAMING = "coalesce(" + ", ".join(f"nullif(regexp_extract(x, '(?i){p}', 1), '')" for p in ("''([^'']+)'' guideline", '"([^"]+)" guideline', "based on the ([^,\\.]+)", "according to the ([^,\\.]+)", "per the ([^,\\.]+)")) + ")"
+
+
+@query(f"SELECT doc_id, lower(trim({NAMING})) guideline FROM (SELECT doc_id, lang || ({_list(FORMS_NAMED)})[1 + doc_id % {len(FORMS_NAMED)}] x FROM documents)")
+def guideline_mentions(t):
+    return t("documents").select("doc_id", D.mentioned_guideline(F.concat("lang", pick(FORMS_NAMED, "doc_id"))).alias("guideline"))
