@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import rules as R
+from ..functions import text as T
+from ..operators import adjust as J
 from ..operators import evidence as E
 from ..operators import fusion as U
 from ..operators import quality_checks as Z
@@ -322,3 +324,27 @@ NAMING = "coalesce(" + ", ".join(f"nullif(regexp_extract(x, '(?i){p}', 1), '')"
 @query(f"SELECT doc_id, lower(trim({NAMING})) guideline FROM (SELECT doc_id, lang || ({_list(FORMS_NAMED)})[1 + doc_id % {len(FORMS_NAMED)}] x FROM documents)")
 def guideline_mentions(t):
     return t("documents").select("doc_id", D.mentioned_guideline(F.concat("lang", pick(FORMS_NAMED, "doc_id"))).alias("guideline"))
+
+
+# ---- excerpts and the last steps of an answer's confidence ----
+
+QUERY_WORDS = f"list_slice(list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(map(_text, T.STOP_WORDS))})), 1, 20)"
+
+
+@query(f"WITH {CAND}, xl AS (SELECT qid, doc_id, query, content, lower(content) low, {QUERY_WORDS} ks FROM cand), xa AS (SELECT *, coalesce(nullif(strpos(low, lower(query)), 0), list_filter(list_transform(ks, lambda k: strpos(low, k)), lambda i: i > 0)[1]) pos FROM xl), xs AS (SELECT *, greatest(1, pos - 200) b, least(length(content), pos + 200) e FROM xa) SELECT qid, doc_id, CASE WHEN pos IS NULL THEN CASE WHEN length(content) > 400 THEN substr(content, 1, 400) || '...' ELSE content END ELSE CASE WHEN b > 1 THEN '...' ELSE '' END || substr(content, b, e - b + 1) || CASE WHEN e < length(content) THEN '...' ELSE '' END END excerpt FROM xs")
+def candidate_excerpts(t):
+    return candidates(t).select("qid", "doc_id", T.excerpt(F.col("query"), F.col("content")).alias("excerpt"))
+
+
+LETTER = "(['A', 'B', 'C', 'D'])[1 + n_chars % {0}]".format
+VOTE = f"vt AS (SELECT qid, confidence, {LETTER(4)} a, {LETTER(3)} b, CASE WHEN n_chars % 5 > 0 THEN {LETTER(2)} END c, n_chars % 3 > 0 grounded, n_chars % 7 > 2 safe, n_chars % 7 = 0 dangerous FROM res), vw AS (SELECT *, CASE WHEN a = b OR coalesce(a = c, false) THEN a WHEN b = c THEN b ELSE a END vote FROM vt), vn AS (SELECT *, (a = vote)::INT + (b = vote)::INT + coalesce((c = vote)::INT, 0) votes, CASE WHEN grounded THEN confidence ELSE confidence * 0.6::DOUBLE END x FROM vw), vx AS (SELECT qid, vote, votes, CASE WHEN dangerous THEN least(x, 0.2::DOUBLE) WHEN safe THEN least(0.95::DOUBLE, x * 1.05::DOUBLE) ELSE x END y FROM vn)"
+
+
+@query(f"WITH {RES}, {VOTE} SELECT qid, vote AS answer, votes, round(CASE WHEN y < 0.65::DOUBLE AND votes < 2 THEN y * 0.8::DOUBLE WHEN y < 0.65::DOUBLE THEN least(0.7::DOUBLE, y * 1.1::DOUBLE) ELSE y END, 6) confidence FROM vx")
+def voted_confidence(t):
+    """Vote of three answers and what grounding, safety and agreement leave of the confidence."""
+    n = F.col("n_chars")
+    letter = lambda k: F.element_at(F.array(*map(F.lit, "ABCD")), (1 + n % k).cast("int"))
+    rows = results(t).withColumn("v", J.agreement(letter(4), letter(3), F.when(n % 5 > 0, letter(2))))
+    last = J.finished(F.col("confidence"), n % 3 > 0, n % 7 > 2, n % 7 == 0, F.col("v.votes") >= 2)
+    return rounded(rows.select("qid", F.col("v.answer").alias("answer"), F.col("v.votes").alias("votes"), last.alias("confidence")), "confidence")
