@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, edit_fingerprint, html_text, jaccard_join, mixing, packing, quality, suffix_dedup, token_count, url_filter
+from . import ann, edit_fingerprint, html_text, jaccard_join, mixing, packing, prefix_trie, quality, suffix_dedup, token_count, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -69,7 +69,11 @@ def op10_token_count(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op4_ann, op5_jaccard_join, op6_quality, op7_edit_fingerprint, edit_near_texts, op8_suffix_dedup, op9_packing, op10_token_count)}
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op4_ann, op5_jaccard_join, op6_quality, op7_edit_fingerprint, edit_near_texts, op8_suffix_dedup, op9_packing, op10_token_count, op11_prefix_trie)}
 
 SQL1 = r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size, ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT h FROM documents),
@@ -106,5 +110,18 @@ c AS (SELECT s.doc_id, count(*) n_spans, sum(z - a) n_removed, max(z) last, stri
 SELECT d.doc_id, (len(h) // 2)::BIGINT n_bytes, coalesce(n_removed, 0)::BIGINT n_removed, coalesce(n_spans, 0)::BIGINT n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256 FROM d LEFT JOIN c USING (doc_id)
 """
 
+SQL11 = r"""
+WITH t AS (SELECT conv_id c, coalesce(role, '') r, coalesce(text, '') x, turn FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) own FROM t GROUP BY c),
+h AS (SELECT c, own, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda y: ascii(y)::BIGINT), lambda a, b: list_reduce(range(8), lambda q, i: xor(q >> 1, (q & 1) * 3988292384), xor(a, b)), 4294967295::BIGINT), 4294967295) % 6 h FROM k),
+p AS (SELECT a.c, list_concat(list_slice(coalesce(b.own, []), 1, a.h), list_slice(a.own, a.h + 1, len(a.own))) p FROM h a LEFT JOIN k b ON b.c = a.c - a.c % 100),
+m AS (SELECT c, d, len(p) = d ends, CASE WHEN d > 0 THEN length(p[d].x) ELSE 0 END cp, sha256(array_to_string(list_transform(list_slice(p, 1, d), lambda y: length(y.r) || ':' || y.r || length(y.x) || ':' || y.x), '')) key FROM (SELECT c, p, unnest(range(0, len(p) + 1)) d FROM p)),
+n AS (SELECT d, key, min(c) owner, count(*) n, max(cp) cp, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') ids FROM m GROUP BY d, key),
+e AS (SELECT a.d, a.key, count(DISTINCT b.key) k FROM m a JOIN m b ON a.c = b.c AND b.d = a.d + 1 GROUP BY a.d, a.key),
+s AS (SELECT m.d, m.key, sum((n.n - 1) * n.cp) v, count(*) FILTER (e.k IS NULL) l FROM n JOIN m ON m.c = n.owner AND m.d <= n.d LEFT JOIN e ON e.d = n.d AND e.key = n.key GROUP BY m.d, m.key)
+SELECT n.owner conv_id, n.d depth, u.owner parent_conv_id, n.n n_convs, coalesce(e.k, 0)::BIGINT n_children, s.l n_leaves, s.v::BIGINT saved_tokens, sha256(n.ids) ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.key = n.key LEFT JOIN e ON e.d = n.d AND e.key = n.key LEFT JOIN m ON m.c = n.owner AND m.d = n.d - 1 LEFT JOIN n u ON u.d = m.d AND u.key = m.key
+"""
+
 #: The others are not SQL: layout, models, walks, sequences and byte pairs; and the index of op4 is approximate.
-ORACLE_SQL: dict[str, str] = {"op1_mixing": SQL1, "op5_jaccard_join": SQL5, "op8_suffix_dedup": SQL8}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": SQL1, "op5_jaccard_join": SQL5, "op8_suffix_dedup": SQL8, "op11_prefix_trie": SQL11}
