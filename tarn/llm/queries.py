@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, edit_fingerprint, html_text, jaccard_join, mixing, packing, prefix_trie, quality, suffix_dedup, token_count, url_filter
+from . import ann, edit_fingerprint, html_text, jaccard_join, mixing, packing, prefix_trie, quality, suffix_dedup, token_alignment, token_count, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -73,7 +73,11 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op4_ann, op5_jaccard_join, op6_quality, op7_edit_fingerprint, edit_near_texts, op8_suffix_dedup, op9_packing, op10_token_count, op11_prefix_trie)}
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op4_ann, op5_jaccard_join, op6_quality, op7_edit_fingerprint, edit_near_texts, op8_suffix_dedup, op9_packing, op10_token_count, op11_prefix_trie, op12_token_alignment)}
 
 SQL1 = r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size, ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT h FROM documents),
