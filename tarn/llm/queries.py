@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, edit_fingerprint, html_text, jaccard_join, mixing, packing, prefix_trie, quality, suffix_dedup, token_alignment, token_count, url_filter
+from . import ann, edit_fingerprint, exact_dedup, html_text, jaccard_join, mixing, packing, prefix_trie, quality, suffix_dedup, token_alignment, token_count, url_filter
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -77,7 +77,11 @@ def op12_token_alignment(spark, sf_dir):
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op4_ann, op5_jaccard_join, op6_quality, op7_edit_fingerprint, edit_near_texts, op8_suffix_dedup, op9_packing, op10_token_count, op11_prefix_trie, op12_token_alignment)}
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_text, op3_url_filter, op4_ann, op5_jaccard_join, op6_quality, op7_edit_fingerprint, edit_near_texts, op8_suffix_dedup, op9_packing, op10_token_count, op11_prefix_trie, op12_token_alignment, op13_exact_dedup)}
 
 SQL1 = r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size, ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT h FROM documents),
@@ -127,5 +131,11 @@ SELECT n.owner conv_id, n.d depth, u.owner parent_conv_id, n.n n_convs, coalesce
 FROM n JOIN s ON s.d = n.d AND s.key = n.key LEFT JOIN e ON e.d = n.d AND e.key = n.key LEFT JOIN m ON m.c = n.owner AND m.d = n.d - 1 LEFT JOIN n u ON u.d = m.d AND u.key = m.key
 """
 
+SQL13 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') plain FROM documents),
+k AS (SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY chars DESC, doc_id) keep_id, count(*) OVER (PARTITION BY plain) group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(plain) text_sha256 FROM k
+"""
+
 #: The others are not SQL: layout, models, walks, sequences and byte pairs; and the index of op4 is approximate.
-ORACLE_SQL: dict[str, str] = {"op1_mixing": SQL1, "op5_jaccard_join": SQL5, "op8_suffix_dedup": SQL8, "op11_prefix_trie": SQL11}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": SQL1, "op5_jaccard_join": SQL5, "op8_suffix_dedup": SQL8, "op11_prefix_trie": SQL11, "op13_exact_dedup": SQL13}
