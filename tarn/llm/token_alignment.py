@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, sliced, working
 from .token_count import byte_letters, refuse_other_kinds
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: New words that the libraries get at a time.
+AT_ONCE = 4_096
 #: Words that a worker keeps from earlier batches, about (twice as many at most, and those of one batch).
-CACHED = 100_000
+CACHED = 60_000
 SALTS = 16
 MARKS = ".,!?;:"
 #: Before a single space or line end between other characters both sides start a token.
@@ -99,32 +101,30 @@ class Aligner:
         flat_a = np.array([x for i in at for x in ids_a[i]], np.int64)
         flat_b = np.array([x for i in at for x in ids_b[i]], np.int64)
         ga, gb, la, lb = links(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
-        pairs, upto = flat_a[la] * self.width + flat_b[lb], 0
-        stops = np.searchsorted(la, np.cumsum([len(ids_a[i]) for i in at]), "left").tolist()
-        data, ga, gb, pa_, pb, before = pairs.tobytes(), ga.tolist(), gb.tolist(), 0, 0, 0
-        for i, stop in zip(at, stops, strict=True):
-            a, b = list(map(str, ids_a[i])), list(map(str, ids_b[i]))
-            here_a, here_b, x, y = ga[pa_ : pa_ + len(a)], gb[pb : pb + len(b)], 0, 0
-            texts = []
-            for g in range(here_a[0], here_a[-1] + 1):
-                p, q = x, y
-                while x < len(a) and here_a[x] == g:
-                    x += 1
-                while y < len(b) and here_b[y] == g:
-                    y += 1
-                texts.append(",".join(a[p:x]) + "|" + ",".join(b[q:y]))
-            out[i] = (len(a), len(b), len(texts), data[8 * before : 8 * stop], ";".join(texts))
-            pa_, pb, before = pa_ + len(a), pb + len(b), stop
+        n_a, n_b = (np.array([len(ids[i]) for i in at], np.int64) for ids in (ids_a, ids_b))
+        pairs = (flat_a[la] * self.width + flat_b[lb]).tobytes()
+        every = np.arange(ga[-1] + 2 if len(ga) else 1)
+        from_a, from_b = np.searchsorted(ga, every).tolist(), np.searchsorted(gb, every).tolist()  # where groups begin
+        a, b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        groups = [f"{a[p]}|{b[r]}" if q - p == 1 == t - r else f"{','.join(a[p:q])}|{','.join(b[r:t])}" for p, q, r, t in zip(from_a, from_a[1:], from_b, from_b[1:], strict=False)]
+        ends = np.cumsum(n_a)
+        stops, lasts = (8 * np.searchsorted(la, ends, "left")).tolist(), (ga[ends - 1] + 1).tolist() if len(at) else []
+        before, first = 0, 0
+        for i, x, y, stop, last in zip(at, n_a.tolist(), n_b.tolist(), stops, lasts, strict=True):
+            out[i] = (x, y, last - first, pairs[before:stop], ";".join(groups[first:last]))
+            before, first = stop, last
         return out
 
     def learn(self, keys: list) -> None:
-        parts = [k[0] if isinstance(k, tuple) else k if k[0] == "\n" else " " + k for k in keys]
-        ids = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
-        ids = [x if p[0] == " " else x[x[:1] == [self.blank] :] for p, x in zip(parts, ids, strict=True)]
-        for k, e in zip(keys, self.aligned(parts, ids), strict=True):
-            self.known[k] = e
-            if e is None:
-                self.bad.add(k)
+        for at in range(0, len(keys), AT_ONCE):
+            some = keys[at : at + AT_ONCE]
+            parts = [k[0] if isinstance(k, tuple) else k if k[0] == "\n" else " " + k for k in some]
+            ids = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
+            ids = [x if p[0] == " " else x[x[:1] == [self.blank] :] for p, x in zip(parts, ids, strict=True)]
+            for k, e in zip(some, self.aligned(parts, ids), strict=True):
+                self.known[k] = e
+                if e is None:
+                    self.bad.add(k)
 
     def texts(self, texts: list[str | None]) -> list[list[tuple]]:
         """Per text the alignments of its parts in order; none if it is null, empty or its bytes differ."""
