@@ -29,7 +29,7 @@ BATCH_BYTES = 4 << 20
 #: New words that the libraries get at a time.
 AT_ONCE = 4_096
 #: Words that a worker keeps from earlier batches, about (twice as many at most, and those of one batch).
-CACHED = 60_000
+CACHED = 120_000
 SALTS = 16
 MARKS = ".,!?;:"
 #: Before a single space or line end between other characters both sides start a token.
