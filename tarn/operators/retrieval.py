@@ -1,7 +1,7 @@
 """Index statistics and ranked retrieval for many queries at once: BM25, exact inner products, sparse cosines.
 
-A query is a row, never a call. Documents are read once per index; only the tokens that some query asks for
-are exploded, and texts stay out of every shuffle.
+A query is a row, never a call. A plan reads the documents and cuts them into tokens once; the tokens are dealt by
+document, so that scores are added up where the document is and only pairs of query and document go on.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
 from ..functions.text import dot, tokens
 
 K1, B = 1.5, 0.75
+#: Terms of queries that are broadcast at most (tens of MB); more are joined by shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -26,43 +27,48 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln((n - df + 0.5) / (df + 0.5) + 1)
 
 
+def listed(df: DataFrame, array: Column, name: str, *keep) -> DataFrame:
+    """A row for each element of an array. The plain explode lets the planner filter by the array first, which works
+    the array out twice, and keeps equal exchanges below it from being one."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def term_idf(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """term, df, idf for every term. Each document sends a term once, so the shuffle is of distinct terms."""
-    terms = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    terms = listed(docs, F.array_distinct(tokens(F.col(text))), "term")
     return terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # one row
 
 
-def query_terms(queries: DataFrame, id_: str, text: str) -> DataFrame:
-    """qid, term, times: how often a query names a term."""
-    return queries.select(F.col(id_).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """The side of the queries for a join with the corpus: broadcast up to a bound, else merged. Left to its estimates
+    the planner may take the corpus side for the smaller one."""
+    return F.broadcast(df) if rows <= BROADCAST_TERMS else df.hint("merge")
 
 
-#: Stands for the document itself among its terms; no token is empty.
-WHOLE = ""
+def query_terms(queries: DataFrame, id_: str, text: str) -> DataFrame:
+    """qid, term, times: how often a query names a term."""
+    return listed(queries, tokens(F.col(text)), "term", F.col(id_).alias("qid")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25_postings(docs: DataFrame, terms: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, dl, term, tf of the terms asked for, and one row of term WHOLE for every document. The corpus is read
-    and cut into tokens once; what is kept are the postings of these terms."""
-    known = tokens(F.col(text))
-    held = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(known, F.array().cast("array<string>")).alias("known"))
-    held = held.select("doc_id", F.size("known").alias("dl"), F.explode(F.concat(F.array(F.lit(WHOLE)), "known")).alias("term"))
-    wanted = terms.select("term").distinct()
-    asked = wanted.unionByName(wanted.sparkSession.sql(f"SELECT '{WHOLE}' term"))
-    return cut(held.join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, known: the tokens of every document, dealt by id. All that is counted per document starts here, so one
+    plan cuts the corpus into tokens once (the exchange is reused) and what is added up by document and query is
+    added up where the document is."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("known")).repartition("doc_id")
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "item_id", query_text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """qid, doc_id, score for every pair that shares a term; a query's term counts as often as it names it."""
     asked = query_terms(queries, query_id, query_text)
-    postings = bm25_postings(docs, asked, doc_id=doc_id, text=text)
-    whole = F.col("term") == WHOLE
-    stats = postings.where(whole).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.where(~whole).groupBy("term").agg(F.count("*").alias("df"))
+    n_asked = asked.count()
+    held, wanted = tokenised(docs, doc_id, text), sized(asked.select("term").distinct(), n_asked)
+    stats = held.agg(F.count("*").alias("n"), F.avg(F.size("known")).alias("avgdl"))
+    df = listed(held, F.array_distinct("known"), "term").join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     weighted = weighted.select("qid", "term", "times", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    postings = listed(held, F.col("known"), "term", "doc_id", F.size("known").alias("dl")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return postings.join(weighted, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+    return postings.join(sized(weighted, n_asked), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, *, by: str = "score", ties: str = "doc_id", query: str = "qid") -> DataFrame:
@@ -103,7 +109,8 @@ def bucket(term: Column, dim: int) -> Column:
 
 def hashed_vectors(df: DataFrame, id_: str, text: str, dim: int) -> DataFrame:
     """id, bucket, w: term counts in dim hash buckets, of unit length. The default embedding without a model."""
-    counts = df.select(F.col(id_).alias("id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("id", bucket(F.col("term"), dim).alias("bucket")).agg(F.count("*").alias("w"))
+    terms = listed(tokenised(df, id_, text), F.col("known"), "term", F.col("doc_id").alias("id")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    counts = terms.groupBy("id", bucket(F.col("term"), dim).alias("bucket")).agg(F.sum("n").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
     return counts.select("id", "bucket", (F.col("w") / norm).alias("w"))
 
@@ -112,7 +119,7 @@ def hashed_cosine(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id"
     """qid, doc_id, score: cosine of hashed term vectors, for pairs that share a bucket."""
     q = hashed_vectors(queries, query_id, query_text, dim).select(F.col("id").alias("qid"), "bucket", F.col("w").alias("qw"))
     d = hashed_vectors(docs, doc_id, text, dim).select(F.col("id").alias("doc_id"), "bucket", "w")
-    return d.join(q, "bucket").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    return d.join(sized(q, q.count()), "bucket").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
 def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
@@ -123,7 +130,7 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
     best = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]
     keyed = passages.select("pid", "passage", best.alias("term"))
-    terms = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("term"))
+    terms = listed(docs, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), "term", "doc_id")
     met = terms.join(keyed.select("pid", "term"), "term").select("doc_id", "pid")
     met = met.join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("pid", "passage"), "pid").where(F.contains("text", "passage")).select("pid", "doc_id")
     short = keyed.where("term is null").select("pid", "passage")
