@@ -6,9 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
+from ..functions.lineage import cut
+from ..operators import lexicon_join as X
 from ..operators import option_match as O
-from .cases import _list, _text, pick
-from .catalog import CAND, LABELS, candidates, query, rounded
+from ..operators import semantic_match as S
+from .cases import CASES, _list, _text, cases, pick
+from .catalog import CAND, DIM, HASH, LABELS, TOK, candidates, query, rounded
 
 LINES = (
     "Treatment: give ceftriaxone 1 g daily as first therapy.", "Gentamicin is contraindicated in renal failure.\nAspirin 75 mg daily may be given.", "Background on magnesium sulfate; the risk of bleeding is low.",
@@ -88,3 +92,127 @@ def option_evidence_pieces(t):
     yes = F.col("supports")
     out = O.matches(passages_and_options(t)).groupBy("qid", "label").agg(F.count_if(yes).alias("n"), F.count_if(~yes).alias("n_against"), F.sum(F.when(yes, F.col("score"))).alias("total"), F.max(F.when(yes, F.col("score"))).alias("best"))
     return rounded(out, "total", "best")
+
+
+# ---- terms by name, synonym or likeness ----
+
+SENSE_LINES = (
+    "Severe discomfort now. Keep resting well. Angina was seen.", "Sample collection done. Acetaminophen is indicated.", "General overview. Zithromax dose as usual. Surgical team ready.",
+    "Temperature is elevated. Tissue was sent. The risk is low.", "Avoid flagyl. Human touch. Shortness is noted!", "No change at all.",
+)
+SENSE_OPTIONS = ("Give asa 75 mg for chest discomfort", "Azithromycin 500 mg daily and specimen collection", "Tylenol for elevated temperature, 3 days", "An operation or surgical procedure", "Human insulin 10 times, precordial pain", "Metronidazole with shortness of breath", "Rest only")
+
+
+def sense(t):
+    """Passages and options; the corpus is ranked once, as both and all that follows start from what is written here."""
+    ranked = cut(candidates(t).where("rk <= 5").select("qid", "doc_id", "content")).withColumn("place", F.col("qid") + F.col("doc_id"))
+    passages = ranked.select("qid", "doc_id", F.concat_ws(" ", pick(SENSE_LINES, "place"), "content").alias("content"))
+    rows = ranked.select("qid").distinct().select("qid", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).withColumn("place", F.col("qid") + F.col("i"))
+    return passages, rows.select("qid", F.element_at(F.array(*map(F.lit, LABELS)), F.col("i") + 1).alias("label"), pick(SENSE_OPTIONS, "place").alias("option"))
+
+
+def _terms(x):
+    named = ", ".join(f"list_filter({_list(names)}, lambda w: contains({x}, w))[1]" for names in S.GROUPS.values())
+    units = ", ".join(f"regexp_extract_all({x}, '{p}', 1)" for p in S.UNITS)
+    return f"list_distinct(list_filter(list_concat([{named}], {units}), lambda w: w IS NOT NULL))"
+
+
+def _synonym(term, text):
+    return "coalesce(" + ", ".join(f"CASE WHEN contains({term}, '{head}') THEN list_filter({_list(names)}, lambda w: contains({text}, w))[1] END" for head, names in S.GROUPS.items()) + ")"
+
+
+def _context(low, found):
+    start = f"greatest(1, strpos({low}, {found}) - 200)"
+    window = f"substr({low}, {start}, strpos({low}, {found}) + length({found}) + 200 - {start})"
+    return f"CASE WHEN strpos({low}, {found}) = 0 THEN 'unknown' " + " ".join(f"WHEN {_any(window, words)} THEN '{name}'" for name, words in S.CONTEXTS.items()) + " ELSE 'general' END"
+
+
+def _location(low, found):
+    at = f"(strpos({low}, {found}) - 1)"
+    return f"CASE WHEN {at} < 0 THEN 'unknown' WHEN {at} < length({low}) * 0.2::DOUBLE THEN 'beginning' WHEN {at} < length({low}) * 0.6::DOUBLE THEN 'middle' ELSE 'end' END"
+
+
+def _unit(name, keys, source):
+    """Vectors of unit length, as the hashed vectors of the catalog."""
+    return f"{name} AS (SELECT {keys}, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY {keys})) w FROM (SELECT {keys}, {HASH} bucket, count(*)::DOUBLE w FROM (SELECT {keys}, unnest({TOK('text')}) term FROM {source}) GROUP BY ALL))"
+
+
+SENSE = f"""{CAND},
+sp AS (SELECT qid, doc_id, concat_ws(' ', ({_list(SENSE_LINES)})[1 + (qid + doc_id) % {len(SENSE_LINES)}], content) content FROM cand WHERE rk <= 5),
+so AS (SELECT qid, (['A', 'B', 'C', 'D'])[i + 1] AS label, ({_list(SENSE_OPTIONS)})[1 + (qid + i) % {len(SENSE_OPTIONS)}] AS option FROM (SELECT DISTINCT qid FROM cand), range(4) r(i)),
+st AS (SELECT qid, label, unnest({_terms('lower(option)')}) term FROM so),
+sn AS (SELECT qid, doc_id, content, lower(content) low, term, CASE WHEN contains(lower(content), term) THEN term ELSE {_synonym('term', 'lower(content)')} END named FROM sp JOIN (SELECT DISTINCT qid, term FROM st) USING (qid)),
+s1 AS (SELECT qid, doc_id, term, named matched, CASE WHEN named = term THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END similarity, {_context('low', 'named')} context, {_location('low', 'named')} AS location FROM sn WHERE named IS NOT NULL),
+sx AS (SELECT * FROM (SELECT qid, doc_id, low, unnest(range(len(k))) i, unnest(k) AS text FROM (SELECT qid, doc_id, lower(content) low, list_filter(list_transform(string_split_regex(content, '[.!?]\\s+'), lambda x: trim(x)), lambda x: length(x) > 10) k FROM sp))),
+ss AS (SELECT DISTINCT term AS text, term FROM sn WHERE named IS NULL), {_unit('sv', 'qid, doc_id, i', 'sx')}, {_unit('tv', 'text', 'ss')},
+sc AS (SELECT o.qid, o.doc_id, o.term, sv.i, sum(sv.w * tv.w) similarity FROM sn o JOIN tv ON tv.text = o.term JOIN sv ON sv.qid = o.qid AND sv.doc_id = o.doc_id AND sv.bucket = tv.bucket WHERE o.named IS NULL GROUP BY ALL HAVING round(sum(sv.w * tv.w), 9) >= 0.25),
+s2 AS (SELECT sc.qid, sc.doc_id, term, substr(x.text, 1, 100) matched, similarity, {_context('x.low', 'lower(x.text)')} context, {_location('x.low', 'lower(x.text)')} AS location FROM sc JOIN sx x USING (qid, doc_id, i)),
+sm AS (SELECT qid, label, doc_id, term, matched, similarity, context, location FROM st JOIN (SELECT * FROM s1 UNION ALL SELECT * FROM s2) USING (qid, term))"""
+
+
+@query(f"WITH {SENSE} SELECT qid, label, doc_id, term, matched, round(similarity, 6) similarity, context, location FROM sm")
+def semantic_term_matches(t):
+    """Names, synonyms and like sentences; the threshold is the one that is used when nothing else is found."""
+    return rounded(S.semantic_matches(*sense(t), 0.30, dim=DIM), "similarity")
+
+
+WEIGHED = "similarity * CASE context " + " ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in S.CONTEXT_WEIGHTS.items()) + " ELSE 1.0::DOUBLE END * CASE WHEN similarity >= 0.95 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN location IN ('beginning', 'middle') THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+@query(f"WITH {SENSE} SELECT qid, label, count(*) n_matches, count(DISTINCT doc_id) n_docs, round(least(1.0::DOUBLE, avg({WEIGHED}) * CASE WHEN count(DISTINCT doc_id) > 1 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END), 6) score FROM sm GROUP BY qid, label")
+def multi_document_evidence(t):
+    return rounded(S.over_documents(S.semantic_matches(*sense(t), 0.30, dim=DIM)), "score")
+
+
+@query(f"WITH {SENSE}, mt AS (SELECT DISTINCT qid, term FROM st WHERE length(term) > 4), mh AS (SELECT DISTINCT qid, term FROM mt JOIN sp USING (qid) WHERE list_contains({_terms('lower(content)')}, term) OR {_synonym('term', 'lower(content)')} IS NOT NULL), ml AS (SELECT qid, list_sort(list(term)) k FROM mt ANTI JOIN mh USING (qid, term) GROUP BY qid) SELECT qid, coalesce(array_to_string(list_slice(k, 1, 3), ';'), '') missing FROM (SELECT DISTINCT qid FROM cand) LEFT JOIN ml USING (qid)")
+def missing_concepts(t):
+    """Concepts of all options of a question that none of its passages names."""
+    passages, options = sense(t)
+    return S.missing_concepts(options.select("qid", F.col("option").alias("text")), passages).select("qid", F.array_join("missing", ";").alias("missing"))
+
+
+# ---- lexicons as tables ----
+
+#: The groups that the catalog has as tables; a caller brings its own from files (sources.readers).
+ENTRIES = [(term.lower(), name) for name, terms in (L.SYNONYMS | L.EXPANSIONS | S.GROUPS).items() for term in terms]
+LEXICON = f"lx AS (SELECT term, grp, min(place) place FROM (VALUES {', '.join(f'({_text(t)}, {_text(g)}, {i})' for i, (t, g) in enumerate(ENTRIES))}) v(term, grp, place) GROUP BY term, grp)"
+
+
+def lexicon(t):
+    session = t("documents").sparkSession
+    rows = ", ".join(f"({_text(w)}, {_text(g)}, {i})" for i, (w, g) in enumerate((x.replace("'", "\\'"), y) for x, y in ENTRIES))
+    return session.sql(f"SELECT * FROM VALUES {rows} AS v(term, grp, place)")
+
+
+def remarked(t):
+    return cases(t).select(F.col("qid").alias("id"), F.concat_ws(" ", "case_text", "answer").alias("text"))
+
+
+WORD = "'[\\p{L}\\p{N}_]'"
+OPEN = f"(p[i] = '' AND i = 1 OR p[i] <> '' AND NOT regexp_matches(right(p[i], 1), {WORD})) AND (p[i + 1] = '' AND i + 1 = len(p) OR p[i + 1] <> '' AND NOT regexp_matches(left(p[i + 1], 1), {WORD}))"
+TEXTS = f"{CASES}, tx AS (SELECT qid id, concat_ws(' ', case_text, answer) AS text, lower(concat_ws(' ', case_text, answer)) low FROM cs), {LEXICON}"
+FOUND = f"{TEXTS}, fd AS (SELECT id, term, grp, place FROM tx JOIN lx ON contains(low, term))"
+
+
+@query(f"WITH {FOUND} SELECT id, grp, arg_min(term, place) term, count(DISTINCT term) n FROM fd GROUP BY id, grp")
+def lexicon_groups(t):
+    """Groups with a term anywhere in a case, and the first such term."""
+    return X.first_of_groups(X.contained_terms(remarked(t), lexicon(t)))
+
+
+@query(f"WITH {TEXTS}, pt AS (SELECT id, term, grp, string_split(low, term) p FROM tx JOIN lx ON contains(low, term)) SELECT id, term, grp FROM pt WHERE len(list_filter(range(1, len(p)), lambda i: {OPEN})) > 0")
+def lexicon_bounded_terms(t):
+    return X.bounded_terms(remarked(t), lexicon(t)).select("id", "term", "grp")
+
+
+@query(f"WITH {TEXTS}, tk AS (SELECT id, regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+') k FROM tx), lr AS (SELECT term, grp, regexp_extract_all(term, '[\\p{{L}}\\p{{N}}_]+') r FROM lx), tp AS (SELECT id, k, unnest(range(len(k))) AS i FROM tk) SELECT id, i token, term, grp FROM tp JOIN lr ON k[i + 1] = r[1] AND list_slice(k, i + 1, i + len(r)) = r")
+def lexicon_token_runs(t):
+    return X.token_runs(remarked(t), lexicon(t)).select("id", F.col("at").alias("token"), "term", "grp")
+
+
+@query(f"WITH {FOUND}, hd AS (SELECT id, grp, list(DISTINCT term) own, min(place) first FROM fd GROUP BY id, grp), mo AS (SELECT id, first, grp, term, row_number() OVER (PARTITION BY id, grp ORDER BY lx.place, term) k FROM hd JOIN lx USING (grp) WHERE NOT list_contains(own, term)), ad AS (SELECT id, string_agg(term, ' ' ORDER BY first, grp, k) extra FROM mo WHERE k <= 3 GROUP BY id) SELECT id, md5(concat_ws(' ', text, extra)) text_md5, length(concat_ws(' ', text, extra)) n FROM tx LEFT JOIN ad USING (id)")
+def lexicon_injection(t):
+    """Cases with synonyms of what they name added."""
+    texts = remarked(t)
+    out = X.injected(texts, lexicon(t), X.contained_terms(texts, lexicon(t)))
+    return out.select("id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"))

@@ -128,3 +128,41 @@ def test_sentences_and_tokens(spark):
     assert one(spark, T.scenario_hash(F.col("t")), t="Age  45\nX") == one(spark, T.scenario_hash(F.col("t")), t="age 9 x")
     assert one(spark, T.excerpt(F.lit("needle"), F.col("t"), 20), t="a" * 50 + "needle" + "b" * 50).startswith("...a")
     assert one(spark, T.bounded(F.col("t"), ("the", "then")), t="then the other") == ["the", "then"]
+
+
+def test_similarity_join_loses_no_pair_and_tries_few(spark):
+    """All pairs over the threshold by brute force, with fewer tried than share a dimension."""
+    import math
+    import random
+
+    from tarn.operators import semantic_match as S
+
+    rng = random.Random(3)
+    side = lambda n, most: {i: {b: rng.random() for b in rng.sample(range(40), rng.randint(1, most))} for i in range(n)}
+    unit = lambda rows: {i: {b: w / math.sqrt(sum(x * x for x in v.values())) for b, w in v.items()} for i, v in rows.items()}
+    a, b = unit(side(60, 4)), unit(side(200, 12))
+    frame = lambda rows, k: spark.createDataFrame([(1 if i % 3 else 2, i, d, w) for i, v in rows.items() for d, w in v.items()], f"qid long, {k} long, bucket long, w double")
+    fa, fb = frame(a, "x"), frame(b, "y")
+    group = lambda i: 1 if i % 3 else 2
+    cos = {(x, y): sum(w * b[y].get(d, 0) for d, w in a[x].items()) for x in a for y in b if group(x) == group(y)}
+    for least in (0.25, 0.6, 0.9):
+        got = {(r.x, r.y): r.similarity for r in S.near(fa, fb, ["qid", "x"], ["qid", "y"], least).collect()}
+        want = {k: v for k, v in cos.items() if round(v, 9) >= least}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        tried = S.near_candidates(fa, fb, ["qid", "x"], ["qid", "y"], least).count()
+        assert len(want) <= tried < sum(v > 0 for v in cos.values())
+
+
+def test_matches_of_nulls_and_empties(spark):
+    from tarn.operators import option_match as O
+    from tarn.operators import semantic_match as S
+
+    passages = spark.createDataFrame([(1, 1, None), (1, 2, ""), (1, 3, "Treatment: aspirin 75 mg daily.\nAvoid it.")], "qid long, doc_id long, content string")
+    options = spark.createDataFrame([(1, "A", None), (1, "B", ""), (1, "C", "Aspirin 75 mg orally")], "qid long, label string, option string")
+    found = {(r.label, r.doc_id, r.term, r.similarity) for r in S.semantic_matches(passages, options, 0.6).collect()}
+    assert found == {("C", 3, "aspirin", 1.0), ("C", 3, "mg", 1.0)}
+    pairs = O.prepared(passages).join(options, "qid").selectExpr("*", "true as initial")
+    got = {(r.label, r.doc_id): r for r in O.pair_tiers(pairs).collect()}
+    assert len(got) == 9 and got["C", 3].tier == "drug" and got["C", 3].tier_score == 0.99 and got["C", 3].context == 1.3
+    assert got["C", 2].tier is None and got["B", 2].tier == "exact" and not got["A", 1].against
+    assert O.matches(pairs.limit(0)).count() == 0

@@ -214,3 +214,32 @@ def test_wrapped_paragraphs_are_whole(spark):
     got = segmentation.paragraph_scores(spark.createDataFrame([(1, text)], "doc_id long, text string"), ("fever", "cough")).orderBy("pos").collect()
     assert [(r.pos, r.paragraph, r.score) for r in got] == [(0, "First line about Fever\nand its wrapped end with cough.", 2), (1, "Nothing here.", 0), (2, "Cough\nalone.", 1)]
     assert (got[1].before, got[1].after) == (got[0].paragraph, got[2].paragraph)
+
+
+def test_lexicon_joins_by_brute_force(spark):
+    """Three kinds of match, with terms of one and two characters, marks inside, repeats, nulls and empties."""
+    import re
+
+    from tarn.operators import lexicon_join as X
+
+    texts = [(1, "St-elevation MI, then heart  attack; heart attack again"), (2, "mi amigo: pneumonia?"), (3, None), (4, ""), (5, "é heart_attack x"), (6, "Heart attack"), (7, "a.b a b")]
+    terms = [("heart attack", "h", 0), ("attack", "h", 1), ("MI", "m", 2), ("st-elevation mi", "m", 3), ("x", "s", 4), ("", "s", 5), ("a b", "s", 6), ("heart attack", "h", 7), ("é", "e", 8), ("on", "e", 9)]
+    df, lexicon = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(terms, "term string, grp string, place long")
+    words = sorted({(t.lower(), g) for t, g, _ in terms if t})
+    low = {i: t.lower() for i, t in texts if t}
+    got = lambda found: sorted((r.id, r.term, r.grp) for r in found.collect())
+    assert got(X.contained_terms(df, lexicon)) == sorted((i, w, g) for i, t in low.items() for w, g in words if w in t)
+    assert got(X.bounded_terms(df, lexicon)) == sorted((i, w, g) for i, t in low.items() for w, g in words if re.search(rf"\b{re.escape(w)}\b", t))
+    runs = []
+    for i, t in low.items():
+        k = re.findall(r"\w+", t)
+        for w, g in words:
+            r = re.findall(r"\w+", w)
+            runs += [(i, at, w, g) for at in range(len(k)) if k[at : at + len(r)] == r]
+    assert sorted((r.id, r.at, r.term, r.grp) for r in X.token_runs(df, lexicon).collect()) == sorted(runs)
+    found = X.contained_terms(df, lexicon)
+    first = {(r.id, r.grp): (r.term, r.n) for r in X.first_of_groups(found).collect()}
+    assert first[1, "h"] == ("heart attack", 2) and first[6, "h"] == ("heart attack", 2) and first[2, "m"] == ("mi", 1)
+    more = {r.id: r.text for r in X.injected(df, lexicon, found).collect()}
+    assert more[2].endswith(" st-elevation mi é") and more[4] == "" and len(more) == 7
+    assert X.contained_terms(df, lexicon.limit(0)).count() == X.token_runs(df, lexicon.limit(0)).count() == 0
