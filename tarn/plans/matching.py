@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.lineage import cut
 from ..operators import lexicon_join as X
+from ..operators import normalise as N
 from ..operators import option_match as O
 from ..operators import semantic_match as S
 from .cases import CASES, _list, _text, cases, pick
@@ -216,3 +217,33 @@ def lexicon_injection(t):
     texts = remarked(t)
     out = X.injected(texts, lexicon(t), X.contained_terms(texts, lexicon(t)))
     return out.select("id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"))
+
+
+# ---- terminology ----
+
+NOTES = ("Newborn with sob, temp 39 c and 5mg IV stat.", "Pregnant, 2nd trimester; BP 90 mmHg, HR 120bpm, ECG normal.", "Chest pain, ECG: stemi? 250 ml over 2 h, 70kg.", "Cardiac arrest, emergency; glucose 220 mg/dL, 3 l.", "Child with fever, uti. No change.", "Nothing to add.")
+#: Some synonyms as a file of them would give; the abbreviations are those of the queries.
+ADDED = {"chest pain": ["angina", "chest discomfort", "precordial pain"], "fever": ["pyrexia", "febrile"], "glucose": ["blood sugar"]}
+
+
+def _normalised():
+    """The passes in the other dialect, which has no look-around. Abbreviations are words that no meaning holds, so one
+    pass over the words is the fold; a number is a word, so the mark behind a unit is never needed by the next match."""
+    cases_ = " ".join(f"WHEN '{k}' THEN '{k} {v}'" for k, v in L.ABBREVIATIONS.items())
+    x = f"array_to_string(list_transform(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda w: CASE w {cases_} ELSE w END), '')"
+    added = lambda x, table: f"replace({x}, '{table[0]}', '{' '.join([table[0], *table[1][:2]])}')"
+    for row in ADDED.items():
+        x = added(x, row)
+    for unit, name in N.UNITS.items():
+        x = f"regexp_replace({x}, '([0-9]+)\\s*{unit}($|[^\\p{{L}}\\p{{N}}_])', '\\1 {name}\\2', 'g')"
+    for row in N.SPECIALTY.items():
+        x = added(x, row)
+    return x
+
+
+@query(f"WITH nt AS (SELECT conv_id, turn, lower(concat_ws(' ', text, ({_list(NOTES)})[1 + (conv_id + turn) % {len(NOTES)}])) low FROM conversations) SELECT conv_id, turn, md5({_normalised()}) text_md5 FROM nt")
+def normalised_notes(t):
+    """Turns with a note added, after the four passes."""
+    rows = t("conversations").withColumn("place", F.col("conv_id") + F.col("turn"))
+    text = F.concat_ws(" ", "text", pick(NOTES, "place"))
+    return rows.select("conv_id", "turn", F.md5(N.normalised(text, L.ABBREVIATIONS, ADDED)).alias("text_md5"))

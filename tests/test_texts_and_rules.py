@@ -243,3 +243,27 @@ def test_lexicon_joins_by_brute_force(spark):
     more = {r.id: r.text for r in X.injected(df, lexicon, found).collect()}
     assert more[2].endswith(" st-elevation mi é") and more[4] == "" and len(more) == 7
     assert X.contained_terms(df, lexicon.limit(0)).count() == X.token_runs(df, lexicon.limit(0)).count() == 0
+
+
+def test_terminology_by_plain_folds(spark):
+    import re
+
+    from tarn.functions import lexicon as L
+    from tarn.operators import normalise as N
+
+    added = {"fever": ["pyrexia", "febrile", "hot"], "pyrexia": ["burning"]}
+
+    def fold(text):
+        text = text.lower()
+        for k, v in L.ABBREVIATIONS.items():
+            text = re.sub(r"\b" + re.escape(k) + r"\b", f"{k} {v}", text)
+        for table in (added, N.UNITS, N.SPECIALTY):
+            for k, v in table.items():
+                text = re.sub(r"(\d+)\s*" + re.escape(k) + r"\b", r"\1 " + v, text) if table is N.UNITS else text.replace(k, " ".join([k, *v[:2]]))
+        return text
+
+    assert not any(k in re.findall(r"\w+", v) for k in L.ABBREVIATIONS for j, v in L.ABBREVIATIONS.items() if j != k)
+    texts = ["MI with fever 39C, 5mg/dl and 5 mg IV; 70kg, 3 l", "émi mi_x mi.", "newborn child in shock: emergency labor", "", "3 mmol/l 4mmol/L 5 mcg 6μg 7 grams", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(N.normalised(df.t, L.ABBREVIATIONS, added)).collect()]
+    assert got == [t if t is None else fold(t) for t in texts]
