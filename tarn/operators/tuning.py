@@ -41,10 +41,46 @@ def swept_metrics(ranked: DataFrame, relevant: DataFrame, queries: int, k: int =
     return out.withColumn("objective", f1 + 0.3 * F.col("mrr"))
 
 
-def objective(precision, recall, errors, kind: str = "balanced"):
-    """precision, recall, f1, or .4 precision + .4 recall + .2 F1 - .05 errors."""
+def within(settings: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """Settings that lie within the least and most values given; None leaves an end open."""
+    for name, (least, most) in bounds.items():
+        if least is not None:
+            settings = settings.where(F.col(name) >= least)
+        if most is not None:
+            settings = settings.where(F.col(name) <= most)
+    return settings
+
+
+def validated(ranked: DataFrame, relevant: DataFrame, queries: int, k: int = 5) -> DataFrame:
+    """config, precision and recall at k, map, errors of ranked rows (config, qid, rk, doc_id), over all queries.
+
+    map adds 1 / rank of all relevant documents that are ranked, by their number; errors are queries that have
+    relevant documents, none of which is ranked.
+    """
+    n = relevant.groupBy("qid").agg(F.count("*").alias("n_rel"))
+    hits = ranked.join(relevant.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi").join(n, "qid")
+    each = hits.groupBy("config", "qid").agg(F.count_if(F.col("rk") <= k).alias("near"), F.max("n_rel").alias("n_rel"), F.sum(1 / F.col("rk")).alias("gain"))
+    sums = each.groupBy("config").agg((F.sum("near") / k).alias("p"), F.sum(F.col("near") / F.col("n_rel")).alias("r"), F.sum(F.col("gain") / F.col("n_rel")).alias("m"), F.count("*").alias("met"))
+    every = ranked.select("config").distinct().join(sums, "config", "left").crossJoin(F.broadcast(n.agg(F.count("*").alias("asked"))))  # one row
+    mean = lambda c: F.coalesce(F.col(c) / queries, F.lit(0.0))
+    return every.select("config", mean("p").alias("precision"), mean("r").alias("recall"), mean("m").alias("map"), (F.col("asked") - F.coalesce("met", F.lit(0))).alias("errors"))
+
+
+def objective(precision, recall, mean_ap, errors, kind: str = "balanced"):
+    """precision, recall, f1, or .4 precision + .4 recall + .2 MAP - .05 errors."""
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    return {"precision": precision, "recall": recall, "f1": f1}.get(kind, 0.4 * precision + 0.4 * recall + 0.2 * f1 - 0.05 * errors)
+    return {"precision": precision, "recall": recall, "f1": f1}.get(kind, 0.4 * precision + 0.4 * recall + 0.2 * mean_ap - 0.05 * errors)
+
+
+KINDS = ("precision", "recall", "f1", "balanced")
+
+
+def optimised(metrics: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """kind, config, score, best: every setting under every objective; the best is the first of those with most."""
+    scores = F.array(*(F.struct(F.lit(k).alias("kind"), objective(*(F.col(c) for c in ("precision", "recall", "map", "errors")), k).alias("score")) for k in kinds))
+    rows = metrics.select("config", F.inline(scores))
+    first = F.row_number().over(W.partitionBy("kind").orderBy(F.round("score", 9).desc(), "config"))  # settings are as many as the caller lists
+    return rows.select("kind", "config", "score", (first == 1).alias("best"))
 
 
 def swept_stages(pairs: DataFrame, triples: tuple[tuple[float, float, float], ...], k: int, thresholds: tuple[float, ...] = (0.0,)) -> DataFrame:

@@ -624,6 +624,23 @@ def tune_hybrid_weights(t):
     return rounded(out, "precision", "recall", "mrr", "objective")
 
 
+OPTIMISED = (
+    f"WITH {OUTER}, {REL}, {GRID_SQL}, gb AS (SELECT * FROM gr WHERE wa >= 0.4 AND wb <= 0.6), ow AS (SELECT * FROM (SELECT config, qid, doc_id, row_number() OVER (PARTITION BY config, qid ORDER BY round(wa * sa + wb * sc, 9) DESC, doc_id) rk FROM o, gb) WHERE rk <= 10), "
+    "n AS (SELECT qid, count(*) n_rel FROM rel GROUP BY qid), oe AS (SELECT config, qid, count(*) FILTER (rk <= 5) near, max(n_rel) n_rel, sum(1.0::DOUBLE / rk) gain FROM ow JOIN rel USING (qid, doc_id) JOIN n USING (qid) GROUP BY ALL), "
+    "om AS (SELECT config, coalesce(sum(near) / 5.0::DOUBLE, 0) / (SELECT count(*) FROM benchmark) p, coalesce(sum(near::DOUBLE / n_rel), 0) / (SELECT count(*) FROM benchmark) r, coalesce(sum(gain / n_rel), 0) / (SELECT count(*) FROM benchmark) m, (SELECT count(*) FROM n) - count(oe.qid) e FROM (SELECT DISTINCT config FROM ow) LEFT JOIN oe USING (config) GROUP BY config), "
+    "os AS (SELECT config, unnest([struct_pack(kind := 'precision', score := p), struct_pack(kind := 'recall', score := r), struct_pack(kind := 'f1', score := coalesce(2 * p * r / nullif(p + r, 0), 0)), struct_pack(kind := 'balanced', score := 0.4::DOUBLE * p + 0.4::DOUBLE * r + 0.2::DOUBLE * m - 0.05::DOUBLE * e)], recursive := true) FROM om) "
+    "SELECT kind, config::BIGINT config, round(score, 6) score, row_number() OVER (PARTITION BY kind ORDER BY round(score, 9) DESC, config) = 1 best FROM os"
+)
+
+
+@query(OPTIMISED)
+def optimised_weights(t):
+    """Weights within bounds under four objectives, all settings in one plan."""
+    settings = N.within(N.near_one(N.grid(t("benchmark").sparkSession, wa=GRID, wb=GRID), ("wa", "wb"), 0.2), {"wa": (0.4, None), "wb": (None, 0.6)})
+    ranked = N.swept_fusion(U.outer(vector(t), bm25(t)), settings, 10)
+    return rounded(N.optimised(N.validated(ranked, relevant(t), t("benchmark").count())), "score")
+
+
 PLACE = "('0x' || substr(md5('42:' || {0}), 1, 7))::BIGINT".format
 
 
