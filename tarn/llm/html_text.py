@@ -60,6 +60,8 @@ DEEPEST_TABLE = 8
 DEEPEST_INDENT = 20
 #: Columns of a row in which a cell may span several, and cells of the grid that one cell may span.
 SPAN_COLUMNS, SPAN_CELLS = 2_000, 65_534
+#: Blanks that may align a table: so many for each character of it, and so many more. Rows beyond are not aligned.
+ALIGN_SHARE, ALIGN_LEAST = 8, 20_000
 
 
 class Node:
@@ -174,8 +176,11 @@ def build(text: str) -> Node:
             break
         at = m.end()
         if m["cdata"] is not None:
-            in_body()
-            add_text(m["cdata"])
+            if drawings and (inner := nearest({"svg", "math"} | INTEGRATION)) and stack[inner].tag not in INTEGRATION:
+                in_body()
+                add_text(m["cdata"])
+            else:  # in HTML it is a comment up to the next >
+                at = text.index(">", m.start()) + 1
             continue
         if m["tag"] is None:
             continue
@@ -285,17 +290,27 @@ def visible(node: Node) -> bool:
     a = node.attributes()
     if "hidden" in a and a["hidden"].lower() != "until-found":
         return False
-    return not ("display:none" in _style(a) or (node.tag == "dialog" and "open" not in a))
+    return not (_style(a).get("display") == "none" or (node.tag == "dialog" and "open" not in a))
 
 
-def _style(attributes: dict[str, str]) -> str:
-    return re.sub(r"\s", "", attributes.get("style", "").lower())
+def _style(attributes: dict[str, str]) -> dict[str, str]:
+    """The declarations of a style attribute without blanks: the last of a name holds, important ones before others."""
+    found: dict[str, str] = {}
+    fixed = set()
+    for part in re.sub(r"\"[^\"]*\"|'[^']*'", "''", attributes.get("style", "").lower()).split(";"):
+        name, _, value = re.sub(r"\s", "", part).partition(":")
+        important = value.endswith("!important")
+        if important or name not in fixed:
+            found[name] = value.removesuffix("!important")
+        if important:
+            fixed.add(name)
+    return found
 
 
 def shown(node: Node, around: bool) -> bool:
     """Visibility goes down to what is inside until an element sets it anew."""
-    found = re.findall(r"(?:^|;)visibility:(visible|hidden|collapse)", _style(node.attributes())) if "visibility" in node.attrs.lower() else None
-    return found[-1] == "visible" if found else around
+    found = _style(node.attributes()).get("visibility") if "visibility" in node.attrs.lower() else None
+    return found == "visible" if found in ("visible", "hidden", "collapse") else around
 
 
 def unfolded(node: Node) -> list:
@@ -424,15 +439,20 @@ def _table(node: Node, page: Page, depth: int, seen: bool) -> None:
             if wide == 1:
                 widths[column] = max(widths[column], *map(len, s.split("\n")))
             column += wide
+    blanks = ALIGN_LEAST + ALIGN_SHARE * sum(len(s) for cells in grid for s, _ in cells)
     for cells in grid:
         parts = [s.split("\n") for s, _ in cells]
         for i in range(max(map(len, parts))):
             out, column = [], 0
-            for lines, (_, wide) in zip(parts, cells, strict=True):
-                width = sum(widths[column : column + wide]) + 2 * (wide - 1)
-                out.append((lines[i] if i < len(lines) else "").ljust(width))
-                column += wide
+            if blanks > 0:
+                for lines, (_, wide) in zip(parts, cells, strict=True):
+                    width = sum(widths[column : column + wide]) + 2 * (wide - 1)
+                    out.append((lines[i] if i < len(lines) else "").ljust(width))
+                    column += wide
+            else:
+                out = [lines[i] for lines in parts if i < len(lines) and lines[i]]
             line = "  ".join(out).rstrip()
+            blanks -= len(line) - sum(len(lines[i]) for lines in parts if i < len(lines))
             if line:
                 page.text(line, True)
             page.newline()
@@ -511,7 +531,7 @@ def visible_text(source: str | None) -> str:
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Per row: id, text. A null or empty page has an empty text; anything else is taken as HTML, however
     broken. What counts as hidden is told by tags, attributes and inline styles (display, visibility); rules of
-    style sheets are not read, and pages run no scripts. Rows repeat if the input's do; other columns are not read. One pass, no shuffle."""
+    style sheets are not read. Scripts are not run, yet noscript is left out, as a reader whose browser runs them sees it. Rows repeat if the input's do; other columns are not read. One pass, no shuffle."""
     bounded_batches(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
 
