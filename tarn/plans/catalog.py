@@ -874,6 +874,17 @@ def strategy_comparison(t):
     return rounded(each.groupBy("strategy").agg(F.avg("p").alias("p_5"), F.avg("r").alias("r_5"), F.avg("rr").alias("mrr")), "p_5", "r_5", "mrr")
 
 
-@query()
+BOUNDARIES = (". ", ".\n", "? ", "!\n")
+_AT = lambda b: f"length(b) - (nullif(strpos(reverse(b), reverse({b})), 0) - 1) - 2"
+_MARK = lambda x: "'" + x[0] + "' || " + ("' '" if x[1] == " " else "chr(10)")
+ENDS = "CASE WHEN s + 1000 >= n THEN n " + " ".join(f"WHEN {_AT(_MARK(x))} > 500 THEN s + {_AT(_MARK(x))} + 2" for x in BOUNDARIES) + " ELSE s + 1000 END"
+
+
+@query(
+    f"WITH RECURSIVE ws AS (SELECT doc_id, s, {ENDS} e, n FROM (SELECT doc_id, 0::BIGINT s, length(text) n, substr(text, 1, 1000) b FROM documents WHERE length(text) > 0) UNION ALL "
+    f"SELECT doc_id, s, {ENDS} e, n FROM (SELECT ws.doc_id, ws.e - 200 s, ws.n, substr(d.text, ws.e - 199, 1000) b FROM ws JOIN documents d ON d.doc_id = ws.doc_id WHERE ws.e < ws.n)), "
+    "wt AS (SELECT ws.doc_id, s, e, trim(substr(text, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) content FROM ws JOIN documents USING (doc_id)) "
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS \"window\", s AS start, e AS \"end\", content FROM wt WHERE content <> ''"
+)
 def sentence_windows(t):
     return G.sentence_windows(t("documents"))
