@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import rules as R
 from ..functions import text as T
+from ..functions.lineage import cut
 from ..operators import adjust as J
 from ..operators import evidence as E
 from ..operators import fusion as U
@@ -215,8 +216,8 @@ PAIRS = (
 @query(f"WITH {PAIRS} SELECT qid, label, round(direct, 6) direct, round(inferred, 6) inferred, against, round(align, 6) align, n_sources, round(guideline, 6) guideline, round(greatest(0, least(1, 0.6::DOUBLE * direct + 0.3::DOUBLE * inferred + 0.1::DOUBLE * align - 0.4::DOUBLE * against)), 6) total FROM pa")
 def option_evidence(t):
     """Four options of each item against its five best documents."""
-    best = candidates(t).where("rk <= 5").select("qid", "doc_id", "content", "title")
-    out = E.option_scores(E.pair_scores(options(t).join(best, "qid")))
+    best = cut(candidates(t).where("rk <= 5").select("qid", "doc_id", "content", "title"))  # the corpus is ranked once
+    out = E.option_scores(E.pair_scores(options(t, best).join(best, "qid")))
     return rounded(out, "direct", "inferred", "align", "guideline", "total")
 
 

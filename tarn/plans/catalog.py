@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions.lineage import cut
 from ..operators import calibration as C
 from ..operators import evidence as E
 from ..operators import fusion as U
@@ -832,10 +833,11 @@ def errors_by_concept(t):
 OPTIONS_SQL = f"{CAND}, op AS (SELECT qid, (['A', 'B', 'C', 'D'])[rk] AS label, query AS option FROM (SELECT c.qid, row_number() OVER (PARTITION BY c.qid ORDER BY (n.item_id - c.qid + 100000) % 100000) rk, n.text query FROM (SELECT DISTINCT qid FROM cand) c JOIN benchmark n ON (n.item_id - c.qid + 100000) % 100000 < 4))"
 
 
-def options(t):
-    """Four options for each item that has candidates: its own text and those of the next three items."""
+def options(t, found=None):
+    """Four options for each item that has candidates: its own text and those of the next three items. found: the
+    candidates, if the caller has them."""
     items = t("benchmark").select(F.col("item_id").alias("other"), F.col("text").alias("option"))
-    asked = candidates(t).select("qid").distinct().select("qid", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    asked = (candidates(t) if found is None else found).select("qid").distinct().select("qid", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
     found = asked.join(items, F.col("other") == F.col("qid") + F.col("i"))
     place = F.row_number().over(W.partitionBy("qid").orderBy("i"))
     return found.select("qid", F.element_at(F.array(*map(F.lit, LABELS)), place).alias("label"), "option")
@@ -844,8 +846,8 @@ def options(t):
 @query(f"WITH {OPTIONS_SQL}, fx AS (SELECT o.qid, label, lower(o.option) o, lower(c.content) c FROM op o JOIN cand c ON c.qid = o.qid AND c.rk = 1), fs AS (SELECT qid, label, CASE WHEN contains(c, o) THEN 1.0::DOUBLE ELSE 0.2::DOUBLE * len(list_filter(string_split_regex(o, '\\s+'), lambda w: length(w) > 3 AND contains(c, w))) END + CASE WHEN {' OR '.join(f"contains(o, '{w}')" for w in Z.TREATING)} THEN 0.2::DOUBLE ELSE 0 END score FROM fx), fb AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, label) rk FROM fs) SELECT qid, CASE WHEN score > 0 THEN label ELSE 'A' END selected, round(least(0.6::DOUBLE, score / 2), 6) confidence FROM fb WHERE rk = 1")
 def fallback_choice(t):
     """Options against the whole text of the best candidate."""
-    best = candidates(t).where("rk = 1").select("qid", F.col("content").alias("context"))
-    return rounded(Z.fallback_choice(options(t).join(best, "qid")), "confidence")
+    found = cut(candidates(t).where("rk = 1").select("qid", F.col("content").alias("context")))  # the corpus is ranked once
+    return rounded(Z.fallback_choice(options(t, found).join(found, "qid")), "confidence")
 
 
 ADVICE_SQL = "adv AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{a}')" for i, (k, a) in enumerate(Z.ADVICE)) + ") v(place, error_kind, advice))"
