@@ -77,6 +77,13 @@ def calibration_error(results: DataFrame, confidence: str = "confidence", correc
     return bins.groupBy(*by).agg(F.coalesce(F.try_divide(gap, F.sum("n")), F.lit(1.0)).alias("ece"))
 
 
+def calibration_bins(results: DataFrame, confidence: str = "confidence", correct: str = "is_correct") -> DataFrame:
+    """bin, n, predicted, accuracy: tenths by their number (10 for 1.0), the middle of each and the share that is right.
+    Rows that are neither right nor wrong are left out."""
+    rows = results.where(F.col(correct).isNotNull()).withColumn("bin", F.floor(F.col(confidence) * 10))
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy")).withColumn("predicted", (F.col("bin") + 0.5) / 10)
+
+
 def histogram(results: DataFrame, confidence: str = "confidence") -> DataFrame:
     """Rows per tenth; 1.0 has a tenth of its own."""
     i = F.floor(F.col(confidence) * 10)

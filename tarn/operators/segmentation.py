@@ -104,3 +104,18 @@ def paragraph_scores(docs: DataFrame, terms: tuple[str, ...], *, id_: str = "doc
     score = sum((F.when(F.contains(F.lower("paragraph"), F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
     order = W.partitionBy(id_).orderBy("pos")
     return parts.select(id_, "pos", "paragraph", score.alias("score"), F.lag("paragraph").over(order).alias("before"), F.lead("paragraph").over(order).alias("after"))
+
+
+def topic_excerpt(text: Column, terms: tuple[str, ...], most: int = 10, chars: int = 5000) -> Column:
+    """The paragraphs that name most terms, each with the ones around it, up to `most`, in that order; a paragraph next
+    to one that is taken already is passed over. Joined by a rule, cut to `chars` with three dots. Empty without a hit.
+
+    A greedy choice, so a fold over the paragraphs with a hit; what it carries is the places taken."""
+    parts = F.split(text, r"\n\s*\n", -1)
+    score = lambda p: sum((F.when(F.contains(F.lower(p), F.lit(t.lower())), 1).otherwise(0) for t in terms), F.lit(0))
+    hits = F.array_sort(F.filter(F.transform(parts, lambda p, i: F.struct((-score(p)).alias("s"), i.alias("i"))), lambda x: x["s"] < 0))
+    free = lambda kept, i: (F.size(kept) < most) & ~F.exists(kept, lambda k: F.abs(k - i) <= 1)
+    kept = F.aggregate(hits, F.array().cast("array<int>"), lambda kept, x: F.when(free(kept, x["i"]), F.concat(kept, F.array(x["i"]))).otherwise(kept))
+    whole = lambda i: F.array_join(F.slice(parts, F.greatest(i, F.lit(1)), F.least(F.size(parts), i + 2) - F.greatest(i - 1, F.lit(0))), "\n\n")
+    out = F.array_join(F.transform(kept, whole), "\n\n---\n\n")
+    return F.when(F.length(out) > chars, F.concat(F.substring(out, 1, chars), F.lit("..."))).otherwise(out)

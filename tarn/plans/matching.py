@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.lineage import cut
 from ..operators import lexicon_join as X
+from ..operators import metrics as M
 from ..operators import normalise as N
 from ..operators import option_match as O
+from ..operators import rerank as K
+from ..operators import segmentation as G
 from ..operators import semantic_match as S
+from ..operators import understanding as D
 from .cases import CASES, _list, _text, cases, pick
-from .catalog import CAND, DIM, HASH, LABELS, TOK, candidates, query, rounded
+from .catalog import CAND, DIM, HASH, LABELS, RES, TOK, candidates, query, results, rounded
 
 LINES = (
     "Treatment: give ceftriaxone 1 g daily as first therapy.", "Gentamicin is contraindicated in renal failure.\nAspirin 75 mg daily may be given.", "Background on magnesium sulfate; the risk of bleeding is low.",
@@ -247,3 +251,51 @@ def normalised_notes(t):
     rows = t("conversations").withColumn("place", F.col("conv_id") + F.col("turn"))
     text = F.concat_ws(" ", "text", pick(NOTES, "place"))
     return rows.select("conv_id", "turn", F.md5(N.normalised(text, L.ABBREVIATIONS, ADDED)).alias("text_md5"))
+
+
+# ---- bins, paragraphs, specialties, glossaries ----
+
+
+@query(f"WITH {RES} SELECT floor(confidence * 10)::BIGINT bin, count(*) n, round(avg(is_correct::INT), 6) accuracy, round((floor(confidence * 10) + 0.5) / 10, 6) predicted FROM res WHERE is_correct IS NOT NULL GROUP BY floor(confidence * 10)")
+def calibration_bins(t):
+    """What a calibration chart draws: accuracy and the middle of each tenth that has rows."""
+    return rounded(M.calibration_bins(results(t)), "accuracy", "predicted")
+
+
+TOPICS = ("fever", "shock", "aspirin", "bleeding", "pneumonia")
+
+
+@query(f"WITH {CASES}, pg AS (SELECT qid id, list_filter(list_transform(string_split_regex(replace(concat_ws(chr(10) || chr(10), case_text, answer), '. ', '.' || chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) k FROM cs), px AS (SELECT id, i AS pos, k[i + 1] p, k[i] AS before, k[i + 2] AS after FROM (SELECT id, k, unnest(range(len(k))) i FROM pg)) SELECT id, pos, md5(p) paragraph, {' + '.join(f"contains(lower(p), '{w}')::INT" for w in TOPICS)} score, md5(before) AS before, md5(after) AS after FROM px WHERE {_any('lower(p)', TOPICS)}")
+def paragraph_topics(t):
+    """Paragraphs that name a topic, with the ones around them."""
+    text = F.replace(F.concat_ws("\n\n", "case_text", "answer"), F.lit(". "), F.lit(".\n\n"))
+    rows = G.paragraph_scores(cases(t).select(F.col("qid").alias("id"), text.alias("text")), TOPICS, id_="id").where("score > 0")
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), "score", *(F.md5(c).alias(c) for c in ("paragraph", "before", "after")))
+
+
+EXCERPT = f"""{CASES}, eg AS (SELECT qid id, string_split_regex(replace(concat_ws(chr(10) || chr(10), case_text, answer), '. ', '.' || chr(10) || chr(10)), '\\n\\s*\\n') k FROM cs),
+eh AS (SELECT id, list([i]::BIGINT[] ORDER BY s DESC, i) hits FROM (SELECT id, i, {' + '.join(f"contains(lower(k[i + 1]), '{w}')::INT" for w in TOPICS)} s FROM (SELECT id, k, unnest(range(len(k))) i FROM eg)) WHERE s > 0 GROUP BY id),
+ek AS (SELECT id, list_reduce(hits, lambda a, x: CASE WHEN len(a) < 10 AND len(list_filter(a, lambda j: abs(j - x[1]) <= 1)) = 0 THEN list_append(a, x[1]) ELSE a END, []::BIGINT[]) kept FROM eh),
+ex AS (SELECT id, array_to_string(list_transform(kept, lambda i: array_to_string(list_slice(k, greatest(i, 1), least(len(k), i + 2)), chr(10) || chr(10))), chr(10) || chr(10) || '---' || chr(10) || chr(10)) t FROM ek JOIN eg USING (id))"""
+
+
+@query(f"WITH {EXCERPT} SELECT id, length(t) n, md5(CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || '...' ELSE t END) excerpt_md5 FROM ex")
+def topic_excerpts(t):
+    """The greedy choice of paragraphs on a list of topics; cases that name none are left out."""
+    text = F.replace(F.concat_ws("\n\n", "case_text", "answer"), F.lit(". "), F.lit(".\n\n"))
+    rows = cases(t).select(F.col("qid").alias("id"), G.topic_excerpt(text, TOPICS).alias("t"), G.topic_excerpt(text, TOPICS, chars=1 << 30).alias("whole")).where("t <> ''")
+    return rows.select("id", F.length("whole").cast("long").alias("n"), F.md5("t").alias("excerpt_md5"))
+
+
+@query(f"WITH {CAND}, sf AS (SELECT qid, doc_id, rk was, CASE WHEN contains(lower(category), 'en') THEN 2 ELSE 0 END + {' + '.join(f"contains(lower(content), '{w}')::INT" for w in ('the', 'tion', 'that'))} fit FROM cand) SELECT qid, doc_id, fit::DOUBLE fit, row_number() OVER (PARTITION BY qid ORDER BY fit DESC, was) rk FROM sf")
+def specialty_order(t):
+    """Candidates by the fit to a specialty, earlier ranks deciding ties."""
+    return K.by_specialty(candidates(t), "category", ("the", "tion", "that"), "en").select("qid", "doc_id", "fit", "rk")
+
+
+GLOSSARY = {"BP": "blood pressure", "iv": "intravenous", "SpO2": "oxygen saturation", "RR": "respiratory rate"}
+
+
+@query(f"WITH {CASES} SELECT qid, md5({'replace(' * len(GLOSSARY)}concat_ws(' ', case_text, answer){''.join(f", '{k}', '{v}')" for k, v in GLOSSARY.items())}) text_md5 FROM cs")
+def glossary_texts(t):
+    return cases(t).select("qid", F.md5(D.glossary_applied(F.concat_ws(" ", "case_text", "answer"), GLOSSARY)).alias("text_md5"))

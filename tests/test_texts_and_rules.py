@@ -267,3 +267,32 @@ def test_terminology_by_plain_folds(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(N.normalised(df.t, L.ABBREVIATIONS, added)).collect()]
     assert got == [t if t is None else fold(t) for t in texts]
+
+
+def test_greedy_paragraphs_by_plain_python(spark):
+    import random
+    import re
+
+    from tarn.operators import segmentation as G
+
+    terms = ("fever", "Cough", "rash")
+
+    def brute(text, chars):
+        parts, hits = re.split(r"\n\s*\n", text), []
+        for i, p in enumerate(parts):
+            if n := sum(t.lower() in p.lower() for t in terms):
+                hits.append((n, i))
+        hits.sort(key=lambda x: -x[0])
+        seen, out = set(), []
+        for _, i in hits:
+            if i not in seen:
+                out.append("\n\n".join(parts[max(0, i - 1) : i + 2]))
+                seen |= {i - 1, i, i + 1}
+        got = "\n\n---\n\n".join(out[:10])
+        return got[:chars] + "..." if len(got) > chars else got
+
+    rng = random.Random(2)
+    texts = ["\n\n".join(rng.choice(["fever", "cough RASH", "nothing", "", "Fever and cough and rash", "x\ny"]) for _ in range(rng.randrange(60))) for _ in range(40)] + ["", "no hit", "fever"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for chars in (5000, 90):
+        assert [r[0] for r in df.select(G.topic_excerpt(df.t, terms, chars=chars)).collect()] == [brute(t, chars) for t in texts]
