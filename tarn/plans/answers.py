@@ -47,7 +47,7 @@ def answered(questions: DataFrame, docs: DataFrame, *, k: int = 25, context: int
     doc_id, text, title. A question without any ranked document cannot be answered (confidence 0).
     """
     asked = questions.select("qid", "question")
-    vectors = retrieval.top_k(retrieval.hashed_cosine(docs, asked, query_id="qid", query_text="question", dim=dim), k)
+    vectors = retrieval.hashed_search(docs, asked, k, query_id="qid", query_text="question", dim=dim)
     ranked = fusion.linear(vectors, ranked_for(questions, docs, k), k)
     rows = ranked.join(docs.select("doc_id", F.col("text").alias("content"), "title"), "doc_id").join(questions.select("qid", "question"), "qid")
     words = F.array_distinct(F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.length(w) > 4))
