@@ -15,6 +15,7 @@ longest finish one by one.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ BANDS, BAND_SLOTS = 42, 3
 LEAST_SIMILARITY = 0.99
 #: Members of a band that one task holds against as many others.
 BLOCK_MEMBERS = 2_048
+#: Classes of characters whose counts tell that two texts are too far apart.
+LETTERS = 31
 _SHIFTS = np.arange(STRIDE, dtype=np.uint64)
 
 
@@ -267,41 +270,46 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), "n_chars", text_of("edited_sha256"), text_of("fingerprint"), text_of("edited_fingerprint"), "near_edited", "near_next")
 
 
-def _band_members(entries: DataFrame) -> DataFrame:
-    """(key, band) for entries (key, fingerprint); a band without any step (very short texts) is left out."""
+def _band_members(entries: DataFrame, least: float) -> DataFrame:
+    """(key, band, part, size) for entries (key, fingerprint[, size]); a band without any step (very short texts) is
+    left out. Texts that can be similar are of the same part or of neighbouring ones."""
     slots = np.random.default_rng(11).permuted(np.tile(np.arange(SLOTS), (BANDS, 1)), axis=1)[:, :BAND_SLOTS]
     bands = F.array(*(F.concat(F.lit(f"{b}:"), *(F.substring("fingerprint", 2 * int(s) + 1, 2) for s in row)) for b, row in enumerate(slots)))
     empty = "00" * BAND_SLOTS
-    return cut(entries.select("key", F.explode(bands).alias("band")).where(~F.col("band").endswith(empty)))
-
-
-def _pairs(members: DataFrame, across: bool) -> DataFrame:
-    """(a, b), a < b: all pairs of keys that share a band; across: of two labels only. Bands of many members are
-    cut into blocks, each of which meets each."""
-    blocks = members.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = blocks.select("band", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    size = F.col("size") if "size" in entries.columns else F.lit(1)
+    width = 1.0001 * max(-math.log(least), 1e-9) if least > 0 else math.inf
+    rows = entries.select("key", F.floor(F.ln(size) / F.lit(width)).alias("part"), size.cast("long").alias("size"), F.explode(bands).alias("band"))
+    return cut(rows.where(~F.col("band").endswith(empty)))
+
+
+def _pairs(members: DataFrame, across: bool, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of keys that share a band and whose sizes let them be similar; across: of two labels
+    only. Bands of many members are cut into parts by size, and those into blocks, each of which meets each."""
+    met = members.withColumn("at", F.explode(F.array(F.col("part"), F.col("part") + 1)))
+    blocks = met.groupBy("band", "at").agg(F.count("*").alias("members"), F.count_if(F.col("at") == F.col("part")).alias("own")).where("members > 1 and own > 0")
+    blocks = blocks.select("band", "at", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    dealt = met.join(blocks, ["band", "at"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    label = ["label"] if across else []
-    x = dealt.select("band", F.col("own").alias("x"), F.col("met").alias("y"), F.col("key").alias("a"), *(F.col(c).alias("a_label") for c in label))
-    y = dealt.select("band", F.col("met").alias("x"), F.col("own").alias("y"), F.col("key").alias("b"), *(F.col(c).alias("b_label") for c in label))
-    met = x.join(y, ["band", "x", "y"]).where("a < b")
-    return (met.where("a_label <> b_label") if across else met).select("a", "b").distinct()
+    side = lambda rows, own, other, x: rows.select("band", "at", F.col("own").alias(own), F.col("met").alias(other), *(F.col(c).alias(f"{x}_{c}") for c in ("key", "part", "size", *(["label"] if across else []))))
+    found = side(dealt, "x", "y", "a").join(side(dealt.where("at = part"), "y", "x", "b"), ["band", "at", "x", "y"])
+    found = found.where("a_part < b_part or a_key < b_key").where(F.abs(F.col("a_size") - F.col("b_size")) <= (1 - least) * F.greatest("a_size", "b_size") + 1e-9)
+    found = found.where("a_label <> b_label") if across else found
+    return found.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
 
 
-def _near(entries: DataFrame, every: bool, verified) -> DataFrame:
-    """verified(pairs) of pairs (a, b) of entries (key, fingerprint) that share a band: of all of them, or of as
+def _near(entries: DataFrame, every: bool, verified, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """verified(pairs) of pairs (a, b) of entries (key, fingerprint[, size]) that share a band: of all of them, or of as
     many as connect exactly the keys that all connect."""
-    members = _band_members(entries)
+    members = _band_members(entries, least)
     if every:
-        return verified(_pairs(members, False))
+        return verified(_pairs(members, False, least))
     hubs = members.groupBy("band").agg(F.min("key").alias("a"))
     tried = cut(members.join(hubs, "band").where("a <> key").select("a", F.col("key").alias("b")).distinct())
     links = cut(verified(tried))
     labels = components(links)
-    labelled = members.join(labels, members.key == labels.node, "left").select("key", "band", F.coalesce("label", "key").alias("label"))
+    labelled = members.join(labels, members.key == labels.node, "left").select("key", "band", "part", "size", F.coalesce("label", "key").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
-    more = verified(_pairs(cut(labelled.join(mixed, "band")), True).join(tried, ["a", "b"], "left_anti"))
+    more = verified(_pairs(cut(labelled.join(mixed, "band")), True, least).join(tried, ["a", "b"], "left_anti"))
     return links.unionByName(more)
 
 
@@ -356,9 +364,25 @@ def near_texts(docs: DataFrame, least: float = LEAST_SIMILARITY, *, every: bool
     two groups against each other, so the links given join exactly the texts that all links join, and a large
     group is not expanded into all of its pairs.
     """
-    texts = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("text")).withColumn("key", F.sha2("text", 256)).dropDuplicates(["key"])
-    texts = cut(texts)
-    entries = cut(fingerprints(texts, id_col="key").select("key", "fingerprint"))
+    texts = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("text")).withColumn("sha", F.sha2("text", 256)).dropDuplicates(["sha"])
+    texts = cut(texts.withColumn("key", F.monotonically_increasing_id()))
+    entries = cut(fingerprints(texts, id_col="key").select("key", F.col("n_chars").alias("size"), "fingerprint"))
+
+    def count(batches):
+        with working("edit_fingerprint"):
+            for b in sliced(batches, TOGETHER_BYTES):
+                counts = [np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, minlength=LETTERS).astype(np.uint32).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.binary())], ["key", "size", "counts"])
+
+    counted = texts.select("key", "text", F.length("text").cast("long").alias("size")).mapInArrow(count, "key long, size long, counts binary")
+
+    def possible(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, LETTERS).astype(np.int64) for i in (3, 5))
+                size = np.maximum(b.column(2).to_numpy(), b.column(4).to_numpy())
+                fits = np.abs(x - y).sum(1) <= 2 * np.floor((1 - least) * size + 1e-9)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fits))
 
     def verify(batches):
         for b in batches:
@@ -372,12 +396,15 @@ def near_texts(docs: DataFrame, least: float = LEAST_SIMILARITY, *, every: bool
             yield out.filter(pa.array([e is not None for e in edits], pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        size = texts.select("key", F.length("text").alias("size"))
-        sized = pairs.join(size.withColumnsRenamed({"key": "a", "size": "a_size"}), "a").join(size.withColumnsRenamed({"key": "b", "size": "b_size"}), "b")
-        sized = sized.where(F.abs(F.col("a_size") - F.col("b_size")) <= (1 - least) * F.greatest("a_size", "b_size") + 1e-9).select("a", "b")
+        # An edit changes the count of two letters by one at most, so most pairs are ruled out without their texts.
+        of = lambda x: counted.withColumnsRenamed({"key": x, "size": f"{x}_size", "counts": f"{x}_counts"})
+        sized = pairs.join(of("a"), "a").join(of("b"), "b").where(F.abs(F.col("a_size") - F.col("b_size")) <= (1 - least) * F.greatest("a_size", "b_size") + 1e-9)
+        sized = cut(sized.select("a", "b", "a_size", "a_counts", "b_size", "b_counts").mapInArrow(possible, "a long, b long"))
         side = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"{x}_text"))
         held = sized.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
-        return held.mapInArrow(verify, "a string, b string, edits long, similarity double")
+        return held.mapInArrow(verify, "a long, b long, edits long, similarity double")
 
     bounded_batches(docs.sparkSession)
-    return _near(entries, every, verified).select(F.col("b").alias("sha256"), F.col("a").alias("other"), "edits", "similarity")
+    name = lambda x: texts.select(F.col("key").alias(x), F.col("sha").alias(f"{x}_sha"))
+    found = cut(_near(entries, every, verified, least)).join(name("a"), "a").join(name("b"), "b")
+    return found.select(F.greatest("a_sha", "b_sha").alias("sha256"), F.least("a_sha", "b_sha").alias("other"), "edits", "similarity")
