@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +61,6 @@ def occurrences(texts: DataFrame, lexicon: dict[str, tuple[str, list[str]]], *,
     """id, symptom, severity, position (from 0), negated: every whole-word occurrence of a symptom's variants; it is
     negated if a cue is among the characters before it. The worst come first, then by place. lexicon: symptom ->
     (severity, variants)."""
-    import re
-
     def places(symptom: str, severity: str, variants: list[str]) -> Column:
         pattern = r"\b(?:" + "|".join(map(re.escape, sorted(variants, key=len, reverse=True))) + r")\b"
         rank = {"critical": 0, "moderate": 1, "mild": 2}.get(severity, 3)
@@ -76,25 +76,47 @@ def occurrences(texts: DataFrame, lexicon: dict[str, tuple[str, list[str]]], *,
     return rows.select(id_, "symptom", "severity", "position", negated.alias("negated"))
 
 
-def first_matches(text: Column, table: dict[str, list[str]]) -> Column:
-    """map(name, value): of each name the first capture of its first pattern that matches, whatever the case."""
-    first = lambda ps: F.coalesce(*(F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")) for p in ps))
+def needed(pattern: str) -> list[str]:
+    """Lower-cased literals of which every match of the pattern holds one: those of its first group of alternatives, or
+    what it begins with; empty if neither tells."""
+    group = re.search(r"\(\?:([^()]*)\)(?![?*{])", pattern)
+    parts = group[1].split("|") if group else [pattern]
+    plain = [re.sub(r".$", "", m[0]) if x[m.end() : m.end() + 1] in ("?", "*", "{") else m[0] for x in parts for m in [re.match(r"[A-Za-z0-9 /]*", x)]]
+    return [x.lower() for x in plain] if all(plain) else []
+
+
+def lacking(low: Column, pattern: str) -> Column:
+    """Whether the lower-cased text cannot have a match, as no literal that the pattern needs is in it."""
+    out = F.lit(bool(needed(pattern)))
+    for x in needed(pattern):
+        out = out & ~F.contains(low, F.lit(x))
+    return out
+
+
+def first_matches(text: Column, table: dict[str, list[str]], low: Column | None = None) -> Column:
+    """map(name, value): of each name the first capture of its first pattern that matches, whatever the case. low is the
+    lower-cased text."""
+    low = F.lower(text) if low is None else low
+    found = lambda p: F.when(~lacking(low, p), F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")))
+    first = lambda ps: F.coalesce(*map(found, ps))
     return F.map_filter(F.create_map(*(c for k, ps in table.items() for c in (F.lit(k), first(ps)))), lambda _, v: v.isNotNull())
 
 
 def named(text: Column, terms: tuple[str, ...], forms: tuple[str, ...] = ()) -> Column:
     """Terms that are in the lower-cased text, and what forms of words name in over three characters; sorted."""
-    others = (F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in forms)
-    more = F.filter(F.transform(F.concat(F.array().cast("array<string>"), *others), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
+    none = F.array().cast("array<string>")
+    others = (F.when(lacking(text, p), none).otherwise(F.regexp_extract_all(text, F.lit(p), F.lit(1))) for p in forms)
+    more = F.filter(F.transform(F.concat(none, *others), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
     return F.array_sort(F.array_distinct(F.concat(contained(text, terms), more)))
 
 
 def case_features(cases: DataFrame, text: str = "case_text") -> DataFrame:
     """Adds vitals and labs (maps), abnormal (names of vitals out of range), diseases, risks and medications."""
-    low, v = F.lower(text), F.col("vitals")
+    low, v = F.col("low"), F.col("vitals")
     names = {"HR": "heart_rate", "BP": "systolic", "Temp": "temperature", "RR": "respiratory_rate", "SpO2": "spo2"}
     value = lambda k: F.regexp_extract(v[k], "^([0-9]+(?:[.][0-9]+)?)", 1)
-    out = cases.withColumns({"vitals": first_matches(F.col(text), R.VITALS), "labs": first_matches(F.col(text), R.LABS), "diseases": named(low, R.CHRONIC, R.CHRONIC_FORMS), "risks": contained(low, R.RISKS), "medications": named(low, R.MEDICATIONS, R.MEDICATION_FORMS)})
+    # The lower-cased text is a column of its own, as an expression it would be worked out anew for each pattern.
+    out = cases.withColumn("low", F.lower(text)).withColumns({"vitals": first_matches(F.col(text), R.VITALS, low), "labs": first_matches(F.col(text), R.LABS, low), "diseases": named(low, R.CHRONIC, R.CHRONIC_FORMS), "risks": contained(low, R.RISKS), "medications": named(low, R.MEDICATIONS, R.MEDICATION_FORMS)}).drop("low")
     return out.withColumn("abnormal", F.array_compact(F.array(*(F.when(abnormal(kind, value(k)), F.lit(k)) for k, kind in names.items()))))
 
 
