@@ -25,6 +25,11 @@ def ranked_for(questions: DataFrame, docs: DataFrame, k: int = 25, text: str = "
     return retrieval.top_k(one, k)
 
 
+def with_texts(ranked: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """Ranked rows, at most so many, with content and title. The corpus stays where it is."""
+    return docs.select("doc_id", F.col("text").alias("content"), "title").join(retrieval.sized(ranked, most), "doc_id")
+
+
 def second_looks(options: DataFrame, kept: DataFrame) -> DataFrame:
     """qid, minimal, fallback: the option that the two best texts hold most of, and the one that word counts over the
     whole context choose."""
@@ -49,7 +54,7 @@ def answered(questions: DataFrame, docs: DataFrame, *, k: int = 25, context: int
     asked = questions.select("qid", "question")
     vectors = retrieval.hashed_search(docs, asked, k, query_id="qid", query_text="question", dim=dim)
     ranked = fusion.linear(vectors, ranked_for(questions, docs, k), k)
-    rows = ranked.join(docs.select("doc_id", F.col("text").alias("content"), "title"), "doc_id").join(questions.select("qid", "question"), "qid")
+    rows = with_texts(ranked, docs, k * questions.count()).join(questions.select("qid", "question"), "qid")
     words = F.array_distinct(F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.length(w) > 4))
     kept = cut(rerank.pruned(rows, words, context, 0.0).select("qid", "doc_id", "content", "title", "rk"))
     options = questions.select("qid", F.explode("options").alias("label", "option"))
